@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.sources.tables import latest, spread, table
 
-from . import secrets
+from . import parsecheck, secrets, spans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,32 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a unit that cannot be read in the language of the file's extension."""
+    return parsecheck.unreadable_files(spread(table(spark, sf_dir, "code_units").select("unit_id", "repo", "file", "full_text")))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, flagged files and their rate per repo and language."""
+    return parsecheck.fault_rates(spread(table(spark, sf_dir, "code_units").select("unit_id", "repo", "file", "full_text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of units of different files that share 200 code points in a row or more."""
+    return spans.shared_pairs(spread(table(spark, sf_dir, "code_units").select("unit_id", "repo", "file", "full_text")))
+
+
+def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each unit how many of its code points stand in intervals shared with other files."""
+    return spans.shared_amounts(spread(table(spark, sf_dir, "code_units").select("unit_id", "name", "repo", "file", "full_text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
+    "p3_found": p3_found,
+    "p3_shared": p3_shared,
 }
 SQL: dict[str, str] = {}
