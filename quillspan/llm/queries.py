@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.sources.tables import latest, spread, table
 
-from . import parsecheck, secrets, spans
+from . import docpairs, generated, leakage, parsecheck, secrets, spans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,40 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(spread(table(spark, sf_dir, "code_units").select("unit_id", "name", "repo", "file", "full_text")))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    columns = ("repo", "file", "start_line", "doc_comment", "full_text", "compact_text")
+    return spread(table(spark, sf_dir, "code_units").select(*columns)), table(spark, sf_dir, "file_cache")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated, minified, vendored and data files of file_cache and code_units."""
+    return generated.machine_files(*_files(spark, sf_dir))
+
+
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its size and the reason why it is not hand-written, null where it is."""
+    return generated.judge_files(*_files(spark, sf_dir)).select("repo", F.col("path").alias("relative_path"), "file_size", "chars", "reason")
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "code_units").select("unit_id", "file", "kind", "name", "signature", "doc_comment", "full_text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods with words that say what they do."""
+    return docpairs.doc_pairs(_functions(spark, sf_dir)).select("unit_id").distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs themselves: signature, description and code."""
+    return docpairs.doc_pairs(_functions(spark, sf_dir)).distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share twelve consecutive words or more with a test item."""
+    return leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -56,5 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_shared": p3_shared,
+    "p4_found": p4_found,
+    "p4_files": p4_files,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
+    "p7_found": p7_found,
 }
 SQL: dict[str, str] = {}
