@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.sources.tables import latest, spread, table
+from quillspan.sources.tables import spread, table
 
-from . import docpairs, generated, leakage, parsecheck, secrets, spans
+from . import docpairs, filling, generated, leakage, mixing, parsecheck, pii, secrets, spans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,52 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.doc_pairs(_functions(spark, sf_dir)).distinct()
 
 
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filling.fill_containers(table(spark, sf_dir, "planned_units"), table(spark, sf_dir, "budget_plans"))
+
+
+def p6_arrangement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every item of every session."""
+    return _containers(spark, sf_dir)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and fill per session beside what the recorded plans used."""
+    return filling.compare_fill(_containers(spark, sf_dir), table(spark, sf_dir, "budget_plans"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share twelve consecutive words or more with a test item."""
     return leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn, with their rates and copies."""
+    return _drawn(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all drawn tokens that each listed source reaches."""
+    return mixing.shares(_drawn(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in all documents."""
+    return pii.find_pii(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "name_lexicon"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with typed placeholders, as a digest and a length."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = pii.redact_pii(docs, table(spark, sf_dir, "name_lexicon"))
+    return clean.select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -94,6 +135,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_files": p4_files,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p6_arrangement": p6_arrangement,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
+    "p8_drawn": p8_drawn,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 SQL: dict[str, str] = {}
