@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from quillspan.sources.tables import latest
 
 BLOCK = 2048
-CLASSES = 24
+CLASSES = 16
 
 
-def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:
+def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 40) -> np.ndarray:
     """x >= 0 with ``combos.T @ x`` closest to ``histogram``: coordinate descent on the normal equations."""
     gram = combos @ combos.T
     pull = combos @ histogram
@@ -43,6 +43,17 @@ def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int =
     return x
 
 
+def _combinations(edges: np.ndarray, low: float, high: int, most: int = 160) -> list[tuple[int, ...]]:
+    """The fullest combinations of one to four classes whose lengths fill the window; at most ``most`` patterns are tried."""
+    found = []
+    for size in (1, 2, 3, 4):
+        picks = np.array(list(combinations_with_replacement(range(len(edges)), size)))
+        sums = edges[picks].sum(1)
+        inside = np.flatnonzero((sums >= low) & (sums <= high))
+        found += [(-int(sums[i]), tuple(picks[i])) for i in inside]
+    return [c for _, c in sorted(found)[:most]]
+
+
 def pack(lengths: np.ndarray, capacity: int, window: float = 0.03) -> np.ndarray:
     """The container of each item. Lengths are positive and at most ``capacity``; no container exceeds it."""
     n = len(lengths)
@@ -50,12 +61,11 @@ def pack(lengths: np.ndarray, capacity: int, window: float = 0.03) -> np.ndarray
     order = np.argsort(-lengths, kind="stable")
     free: list[int] = []
     if n > 8:
-        edges = np.unique(np.quantile(lengths, np.linspace(0, 1, CLASSES + 1)[1:], method="higher"))
+        edges = np.unique(np.quantile(lengths, np.linspace(0, 1, min(CLASSES, n // 4 + 2) + 1)[1:], method="higher"))
         kind = np.searchsorted(edges, lengths)
         histogram = np.bincount(kind, minlength=len(edges))
-        combos = [c for size in (1, 2, 3, 4) for c in combinations_with_replacement(range(len(edges)), size) if capacity * (1 - window) <= sum(edges[k] for k in c) <= capacity]
+        combos = _combinations(edges, capacity * (1 - window), capacity)
         if combos:
-            combos = sorted(combos, key=lambda c: -sum(edges[k] for k in c))[:400]
             table = np.zeros((len(combos), len(edges)))
             for j, c in enumerate(combos):
                 for k in c:
@@ -100,6 +110,10 @@ def _packed(items: DataFrame, stage: int) -> DataFrame:
         return pdf.drop(columns=["n", "block"])
 
     schema = "session_id string, plan_id long, ord int, piece int, tokens long, capacity long, container string"
+    # Packing is heavy for its few bytes, so the number of partitions is set here rather than by their size.
+    spark = items.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(parts, "session_id", "block")
     return dealt.select("session_id", "plan_id", "ord", "piece", "tokens", "capacity", "n", "block").groupBy("session_id", "block").applyInPandas(one, schema)
 
 
