@@ -1,10 +1,346 @@
-"""The registered queries of the core operators, and their SQL."""
+"""The registered queries of the core operators, and the same results in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.functions import text as fn
+from quillspan.operators import graph, packing, ranking, records, redaction
+from quillspan.operators import units as code
+from quillspan.plans import context
+from quillspan.sources.tables import cut, table
+from quillspan.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+BUDGET = 4000
+
+CURRENT = "cu as (select * from (select *, row_number() over (partition by unit_id order by ingested_at desc nulls last) _rn from code_units where unit_id is not null) where _rn = 1)"
+PLANNED = "pu as (select * from (select *, row_number() over (partition by plan_id, ord order by recorded_at desc nulls last) _rn from planned_units where plan_id is not null and ord is not null) where _rn = 1)"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if there is one."""
+
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def _units(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return code.current_units(table(spark, sf_dir, "code_units"), list(columns))
+
+
+def _words_sql(x: str) -> str:
+    cased = rf"regexp_replace(regexp_replace(coalesce({x}, ''), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')"
+    return rf"list_filter(list_transform(regexp_split_to_array({cased}, '[^\p{{L}}\p{{N}}]+'), lambda w: lower(w)), lambda w: w <> '')"
+
+
+def _stem_sql(w: str) -> str:
+    rules = " ".join(f"when ends_with({w}, '{s}') and strlen({w}) >= {n + len(s)} then left({w}, length({w}) - {len(s)}) || '{p}'" for s, p, n in fn.SUFFIXES)
+    return f"case when strlen({w}) <= 3 then {w} {rules} when ends_with({w}, 's') and not ends_with({w}, 'ss') and strlen({w}) >= 4 then left({w}, length({w}) - 1) else {w} end"
+
+
+def _terms_sql(x: str) -> str:
+    words = f"list_filter({_words_sql(x)}, lambda w: strlen(w) >= 2)"
+    return f"list_sort(list_distinct(list_concat({words}, list_filter(list_transform({words}, lambda w: {_stem_sql('w')}), lambda w: strlen(w) >= 2))))"
+
+
+def _score_sql() -> str:
+    def best(col: str, t: str) -> str:
+        near = f"len(list_filter({col}, lambda q: strlen(q) >= 4 and (starts_with(q, '{t}') or starts_with('{t}', q)))) > 0" if len(t) >= 4 else "false"
+        return f"(case when list_contains({col}, '{t}') then 1e0 when {near} then 0.85e0 else 0e0 end)"
+
+    terms = sorted(context.QUESTION.items())
+    total = {
+        k: " + ".join(["0e0", *[f"{factor * w!r}e0 * {best(c, t)}" for t, w in terms]]) for k, c, factor in (("name_score", "n", 4.0), ("doc_score", "d", 3.5), ("sig_score", "s", 1.5))
+    }
+    body = " + ".join(["0e0", *[f"case when {best('n', t)} + {best('d', t)} + {best('s', t)} = 0 then {0.8 * w!r}e0 * {best('b', t)} else 0e0 end" for t, w in terms]])
+    parts = ", ".join(f"{v} as {k}" for k, v in total.items())
+    return (
+        f"tk as (select *, {_terms_sql('name')} n, {_terms_sql('doc_comment')} d, {_terms_sql('signature')} s, {_terms_sql('full_text')} b from cu), "
+        f"pt as (select *, {parts}, {body} as body_score from tk), "
+        "sc as (select *, round((name_score + doc_score + sig_score + body_score) / (1 + len(s) / 50e0), 6) as score from pt)"
+    )
+
+
+def _pack_sql() -> str:
+    b, share = BUDGET, BUDGET * 60 // 100
+    fits, u = f"p.used + o.s > {b}", "p.used"
+    greedy = f"(o.n > 1 and o.f > {share} and {u} + o.f + (o.n - 1) * 15 > {b})"
+    cases = [(fits, u, "'X'"), ("not o.cand", f"{u} + o.s", "'L'"), ("o.f <= o.s", f"{u} + o.s", "'G'"), (f"not {greedy} and {u} + o.f <= {b}", f"{u} + o.f", "'F'"), (f"o.c > o.s and {u} + o.c <= {b}", f"{u} + o.c", "'C'")]
+    used = "case " + " ".join(f"when {c} then {x}" for c, x, _ in cases) + f" else {u} + o.s end"
+    tier = "case " + " ".join(f"when {c} then {x}" for c, _, x in cases) + " else 'S' end"
+    return f"""recursive {CURRENT}, {_score_sql()},
+    un as (select repo grp, unit_id, file, coalesce(start_line, 0) sl, score, greatest(0, coalesce(tok_full, 0)) f, greatest(0, coalesce(tok_compact, 0)) c, greatest(0, coalesce(tok_skeleton, 0)) s from sc where repo is not null),
+    gp as (select grp, max(score) > 0 pos from un group by grp),
+    o1 as (select un.*, (not pos or score > 0) cand, case when pos then 0 else row_number() over (partition by grp, file order by unit_id) end turn, case when pos then -score else 0e0 end rnk from un join gp using (grp)),
+    o as (select *, row_number() over (partition by grp order by cand desc, turn, rnk, file nulls first, sl, unit_id) rn, count(*) filter (where cand) over (partition by grp) n from o1),
+    p(grp, rn, used, tier) as (select distinct grp, 0::bigint, 0::bigint, '' from o union all select o.grp, o.rn, {used}, {tier} from p join o on o.grp = p.grp and o.rn = p.rn + 1),
+    sk as (select o.grp, o.rn, o.c, o.s, row_number() over (partition by o.grp order by o.rn) k from p join o on o.grp = p.grp and o.rn = p.rn where tier = 'L' and o.c > o.s),
+    q(grp, k, used, up) as (select grp, 0::bigint, max(used), false from p group by grp union all select sk.grp, sk.k, case when q.used + sk.c - sk.s <= {b} then q.used + sk.c - sk.s else q.used end, q.used + sk.c - sk.s <= {b} from q join sk on sk.grp = q.grp and sk.k = q.k + 1),
+    up as (select sk.grp, sk.rn from q join sk on sk.grp = q.grp and sk.k = q.k where up),
+    pk as (select o.grp, o.unit_id, o.file, case when up.rn is not null or tier = 'C' then 'compact' when tier in ('F', 'G') then 'full' when tier in ('S', 'L') then 'skeleton' end inclusion,
+      (case when up.rn is not null or tier = 'C' then o.c when tier in ('F', 'G') then o.f when tier in ('S', 'L') then o.s else 0 end)::bigint tokens,
+      case when up.rn is not null then null when tier = 'L' then 'low_relevance' when tier = 'S' then 'budget_exhausted' end skeleton_reason,
+      tier in ('F', 'G', 'C', 'S') and (case tier when 'C' then o.c when 'S' then o.s else o.f end) > {share} warned
+      from p join o on o.grp = p.grp and o.rn = p.rn left join up on up.grp = o.grp and up.rn = o.rn)"""
+
+
+@query("select lang, count(*) docs, sum(coalesce(ceil(strlen(text) / 4.0), 0))::bigint tokens from documents group by lang")
+def token_estimate(spark, sf_dir):
+    """Documents and estimated tokens per language."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.coalesce(fn.estimate_tokens(F.col("text")), F.lit(0))).alias("tokens"))
+
+
+@query(
+    r"""with r as (select doc_id, unnest(string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n')) line, generate_subscripts(string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n'), 1) i from documents where text is not null and text <> '')
+    select doc_id, (1 + (i - 1) // 50)::int chunk, trim(first(line order by i), ' ') signature, count(*)::int n_lines, ceil(strlen(string_agg(line, chr(10) order by i)) / 4.0)::bigint tok_full from r group by doc_id, chunk"""
+)
+def chunk_units(spark, sf_dir):
+    """Fifty-line chunks of all documents."""
+    return code.chunk_texts(table(spark, sf_dir, "documents"))
+
+
+@query(f"with {CURRENT} select unit_id, array_to_string({_words_sql('name')}, ' ') words from cu")
+def split_identifiers(spark, sf_dir):
+    """The words of every unit's name."""
+    return _units(spark, sf_dir, "name").select("unit_id", F.array_join(fn.split_identifier(F.coalesce("name", F.lit(""))), " ").alias("words"))
+
+
+@query(f"with {CURRENT}, t as (select unit_id, unnest({_terms_sql('signature')}) term from cu) select term, count(*) units from t group by term")
+def signature_terms(spark, sf_dir):
+    """In how many units' signatures each term or stem occurs."""
+    terms = _units(spark, sf_dir, "signature").select(F.explode(fn.tokenize(F.coalesce("signature", F.lit("")))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("units"))
+
+
+@query(f"with {CURRENT}, {_score_sql()} select unit_id, score, round(name_score, 6) name_score, round(doc_score, 6) doc_score, round(sig_score, 6) sig_score, round(body_score, 6) body_score from sc")
+def lexical_scores(spark, sf_dir):
+    """Score parts of every unit for the question."""
+    scored = context.scored_units(table(spark, sf_dir, "code_units"))
+    return scored.select("unit_id", "score", *[F.round(c, 6).alias(c) for c in ("name_score", "doc_score", "sig_score", "body_score")])
+
+
+@query(f"with {CURRENT}, {_score_sql()} select repo, unit_id, score from (select *, row_number() over (partition by repo order by score desc, unit_id) k from sc) where k <= 5")
+def top_units(spark, sf_dir):
+    """The five best units of each repository."""
+    order = graph.Window.partitionBy("repo").orderBy(F.desc("score"), "unit_id")
+    return context.scored_units(table(spark, sf_dir, "code_units")).select("repo", "unit_id", "score", F.row_number().over(order).alias("k")).where("k <= 5").drop("k")
+
+
+@query(f"with {_pack_sql()} select grp, unit_id, inclusion, tokens, skeleton_reason, warned from pk")
+def budget_pack(spark, sf_dir):
+    """Every unit's place in the packing of its repository."""
+    return context.packed(table(spark, sf_dir, "code_units"), BUDGET).select("grp", "unit_id", "inclusion", "tokens", "skeleton_reason", "warned")
+
+
+@query(f"with {_pack_sql()} select grp, coalesce(inclusion, 'left_out') tier, count(*) units, sum(tokens)::bigint tokens, count(*) filter (where warned) warnings from pk group by all")
+def pack_tiers(spark, sf_dir):
+    """Units, tokens and warnings per repository and tier."""
+    plan = context.packed(table(spark, sf_dir, "code_units"), BUDGET)
+    return plan.groupBy("grp", F.coalesce("inclusion", F.lit("left_out")).alias("tier")).agg(F.count("*").alias("units"), F.sum("tokens").alias("tokens"), F.count_if("warned").alias("warnings"))
+
+
+@query(
+    f"""with {_pack_sql()}, inc as (select pk.grp, pk.unit_id, pk.inclusion, cu.file, cu.start_line, cu.end_line, score, case inclusion when 'full' then full_text when 'compact' then compact_text else skeleton_text end txt from pk join cu using (unit_id) join (select unit_id, score from sc) using (unit_id) where inclusion is not null),
+    kept as (select * from inc i where not exists (select 1 from inc o where o.inclusion = 'full' and o.grp = i.grp and o.file = i.file and o.unit_id <> i.unit_id and o.start_line <= i.start_line and o.end_line >= i.end_line and (o.start_line < i.start_line or o.end_line > i.end_line or i.inclusion <> 'full' or o.unit_id < i.unit_id)))
+    select grp, file, greatest(max(score), 0e0) best, md5('// === ' || file || ' ===' || chr(10) || string_agg(coalesce(txt, '') || chr(10) || chr(10), '' order by coalesce(start_line, 0), unit_id)) payload_md5 from kept group by grp, file"""
+)
+def payloads(spark, sf_dir):
+    """The digest of each file's rendered payload."""
+    return context.payloads(table(spark, sf_dir, "code_units"), BUDGET).select("grp", "file", "best", F.md5("payload").alias("payload_md5"))
+
+
+@query()
+def dependency_repack(spark, sf_dir):
+    """The packing after the callees of full units got their boost."""
+    plan = context.with_dependencies(table(spark, sf_dir, "code_units"), table(spark, sf_dir, "graph_edges"), BUDGET)
+    return plan.groupBy("grp", F.coalesce("inclusion", F.lit("left_out")).alias("tier")).agg(F.count("*").alias("units"), F.sum("tokens").alias("tokens"))
+
+
+@query(
+    rf"""with {CURRENT}, c as (select unit_id, repo, file, call.callee as name, call.qualifier as qualifier, call.line as line from (select unit_id, repo, file, unnest(calls) as call from cu)),
+    m as (select c.*, d.unit_id callee_id, case when lower(regexp_extract(d.file, '([^/]+?)(?:\.[^./]*)?$', 1)) = lower(c.qualifier) then 1 when d.file = c.file and d.unit_id <> c.unit_id then 2 when d.unit_id <> c.unit_id then 3 end rank
+      from c join cu d on d.repo = c.repo and d.name = c.name and d.name not in ('', '<anonymous>')),
+    f as (select *, min(rank) over w best, row_number() over (partition by repo, unit_id, name, qualifier, line order by rank, callee_id) k from m where rank is not null window w as (partition by repo, unit_id, name, qualifier, line))
+    select distinct unit_id caller_id, callee_id, name callee_name, line from f where unit_id <> callee_id and ((best < 3 and k = 1) or (best = 3 and rank = 3))"""
+)
+def call_edges(spark, sf_dir):
+    """Edges resolved from the calls of all units."""
+    return graph.call_edges(_units(spark, sf_dir, "repo", "file", "name", "calls"))
+
+
+LINKS = "lk as (select distinct caller_id, callee_id from graph_edges where caller_id is not null and callee_id is not null and caller_id <> callee_id)"
+
+
+@query(f"with {LINKS}, o as (select caller_id unit_id, count(*) callees from lk group by 1), i as (select callee_id unit_id, count(*) callers from lk group by 1) select unit_id, coalesce(callees, 0) callees, coalesce(callers, 0) callers from o full join i using (unit_id)")
+def degree_stats(spark, sf_dir):
+    """Different callees and callers per unit."""
+    return graph.degrees(table(spark, sf_dir, "graph_edges"))
+
+
+def _pagerank_sql(rounds: int = 20) -> str:
+    steps = ["r0 as materialized (select unit_id, 1e0 / (select count(*) from nd) rank from nd)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"r{k} as materialized (select nd.unit_id, 0.15e0 / (select count(*) from nd) + 0.85e0 * coalesce(v, 0) rank from nd left join (select callee_id unit_id, sum(rank / degree) v from lo join r{k - 1} on r{k - 1}.unit_id = caller_id group by 1) using (unit_id))")
+    return f"{LINKS}, nd as (select distinct unit_id from code_units where unit_id is not null), ll as (select * from lk where caller_id in (select unit_id from nd) and callee_id in (select unit_id from nd)), lo as (select ll.*, count(*) over (partition by caller_id) degree from ll), " + ", ".join(steps) + f", pr as (select unit_id, round(least(1e0, rank / greatest(max(rank) over (), 1e-6)), 6) centrality from r{rounds})"
+
+
+@query(f"with {_pagerank_sql()} select unit_id, centrality from pr")
+def pagerank(spark, sf_dir):
+    """Centrality of all units in the recorded call graph."""
+    return graph.pagerank(table(spark, sf_dir, "code_units").select("unit_id").where("unit_id is not null"), table(spark, sf_dir, "graph_edges"))
+
+
+@query()
+def ranked_units(spark, sf_dir):
+    """The total score of every unit: lexical, and centrality."""
+    scores = context.scored_units(table(spark, sf_dir, "code_units")).select("unit_id", "score")
+    return ranking.centrality_boost(scores, pagerank(spark, sf_dir))
+
+
+@query(f"with {LINKS}, {PLANNED}, fl as (select distinct unit_id from pu where lower(inclusion) = 'full' and unit_id is not null) select distinct callee_id unit_id from lk where caller_id in (select unit_id from fl) and callee_id not in (select unit_id from fl)")
+def dependency_pull(spark, sf_dir):
+    """What the fully included units call beside themselves."""
+    full = records.current_plan(table(spark, sf_dir, "planned_units")).where("lower(inclusion) = 'full' and unit_id is not null")
+    return graph.dependencies(table(spark, sf_dir, "graph_edges"), full)
+
+
+@query(
+    f"""with {PLANNED} select session_id, count(*) items, count(*) filter (where lower(inclusion) = 'full') n_full, count(*) filter (where lower(inclusion) = 'compact') n_compact, count(*) filter (where lower(inclusion) = 'skeleton') n_skeleton, sum(greatest(coalesce(tokens, 0), 0))::bigint tokens,
+    count(*) filter (where replace(lower(skeleton_reason), '_', '') = 'budgetexhausted') n_exhausted, count(*) filter (where replace(lower(skeleton_reason), '_', '') = 'lowrelevance') n_low from pu group by session_id"""
+)
+def tier_counts(spark, sf_dir):
+    """Tiers, tokens and reasons per session."""
+    return records.tier_counts(table(spark, sf_dir, "planned_units"))
+
+
+@query(
+    f"""with {CURRENT}, {PLANNED}, s as (select session_id, sum(coalesce(tok_full, 0)) raw, sum(greatest(coalesce(tokens, 0), 0)) used from pu join cu using (unit_id) group by session_id)
+    select session_id, raw::bigint raw, used::bigint used, case when raw > 0 then round((1 - used / raw::double) * 100, 4) else 0e0 end saved_pct from s"""
+)
+def compression_stats(spark, sf_dir):
+    """Tokens saved per session."""
+    return records.compression(table(spark, sf_dir, "planned_units"), _units(spark, sf_dir, "tok_full"))
+
+
+@query(
+    rf"""with {CURRENT}, {PLANNED}, k as (select session_id, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') || '::' || name unit_key, inclusion, recorded_at, plan_id, ord from pu join cu using (unit_id))
+    select session_id, unit_key, count(*) accesses, max(recorded_at) last_at, arg_max(inclusion, (recorded_at, plan_id, ord)) last_inclusion, least(3e0, 1.5e0 * (1 + 0.25e0 * least(count(*), 3))) boost from k group by session_id, unit_key"""
+)
+def session_hot_set(spark, sf_dir):
+    """Accesses and boost per session and unit."""
+    return records.hot_set(table(spark, sf_dir, "planned_units"), _units(spark, sf_dir, "file", "name"))
+
+
+@query(
+    r"""with s as (select distinct repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path, mtime_secs, mtime_nanos, file_size, content_hash, scanned_at from file_cache where relative_path is not null),
+    w as (select *, row_number() over o n, lag(mtime_secs) over o a, lag(mtime_nanos) over o b, lag(file_size) over o c, lag(content_hash) over o h from s window o as (partition by repo, path order by scanned_at nulls first, mtime_secs nulls first, mtime_nanos nulls first, file_size nulls first, content_hash nulls first))
+    select repo, path, n::int scan, case when n = 1 then 'new' when coalesce(mtime_secs = a and mtime_nanos = b and file_size = c, false) then 'unchanged' when coalesce(content_hash = h, false) then 'same_content' else 'changed' end reuse from w"""
+)
+def scan_reuse(spark, sf_dir):
+    """What each scan of a file could reuse of the one before."""
+    return records.scan_reuse(table(spark, sf_dir, "file_cache"))
+
+
+@query(
+    r"""select distinct repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path from file_cache f where relative_path is not null
+    and not exists (select 1 from code_units u where u.repo = f.repo and regexp_replace(replace(u.file, '\', '/'), '^(\./)+', '') = regexp_replace(replace(f.relative_path, '\', '/'), '^(\./)+', ''))"""
+)
+def cache_purge(spark, sf_dir):
+    """Cached files without units."""
+    return records.purge(table(spark, sf_dir, "file_cache"), table(spark, sf_dir, "code_units"))
+
+
+@query(f"with {CURRENT} select unit_id, file, name, tok_full, array_to_string(string_split(compact_text, chr(10))[1:5], chr(10)) snippet from cu where " + " or ".join(f"contains(lower(coalesce({c}, '')), 'ledger')" for c in ("name", "signature", "kind", "file", "doc_comment")) + " or len(list_filter(coalesce(refs, []), lambda r: contains(lower(r), 'ledger'))) > 0")
+def grep_units(spark, sf_dir):
+    """Units that mention a ledger, with the first lines of their compact text."""
+    found = code.grep(_units(spark, sf_dir, "file", "name", "kind", "signature", "doc_comment", "refs", "tok_full", "compact_text"), "ledger")
+    return found.select("unit_id", "file", "name", "tok_full", code.snippet(F.col("compact_text")).alias("snippet"))
+
+
+@query(f"with {CURRENT}, c as (select name, count(*) n from cu where name is not null group by name), top as (select name from c order by n desc, name limit 1) select unit_id, repo, file, name from cu where name = (select name from top)")
+def extract_units(spark, sf_dir):
+    """All units of the name that occurs most."""
+    units = _units(spark, sf_dir, "repo", "file", "name")
+    top = units.where("name is not null").groupBy("name").count().orderBy(F.desc("count"), "name").limit(1).select("name")
+    return units.join(F.broadcast(top), "name", "left_semi").select("unit_id", "repo", "file", "name")
+
+
+@query("select sha256(text) digest, count(*) copies, min(doc_id) first_id from documents where text is not null and text <> '' group by 1 having count(*) > 1")
+def content_copies(spark, sf_dir):
+    """Texts that occur more than once, by digest."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and text <> ''")
+    return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+def _redact_sql(x: str) -> str:
+    for label, pattern, groups in redaction.RULES:
+        put = (r"\1" if "1" in groups else "") + f"[REDACTED: {label}]" + (r"\2" if "2" in groups else "")
+        x = f"""regexp_replace({x}, '{pattern.replace("'", "''")}', '{put}', 'g')"""
+    return x
+
+
+@query(f"with {CURRENT}, r as (select unit_id, full_text, {_redact_sql('full_text')} clean from cu where full_text is not null) select unit_id, md5(clean) clean_md5, ((len(string_split(clean, '[REDACTED: ')) - len(string_split(full_text, '[REDACTED: '))))::int added from r")
+def redact_text(spark, sf_dir):
+    """Every unit's text after the chain of redactions, as a digest, with the placeholders added."""
+    units = _units(spark, sf_dir, "full_text").where("full_text is not null")
+    return units.select("unit_id", F.md5(redaction.redact(F.col("full_text"))).alias("clean_md5"), redaction.redactions(F.col("full_text")).alias("added"))
+
+
+@query(
+    """with l as (select user_id, max(ts)::date as day from events where user_id is not null and ts is not null group by user_id), d as (select day, row_number() over (order by day desc) - 1 position from (select distinct day from l))
+    select user_id, position::int position, round(least(3e0, 1.5e0 * greatest(0.1e0, 1 / (1 + 0.15e0 * position))), 6) boost from l join d using (day)"""
+)
+def recency_boost(spark, sf_dir):
+    """The boost of each user by the day of the latest event."""
+    return records.recency(table(spark, sf_dir, "events"))
+
+
+@query("select time_bucket(interval '6 hours', ts) as start, event_type, count(*) events, round(sum(value), 4) as value from events group by 1, 2")
+def event_windows(spark, sf_dir):
+    """Events by six-hour window and type."""
+    return watch.event_windows(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("with r as (select distinct caller_file, caller_id, callee_id, caller_line from graph_edges where caller_file is not null and callee_id is not null) select caller_file, count(distinct callee_id) callees, count(*) calls from r group by caller_file")
+def file_calls(spark, sf_dir):
+    """Calls and different callees per file."""
+    return records.shared_callees(table(spark, sf_dir, "graph_edges"))
+
+
+@query()
+def plan_json(spark, sf_dir):
+    """Each session's plan as one JSON text per included item, with its unit's place."""
+    plan = records.current_plan(table(spark, sf_dir, "planned_units"))
+    units = _units(spark, sf_dir, "file", "name", "kind", "start_line", "end_line")
+    body = F.to_json(F.struct("unit_id", "file", "name", "kind", "start_line", "end_line", "inclusion", "tokens", "score", "skeleton_reason"))
+    return plan.join(units, "unit_id").select("session_id", "plan_id", "ord", body.alias("json"))
+
+
+@query()
+def watched_units(spark, sf_dir):
+    """All unit files read by a stream that stops when it has caught up, as a table of token estimates."""
+    import os
+
+    from quillspan.sources.tables import checkpoint_dir
+
+    path = f"{sf_dir}/code_units.parquet"
+    folder, pattern = (path, "*.parquet") if os.path.isdir(path) else (sf_dir, "code_units.parquet")
+    out = f"{checkpoint_dir(spark)}/watch-{os.urandom(6).hex()}"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    seen = stream.select("unit_id", "repo", "file", "name", fn.estimate_tokens(F.coalesce("full_text", F.lit(""))).alias("tok_full"))
+    seen.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).format("parquet").start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{out}/rows").distinct()
+
+
+__all__ = ["QUERIES", "SQL", "cut", "packing"]

@@ -1 +1 @@
-"""streaming"""
+"""Streams of files and events."""
