@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.sources.tables import latest
+from quillspan.sources.tables import cut, latest
 
 BLOCK = 2048
 CLASSES = 16
@@ -132,7 +132,7 @@ def items_of(planned: DataFrame, plans: DataFrame) -> DataFrame:
 
 def fill_containers(planned: DataFrame, plans: DataFrame, thin: float = 0.97) -> DataFrame:
     """``session_id, plan_id, ord, piece, tokens, capacity, container``: every item or piece once, no container over capacity."""
-    first = _packed(items_of(planned, plans), 1)
+    first = cut(_packed(items_of(planned, plans), 1))  # read three times below; packing it again each time would cost more
     load = first.groupBy("session_id", "container").agg((F.sum("tokens") / F.max("capacity")).alias("load"))
     loaded = first.join(load, ["session_id", "container"])
     again = _packed(loaded.where(F.col("load") < thin).drop("load", "container"), 2)
