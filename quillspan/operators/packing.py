@@ -92,7 +92,8 @@ def pack(units: DataFrame, budget: int) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    low = every.where("skeleton_reason = 'low_relevance'").drop("used").join(used, "grp").join(ordered.select("grp", "unit_id", "tok_compact"), ["grp", "unit_id"])
+    final = every.groupBy("grp").agg(F.max("used").alias("used"))
+    low = every.where("skeleton_reason = 'low_relevance'").drop("used").join(final, "grp").join(ordered.select("grp", "unit_id", "tok_compact"), ["grp", "unit_id"])
     raised = low.groupBy("grp").applyInPandas(lambda pdf: _upgrade(pdf, budget), _SCHEMA)
     columns = ["grp", "unit_id", "ord", "inclusion", "tokens", "skeleton_reason", "warned"]
     return every.where("skeleton_reason is null or skeleton_reason <> 'low_relevance'").select(columns).union(raised.select(columns))
