@@ -1,0 +1,132 @@
+"""Extracting units at three levels of detail from whole source files."""
+
+from __future__ import annotations
+
+import ast
+import math
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Extension -> language, and how comments and literals look there.
+LANGUAGES = {
+    "py": "python", "rs": "rust", "go": "go", "java": "java", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript",
+}
+MARK = "body elided"
+_QUIET = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'|`[^`]*`|(?P<open>\{)|(?P<close>\})")
+_QUIET_RUBY = re.compile(r"#[^\n]*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|(?P<open>(?:^[ \t]*|[=(] ?)(?:def|class|module|if|unless|while|until|case|begin|for)\b|\bdo\b(?=[^\n]*$))|(?P<close>^[ \t]*end\b)", re.M)
+_CALL = re.compile(r"(?:([A-Za-z_][\w]*)(?:\.|::))?([A-Za-z_]\w+)\s*\(")
+_HEADS = {
+    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?P<kind>fn|struct|enum|trait|impl|type)\s+(?:<[^>]*>\s*)?(?P<name>\w+)",
+    "go": r"^(?P<kind>func|type)\s+(?P<recv>\([^)]*\)\s*)?(?P<name>\w+)",
+    "java": r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:(?P<kind>class|interface|enum|record)\s+(?P<name>\w+)|(?!return\b|new\b|else\b)[\w<>\[\],.? ]+\s(?P<method>\w+)\s*\([^;{]*\)\s*(?:throws [\w, ]+)?\{)",
+    "javascript": r"^[ \t]*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(?:(?P<kind>class|interface|enum|type)\s+(?P<name>\w+)|(?:async\s+)?function\s*\*?\s*(?P<func>\w+)|(?:(?:async|static|public|private|protected|readonly)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)(?P<method>\w+)\s*\([^;{}]*\)\s*(?::[^;{\n]+)?\{)",
+    "cpp": r"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:(?P<kind>class|struct|enum|namespace)\s+(?:class\s+)?(?P<name>\w+)[^;{]*\{|(?!return\b|else\b|new\b|throw\b)(?:[\w:<>*&]+\s+)+[*&]*(?P<func>[\w:~]+)\s*\([^;{}]*\)\s*(?:const\s*)?\{)",
+    "ruby": r"^[ \t]*(?P<kind>def|class|module)\s+(?:self\.)?(?P<name>[\w:]+[?!]?)",
+    "php": r"^[ \t]*(?:(?:public|private|protected|static|abstract|final)\s+)*(?P<kind>function|class|interface|trait|enum)\s+&?(?P<name>\w+)",
+}
+_HEADS |= {"typescript": _HEADS["javascript"], "csharp": _HEADS["java"], "c": _HEADS["cpp"]}
+_KINDS = {"fn": "function", "func": "function", "def": "method", "module": "impl", "namespace": "impl", "record": "class"}
+_WHOLE = ("enum", "type", "const")
+COLUMNS = "repo string, file string, kind string, name string, doc_comment string, signature string, full_text string, compact_text string, skeleton_text string, start_line int, end_line int, tok_full long, tok_compact long, tok_skeleton long, refs array<string>"
+
+
+def _tokens(text: str) -> int:
+    return math.ceil(len(text.encode("utf-8", "replace")) / 4)
+
+
+def _tiers(lang: str, kind: str, signature: str, doc: str | None, full: str) -> tuple[str, str]:
+    """The compact and the skeleton text: never longer than the full one but for a leading doc comment."""
+    lines = full.split("\n")
+    note = lambda what: {"python": f"    ...  # {what}", "ruby": f"  # ... {what} ...\nend", "go": f"    // ... {what} ...\n}}"}.get(lang, f"    /* ... {what} ... */\n}}")
+    head = signature if lang in ("python", "ruby") else signature.rstrip("{ ") + " {"
+    skeleton = full if kind in _WHOLE else "\n".join([head, *([f"    {doc}"] if lang == "python" and doc else []), note(MARK)])
+    body = [x for x in lines[1:] if x.strip() and x.strip() not in "{}"][:5]
+    compact = full if len(lines) <= 8 else "\n".join([head, *body, note("remaining " + MARK)])
+    skeleton, compact = (x if len(x) < len(full) else full for x in (skeleton, compact))
+    lead = f"{doc}\n" if doc and lang != "python" else ""
+    return lead + compact, lead + skeleton
+
+
+def _python(text: str):
+    lines = text.split("\n")
+    for node in ast.walk(ast.parse(text)):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            full = "\n".join(lines[node.lineno - 1 : node.end_lineno])
+            calls = {c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(node) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))}
+            yield "class" if isinstance(node, ast.ClassDef) else "function", node.name, ast.get_docstring(node, clean=False), lines[node.lineno - 1].strip(), full, node.lineno, node.end_lineno, calls
+
+
+def _blocks(text: str, lang: str):
+    quiet = _QUIET_RUBY if lang == "ruby" else _QUIET
+    marks = [(m.start(), m.end(), m.lastgroup) for m in quiet.finditer(text) if m.lastgroup]
+    for m in re.finditer(_HEADS[lang], text, re.M):
+        found = m.groupdict()
+        name = found.get("name") or found.get("func") or found.get("method")
+        kind = found.get("kind") or ("method" if found.get("method") else "function")
+        kind = "method" if found.get("recv") else _KINDS.get(kind, kind)
+        depth, stop = 0, None
+        semicolon = text.find(";", m.end()) if lang != "ruby" else -1
+        for a, b, what in marks:
+            if a < m.start():
+                continue
+            if what == "open" and not depth and 0 <= semicolon < a:
+                break
+            depth += 1 if what == "open" else -1
+            if depth <= 0:
+                stop = b
+                break
+        if stop is None:
+            stop = semicolon + 1 if semicolon >= 0 else text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text)
+        begin = m.start() + len(m[0]) - len(m[0].lstrip())
+        full = text[begin:stop]
+        above = re.search(r"((?:^[ \t]*(?://|#|\*|/\*)[^\n]*\n)+)[ \t]*$", text[:begin], re.M)
+        line = text.count("\n", 0, begin) + 1
+        yield kind, name, above[1].strip() if above else None, full.split("\n")[0].strip(), full, line, line + full.count("\n"), {c[2] for c in _CALL.finditer(full)} - {name}
+
+
+def _chunks(path: str, text: str):
+    stem = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
+    lines = text.rstrip("\n").split("\n")
+    for k in range(0, len(lines), 50):
+        part = lines[k : k + 50]
+        yield "function", f"{stem}_part_{k // 50 + 1}", None, part[0].strip(), "\n".join(part), k + 1, k + len(part), set()
+
+
+def units_of(path: str, text: str):
+    """Units of one file; lines in chunks where nothing else is found. Unknown languages and blank texts give none."""
+    lang = LANGUAGES.get(path.rsplit(".", 1)[-1].lower())
+    if lang is None or not text.strip():
+        return
+    try:
+        found = list(_python(text) if lang == "python" else _blocks(text, lang))
+    except (SyntaxError, ValueError, RecursionError):
+        found = []
+    for kind, name, doc, signature, full, first, last, calls in found or _chunks(path, text):
+        compact, skeleton = _tiers(lang, kind, signature, doc, full)
+        size = _tokens(full)
+        yield kind, name, doc, signature, full, compact, skeleton, first, last, size, min(size, _tokens(compact)), min(size, _tokens(skeleton)), sorted(c for c in calls if len(c) > 1)
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """Units of ``files`` (repo, file, content): one narrow pass, a file at a time. Null contents give none."""
+
+    def parse(batches):
+        names = [c.split()[0] for c in COLUMNS.split(", ")]
+        for pdf in batches:
+            out = [(r, f, *u) for r, f, t in zip(pdf["repo"], pdf["file"], pdf["content"]) if isinstance(t, str) and isinstance(f, str) for u in units_of(f, t)]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return files.select("repo", "file", "content").mapInPandas(parse, COLUMNS)
+
+
+def read_sources(spark, root: str, ignore: str = r"(?:^|/)(?:\.git|node_modules|target|dist|build|vendor|__pycache__)/|\.min\.js$") -> DataFrame:
+    """repo, file, content of the text files under ``root``: known extensions, not ignored, no NUL in the first 8 KB, valid UTF-8."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    ext = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    kept = raw.where(ext.isin(list(LANGUAGES)) & ~F.col("path").rlike(ignore) & (F.position(F.lit("00"), F.regexp_replace(F.hex(F.substring("content", 1, 8192)), "(..)", "$1 ")) == 0))
+    return kept.select(F.lit(root).alias("repo"), F.regexp_replace("path", r"^\w+:/*", "/").alias("file"), F.col("content").cast("string").alias("content")).where(F.is_valid_utf8("content"))

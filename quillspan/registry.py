@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as fn
-from quillspan.operators import graph, packing, ranking, records, redaction
+from quillspan.operators import extract, graph, packing, ranking, records, redaction
 from quillspan.operators import units as code
 from quillspan.plans import context
 from quillspan.sources.tables import cut, table
@@ -343,4 +343,14 @@ def watched_units(spark, sf_dir):
     return spark.read.schema(seen.schema).parquet(f"{out}/rows").distinct()
 
 
+@query()
+def extracted_units(spark, sf_dir):
+    """Units found anew in every file, put together from the texts of its outermost recorded units."""
+    units = _units(spark, sf_dir, "repo", "file", "start_line", "end_line", "full_text").where("full_text is not null and file is not null")
+    part = F.struct("start_line", "unit_id", "full_text")
+    files = units.groupBy("repo", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["full_text"]), "\n\n").alias("content"))
+    found = extract.extract(files)
+    return found.select("repo", "file", "kind", "name", "start_line", "end_line", "tok_full", "tok_compact", "tok_skeleton", F.size("refs").alias("n_refs"))
+
+
 __all__ = ["QUERIES", "SQL", "cut", "packing"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as fn
-from quillspan.operators import graph, packing, ranking, records, redaction, units
+from quillspan.operators import extract, graph, packing, ranking, records, redaction, units
 from quillspan.sources.tables import latest, normal_path
 from quillspan.streaming import watch
 
@@ -174,3 +174,34 @@ def test_event_windows_batch_equals_stream(spark, tmp_path):
     query.awaitTermination()
     batch, closed = rows(watch.event_windows(df)), rows(spark.table("win"))
     assert closed and set(closed) <= set(batch)
+
+
+@pytest.mark.parametrize(
+    "path,text,want",
+    [
+        ("a.py", 'class A:\n    """Doc."""\n    def f(self):\n        return g(1)\n', {("class", "A"), ("function", "f")}),
+        ("a.rs", "/// Doc.\npub fn f() -> i32 {\n    g(\"}\") // }\n}\nstruct S;\n", {("function", "f"), ("struct", "S")}),
+        ("a.go", "func (r *R) F() int {\n\treturn 1\n}\ntype T struct {\n\ta int\n}\n", {("method", "F"), ("type", "T")}),
+        ("a.java", "public class A {\n  private int f(int a) {\n    return a;\n  }\n}\n", {("class", "A"), ("method", "f")}),
+        ("a.ts", "export class A {\n  f(a: number): string {\n    if (a) {\n    }\n    return '';\n  }\n}\n", {("class", "A"), ("method", "f")}),
+        ("a.rb", "class A\n  def f\n    if x\n      1\n    end\n  end\nend\n", {("class", "A"), ("method", "f")}),
+        ("a.cpp", "int f(int a) {\n  return a;\n}\n", {("function", "f")}),
+        ("a.php", "<?php\nfunction f($a) {\n  return $a;\n}\n", {("function", "f")}),
+        ("b.py", "x = 1\n" * 60, {("function", "b_part_1"), ("function", "b_part_2")}),
+        ("a.txt", "hello", set()),
+        ("e.py", "", set()),
+    ],
+)
+def test_extract(path, text, want):
+    assert {(u[0], u[1]) for u in extract.units_of(path, text)} == want
+
+
+def test_extract_job_and_sources(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "m.rs").write_text("pub fn f() {\n" + "    g();\n" * 12 + "}\n")
+    (tmp_path / "src" / "b.rs").write_bytes(b"GG\0")
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "x.js").write_text("function f() {}")
+    unit = extract.extract(extract.read_sources(spark, str(tmp_path))).collect()
+    assert [(u["name"], u["refs"], u["tok_skeleton"] < u["tok_compact"] < u["tok_full"]) for u in unit] == [("f", ["g"], True)]
+    assert extract.extract(spark.createDataFrame([("r", "a.py", None), ("r", None, "x")], "repo string, file string, content string")).count() == 0
