@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import math
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,9 +71,7 @@ def _blocks(text: str, lang: str):
         kind = "method" if found.get("recv") else _KINDS.get(kind, kind)
         depth, stop = 0, None
         semicolon = text.find(";", m.end()) if lang != "ruby" else -1
-        for a, b, what in marks:
-            if a < m.start():
-                continue
+        for a, b, what in marks[bisect_left(marks, (m.start(),)) :]:
             if what == "open" and not depth and 0 <= semicolon < a:
                 break
             depth += 1 if what == "open" else -1

@@ -203,5 +203,5 @@ def test_extract_job_and_sources(spark, tmp_path):
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "x.js").write_text("function f() {}")
     unit = extract.extract(extract.read_sources(spark, str(tmp_path))).collect()
-    assert [(u["name"], u["refs"], u["tok_skeleton"] < u["tok_compact"] < u["tok_full"]) for u in unit] == [("f", ["g"], True)]
+    assert [(u["name"], u["refs"], u["tok_skeleton"] < u["tok_compact"] < u["tok_full"]) for u in unit] == [("f", ["gg"], True)]
     assert extract.extract(spark.createDataFrame([("r", "a.py", None), ("r", None, "x")], "repo string, file string, content string")).count() == 0
