@@ -198,7 +198,7 @@ def test_extract(path, text, want):
 
 def test_extract_job_and_sources(spark, tmp_path):
     (tmp_path / "src").mkdir()
-    (tmp_path / "src" / "m.rs").write_text("pub fn f() {\n" + "    g();\n" * 12 + "}\n")
+    (tmp_path / "src" / "m.rs").write_text("pub fn f() {\n" + "    gg();\n" * 12 + "}\n")
     (tmp_path / "src" / "b.rs").write_bytes(b"GG\0")
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "x.js").write_text("function f() {}")
