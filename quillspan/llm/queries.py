@@ -143,4 +143,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }
-SQL: dict[str, str] = {}
+
+
+def _shingles_sql(key: str, source: str) -> str:
+    words = rf"regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')"
+    parts = "list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))"
+    return f"select distinct {key}, unnest({parts}) as s from (select {key}, {words} as ws from {source} where text is not null) where len(ws) >= 12"
+
+
+SQL: dict[str, str] = {
+    "p7_found": f"with d as ({_shingles_sql('doc_id', 'documents')}), i as ({_shingles_sql('item_id', 'eval_items')}) select distinct doc_id, item_id from d join i using (s)",
+}
