@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspan.sources.tables import cut
 
 HEAD = 4096
-_SCHEMA = "grp string, unit_id long, ord int, inclusion string, tokens long, skeleton_reason string, warned boolean, used long"
+_SCHEMA = "grp string, unit_id long, ord int, inclusion string, tokens long, skeleton_reason string, warned boolean, tok_compact long, used long"
 
 
 def _fold(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
@@ -19,7 +19,7 @@ def _fold(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     for r in pdf.sort_values("ord").itertuples():
         full, compact, skeleton = int(r.tok_full), int(r.tok_compact), int(r.tok_skeleton)
         if used + skeleton > budget:
-            rows.append((r.grp, r.unit_id, r.ord, None, 0, None, False))
+            rows.append((r.grp, r.unit_id, r.ord, None, 0, None, False, compact))
             continue
         used += skeleton
         kind, tokens, reason = "skeleton", skeleton, "low_relevance"
@@ -34,8 +34,8 @@ def _fold(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
                 kind, tokens, used = "compact", compact, used + compact - skeleton
             else:
                 reason = "budget_exhausted"
-        rows.append((r.grp, r.unit_id, r.ord, kind, tokens, reason, bool(r.candidate) and tokens > share))
-    out = pd.DataFrame(rows, columns=["grp", "unit_id", "ord", "inclusion", "tokens", "skeleton_reason", "warned"])
+        rows.append((r.grp, r.unit_id, r.ord, kind, tokens, reason, bool(r.candidate) and tokens > share, compact))
+    out = pd.DataFrame(rows, columns=["grp", "unit_id", "ord", "inclusion", "tokens", "skeleton_reason", "warned", "tok_compact"])
     out["used"] = used
     return out
 
@@ -49,15 +49,24 @@ def _upgrade(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
         if more > 0 and used + more <= budget:
             used += more
             pdf.loc[i, ["inclusion", "tokens", "skeleton_reason"]] = ["compact", int(r.tok_compact), None]
-    return pdf[["grp", "unit_id", "ord", "inclusion", "tokens", "skeleton_reason", "warned", "used"]]
+    return pdf[["grp", "unit_id", "ord", "inclusion", "tokens", "skeleton_reason", "warned", "tok_compact", "used"]]
 
 
 def packing_order(units: DataFrame) -> DataFrame:
-    """Candidates (score > 0, or all where none is) before others; by score, or by turns of files where no score is positive."""
-    ready = units.join(units.groupBy("grp").agg((F.coalesce(F.max("score"), F.lit(0.0)) > 0).alias("any")), "grp")
-    ready = ready.withColumn("candidate", ~F.col("any") | (F.coalesce("score", F.lit(0.0)) > 0))
+    """Candidates (score > 0, or all where none is) before others; by score, or by turns of files where no score is positive.
+
+    Adds candidate, turn, rank and ``n``, the candidates of the group; one aggregate gives all a group needs.
+    """
+    score = F.coalesce("score", F.lit(0.0))
+    groups = units.groupBy("grp").agg(F.count_if(score > 0).alias("positive"), F.count("*").alias("all"))
+    ready = units.join(groups, "grp").withColumn("any", F.col("positive") > 0)
     turn = F.row_number().over(Window.partitionBy("grp", "file").orderBy("unit_id"))
-    return ready.withColumns({"turn": F.when(F.col("any"), 0).otherwise(turn), "rank": F.when(F.col("any"), -F.coalesce("score", F.lit(0.0))).otherwise(0.0)}).drop("any")
+    return ready.withColumns({
+        "candidate": ~F.col("any") | (score > 0),
+        "n": F.when(F.col("any"), F.col("positive")).otherwise(F.col("all")),
+        "turn": F.when(F.col("any"), 0).otherwise(turn),
+        "rank": F.when(F.col("any"), -score).otherwise(0.0),
+    }).drop("any", "positive", "all")
 
 
 def pack(units: DataFrame, budget: int) -> DataFrame:
@@ -70,9 +79,8 @@ def pack(units: DataFrame, budget: int) -> DataFrame:
     through tasks of at most ``HEAD`` narrow rows, and the rounds end as the budget fills.
     """
     filled = units.select("grp", "unit_id", "file", F.coalesce("start_line", F.lit(0)).alias("start_line"), "score", *[F.greatest(F.lit(0), F.coalesce(c, F.lit(0))).alias(c) for c in ("tok_full", "tok_compact", "tok_skeleton")]).dropDuplicates(["grp", "unit_id"])
-    ordered = packing_order(filled)
-    counts = ordered.where("candidate").groupBy("grp").agg(F.count("*").alias("n"))
-    waiting = cut(ordered.join(counts, "grp"))
+    # The scores behind ``units`` are dear and read twice in ordering, so the narrow rows are written first.
+    waiting = cut(packing_order(cut(filled)))
     order = Window.partitionBy("grp").orderBy(F.desc("candidate"), "turn", "rank", "file", "start_line", "unit_id")
     used, passed, parts = None, 0, []
     while True:
@@ -84,7 +92,7 @@ def pack(units: DataFrame, budget: int) -> DataFrame:
         used = told.groupBy("grp").agg(F.max("used").alias("used"))
         rest = waiting.join(told, ["grp", "unit_id"], "left_anti").join(used, "grp")
         left_out = rest.where(F.col("used") + F.col("tok_skeleton") > budget)
-        parts.append(left_out.select("grp", "unit_id", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("inclusion"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("string").alias("skeleton_reason"), F.lit(False).alias("warned"), "used"))
+        parts.append(left_out.select("grp", "unit_id", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("inclusion"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("string").alias("skeleton_reason"), F.lit(False).alias("warned"), "tok_compact", "used"))
         waiting = rest.where(F.col("used") + F.col("tok_skeleton") <= budget).drop("used")
         passed += HEAD
         if waiting.isEmpty():
@@ -93,7 +101,7 @@ def pack(units: DataFrame, budget: int) -> DataFrame:
     for part in parts[1:]:
         every = every.union(part)
     final = every.groupBy("grp").agg(F.max("used").alias("used"))
-    low = every.where("skeleton_reason = 'low_relevance'").drop("used").join(final, "grp").join(ordered.select("grp", "unit_id", "tok_compact"), ["grp", "unit_id"])
+    low = every.where("skeleton_reason = 'low_relevance'").drop("used").join(final, "grp")
     raised = low.groupBy("grp").applyInPandas(lambda pdf: _upgrade(pdf, budget), _SCHEMA)
     columns = ["grp", "unit_id", "ord", "inclusion", "tokens", "skeleton_reason", "warned"]
     return every.where("skeleton_reason is null or skeleton_reason <> 'low_relevance'").select(columns).union(raised.select(columns))
