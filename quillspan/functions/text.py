@@ -32,11 +32,17 @@ def stem(word: Column) -> Column:
     return out.when(word.endswith("s") & ~word.endswith("ss") & (size >= 4), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
+def term_set(text: Column) -> Column:
+    """Distinct words of two bytes or more, each with its stem, in no order. The text is split once, a repeated word stemmed once."""
+    border = r"[^\p{L}\p{N}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+    words = F.array_distinct(F.split(text, border))
+    words = F.array_distinct(F.transform(F.filter(words, lambda w: F.octet_length(w) >= 2), F.lower))
+    return F.array_distinct(F.filter(F.flatten(F.transform(words, lambda w: F.array(w, stem(w)))), lambda w: F.octet_length(w) >= 2))
+
+
 def tokenize(text: Column) -> Column:
     """Sorted distinct words of two bytes or more, each with its stem."""
-    words = F.filter(split_identifier(text), lambda w: F.octet_length(w) >= 2)
-    stems = F.filter(F.transform(words, stem), lambda w: F.octet_length(w) >= 2)
-    return F.array_sort(F.array_distinct(F.concat(words, stems)))
+    return F.sort_array(term_set(text))
 
 
 def first_line(text: Column) -> Column:

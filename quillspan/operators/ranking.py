@@ -2,42 +2,58 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import tokenize
+from quillspan.functions.text import term_set
+
+
+def _related(query: dict[str, float]) -> str:
+    """A pattern of the words that can match any term: the term; from four bytes on also what it begins, and its own beginnings."""
+    forms = []
+    for term in sorted(query):
+        long = len(term.encode()) >= 4
+        forms.append(re.escape(term) + ("[\\s\\S]*" if long else ""))
+        forms += [re.escape(term[:k]) for k in range(1, len(term)) if long and len(term[:k].encode()) >= 4]
+    return f"^(?:{'|'.join(forms)})$" if forms else "^$"
 
 
-def _best(terms: Column, term: str) -> Column:
+def _best(terms: Column, term: Column) -> Column:
     """1 for the term itself, 0.85 where one is a prefix of the other and both have four bytes or more, else 0."""
-    near = lambda t: F.startswith(t, F.lit(term)) | F.startswith(F.lit(term), t)
-    close = F.exists(terms, lambda t: (F.octet_length(t) >= 4) & near(t)) if len(term.encode()) >= 4 else F.lit(False)
-    return F.when(F.array_contains(terms, term), 1.0).when(close, 0.85).otherwise(0.0)
+    close = F.exists(terms, lambda t: (F.octet_length(t) >= 4) & (F.startswith(t, term) | F.startswith(term, t)))
+    return F.when(F.array_contains(terms, term), 1.0).when((F.octet_length(term) >= 4) & close, 0.85).otherwise(0.0)
 
 
 def lexical_scores(units: DataFrame, query: dict[str, float]) -> DataFrame:
     """``units`` with score parts: name 4, doc 3.5 and signature 1.5 times weight; body 0.8 where these three miss.
 
     ``query`` maps terms to weights. The total is the sum over 1 + signature terms / 50. Null texts
-    have no terms. Terms are matched as literals, so the scan stays one narrow, generated stage.
+    have no terms. Of each text's words one pattern first keeps those that can match, so that the terms
+    are compared with a handful of words; the four texts go through one expression, which keeps the plan small.
     """
-    fields = {"n": "name", "d": "doc_comment", "s": "signature", "b": "full_text"}
-    words = units.withColumns({f"_{k}": tokenize(F.coalesce(F.col(c), F.lit(""))) for k, c in fields.items()})
+    terms, related = sorted(query), F.lit(_related(query))
+    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("name", "doc_comment", "signature", "full_text")])
+    words = units.withColumn("_sets", F.transform(texts, term_set)).withColumn("_n_sig", F.size(F.col("_sets")[2]))
+    hits = words.withColumn("_hits", F.transform("_sets", lambda s: F.filter(s, lambda w: F.rlike(w, related))))
+    asked = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    told = hits.withColumn("_best", F.transform("_hits", lambda s: F.transform(asked, lambda t: _best(s, t))))
     zero = F.lit(0.0)
     parts = {"name_score": zero, "doc_score": zero, "sig_score": zero, "body_score": zero}
     matched = []
-    for term, weight in sorted(query.items()):
-        n, d, s, b = (_best(F.col(f"_{k}"), term) for k in "ndsb")
+    for i, term in enumerate(terms):
+        weight = query[term]
+        n, d, s, b = (F.col("_best")[k][i] for k in range(4))
         head = n + d + s
         parts["name_score"] += 4.0 * weight * n
         parts["doc_score"] += 3.5 * weight * d
         parts["sig_score"] += 1.5 * weight * s
         parts["body_score"] += F.when(head == 0, 0.8 * weight * b).otherwise(0.0)
         matched.append(F.when(head + b > 0, F.lit(term)))
-    length = 1 + F.size("_s") / 50
-    scored = words.withColumns({**parts, "matched_terms": F.array_compact(F.array(*matched)), "_length": length})
+    scored = told.withColumns({**parts, "matched_terms": F.array_compact(F.array(*matched).cast("array<string>")), "_length": 1 + F.col("_n_sig") / 50})
     total = (F.col("name_score") + F.col("doc_score") + F.col("sig_score") + F.col("body_score")) / F.col("_length")
-    return scored.withColumn("score", F.round(total, 6)).drop("_n", "_d", "_s", "_b", "_length")
+    return scored.withColumn("score", F.round(total, 6)).drop("_sets", "_n_sig", "_hits", "_best", "_length")
 
 
 def centrality_boost(scores: DataFrame, centrality: DataFrame, weight: float = 0.5) -> DataFrame:
