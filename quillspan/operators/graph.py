@@ -78,3 +78,16 @@ def dependencies(edges: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 __all__ = ["call_edges", "distinct_links", "degrees", "pagerank", "dependencies", "Window"]
+
+
+def edge_reasons(edges: DataFrame, full: DataFrame) -> DataFrame:
+    """For each callee of the full units its first caller: callee_id, caller_id, caller_file, caller_line, callers.
+
+    First is the least (caller_id, caller_file, caller_line), nulls first; edges given twice count once. Kept by partial
+    minima, so a callee that everything calls is no single task.
+    """
+    rows = edges.select("caller_id", "callee_id", "caller_file", "caller_line").where("caller_id is not null and callee_id is not null and caller_id <> callee_id")
+    met = rows.join(full.select(F.col("unit_id").alias("caller_id")).distinct(), "caller_id", "left_semi")
+    first = F.min(F.struct("caller_id", "caller_file", "caller_line")).alias("first")
+    told = met.distinct().groupBy("callee_id").agg(first, F.count("*").alias("calls"))
+    return told.select("callee_id", "first.*", "calls")

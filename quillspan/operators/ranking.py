@@ -7,7 +7,47 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import term_set
+from quillspan.functions.text import stem, term_set
+
+# Words that call up a concept, and the words that come with it.
+CONCEPTS = [
+    ("leak leaking leakage", "dispose free close drop cleanup release drain flush destroy dealloc"),
+    ("auth authenticate authenticat authorization authoriz", "jwt token session login logout credential permission oauth bearer user"),
+    ("conn connection connect", "pool socket client session handshake channel stream transport"),
+    ("db database sql", "query table pool store storage repo persist entity migration tx"),
+    ("cache caching", "memoize lru store lookup hit miss evict ttl entry expire"),
+    ("config configure configuration", "setting option env param preference toml yaml json flag"),
+    ("fix bug patch", "repair resolve correct handle error panic fault recover"),
+    ("find search", "lookup query get locate discover fetch scan index"),
+    ("init initialize setup", "create construct new build start instantiate load open"),
+    ("budget limit", "cost quota token capacity trim allocate threshold ceiling"),
+    ("parse parsing", "ast syntax grammar tree token lex extract traverse visitor"),
+    ("rank ranking", "score relevance weight priority sort order heuristic bm25"),
+    ("dedupe deduplicate duplicate twice repeat idempotent throttle debounce", "dedupe unique distinct filter throttle debounce cache singleton idempotent once replay request"),
+]
+NEAR = 0.75
+
+
+def expand_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term, weight``: the words and stems of each question at 1, and those of the concepts it calls up at 0.75.
+
+    A word calls up a concept if it equals one of its callers, has the same stem, or the stem of the word is
+    the caller's beginning or begins with it. The concepts are a fixed small table and are broadcast; which
+    concepts a word calls up is settled once per distinct word, not per question. Null keys are dropped, null
+    and empty texts have no terms, repeated rows count once.
+    """
+    spark = questions.sparkSession
+    rows = [(n, c, s) for n, (callers, near) in enumerate(CONCEPTS) for c in callers.split() for s in [near]]
+    concepts = spark.createDataFrame(rows, "concept int, caller string, near string")
+    called = concepts.select("concept", "caller", stem(F.col("caller")).alias("caller_stem"))
+    near = concepts.select("concept", F.explode(term_set(F.col("near"))).alias("term")).distinct()
+    own = questions.select(F.col(key).alias("_key"), F.explode(term_set(F.coalesce(F.col(text), F.lit("")))).alias("term")).where("_key is not null").distinct()
+    words = own.select("term").distinct().withColumn("root", stem(F.col("term")))
+    meets = (F.col("caller") == F.col("term")) | (F.col("caller_stem") == F.col("root")) | F.startswith("caller", "root") | F.startswith("root", "caller")
+    calls = words.join(F.broadcast(called), meets).select(F.col("term").alias("word"), "concept").distinct()
+    added = own.join(calls, F.col("term") == F.col("word")).select("_key", "concept").distinct().join(F.broadcast(near), "concept")
+    every = own.withColumn("weight", F.lit(1.0)).union(added.select("_key", "term", F.lit(NEAR)))
+    return every.groupBy(F.col("_key").alias(key), "term").agg(F.max("weight").alias("weight"))
 
 
 def _related(query: dict[str, float]) -> str:

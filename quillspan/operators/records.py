@@ -80,3 +80,22 @@ def shared_callees(edges: DataFrame) -> DataFrame:
     """Per file the number of units of other files that it calls: distinct callees, and calls in all."""
     rows = edges.where("caller_file is not null and callee_id is not null").select("caller_file", "caller_id", "callee_id", "caller_line").distinct()
     return rows.groupBy("caller_file").agg(F.count_distinct("callee_id").alias("callees"), F.count("*").alias("calls"))
+
+
+# Folders that a scan passes over, and the file endings of the languages it reads.
+IGNORED = "node_modules .git dist build venv .venv __pycache__ .pytest_cache target vendor .next .turbo .cache .output out coverage .idea .vscode".split()
+READ = "py rs go java cpp ts js rb".split()
+IGNORED_PATH = "(?:^|/)(?:" + "|".join(n.replace(".", "[.]") for n in IGNORED) + ")/|[.]min[.]js$"
+
+
+def scan_filter(cache: DataFrame) -> DataFrame:
+    """Per repository and outcome (ignored, unread, kept): different files and the sum of their greatest sizes.
+
+    A file is ignored by its folders or a minified ending, unread where its ending is of no known language.
+    Judged by the path alone, before any content is read; null paths are dropped, null sizes count 0.
+    """
+    files = cache.select("repo", normal_path(F.col("relative_path")).alias("path"), "file_size").where("path is not null")
+    once = files.groupBy("repo", "path").agg(F.coalesce(F.max("file_size"), F.lit(0)).alias("size"))
+    known = F.lower(F.regexp_extract("path", r"[.](\w+)$", 1)).isin(READ)
+    outcome = F.when(F.col("path").rlike(IGNORED_PATH), "ignored").when(known, "kept").otherwise("unread")
+    return once.groupBy("repo", outcome.alias("outcome")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

@@ -31,3 +31,11 @@ def redactions(text: Column) -> Column:
     """How many placeholders redacting adds."""
     count = lambda t: F.size(F.split(t, r"\[REDACTED: ", -1)) - 1
     return count(redact(text)) - count(text)
+
+
+def placeholders(text: Column) -> Column:
+    """label and n of each kind of placeholder that redacting adds; kinds without any are left out."""
+    clean = redact(text)
+    count = lambda t, label: F.size(F.split(t, rf"\[REDACTED: {label}\]", -1)) - 1
+    parts = lambda c: F.array(*[F.struct(F.lit(label).alias("label"), (count(c[0], label) - count(c[1], label)).alias("n")) for label, _, _ in RULES])
+    return F.filter(F.element_at(F.transform(F.array(F.array(clean, text)), parts), 1), lambda p: p["n"] > 0)

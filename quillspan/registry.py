@@ -71,14 +71,23 @@ def _score_sql() -> str:
     )
 
 
-def _pack_sql() -> str:
+def _matched_sql() -> str:
+    def hit(col: str, t: str) -> str:
+        near = f"len(list_filter({col}, lambda q: strlen(q) >= 4 and (starts_with(q, '{t}') or starts_with('{t}', q)))) > 0" if len(t) >= 4 else "false"
+        return f"list_contains({col}, '{t}') or {near}"
+
+    return "list_filter([" + ", ".join(f"case when {' or '.join(hit(c, t) for c in 'ndsb')} then '{t}' end" for t in sorted(context.QUESTION)) + "], lambda t: t is not null)"
+
+
+def _pack_sql(ranked: bool = True) -> str:
     b, share = BUDGET, BUDGET * 60 // 100
     fits, u = f"p.used + o.s > {b}", "p.used"
     greedy = f"(o.n > 1 and o.f > {share} and {u} + o.f + (o.n - 1) * 15 > {b})"
     cases = [(fits, u, "'X'"), ("not o.cand", f"{u} + o.s", "'L'"), ("o.f <= o.s", f"{u} + o.s", "'G'"), (f"not {greedy} and {u} + o.f <= {b}", f"{u} + o.f", "'F'"), (f"o.c > o.s and {u} + o.c <= {b}", f"{u} + o.c", "'C'")]
     used = "case " + " ".join(f"when {c} then {x}" for c, x, _ in cases) + f" else {u} + o.s end"
     tier = "case " + " ".join(f"when {c} then {x}" for c, _, x in cases) + " else 'S' end"
-    return f"""recursive {CURRENT}, {_score_sql()},
+    scores = _score_sql() if ranked else "sc as (select *, 0e0 as score from cu)"
+    return f"""recursive {CURRENT}, {scores},
     un as (select repo grp, unit_id, file, coalesce(start_line, 0) sl, score, greatest(0, coalesce(tok_full, 0)) f, greatest(0, coalesce(tok_compact, 0)) c, greatest(0, coalesce(tok_skeleton, 0)) s from sc where repo is not null),
     gp as (select grp, max(score) > 0 pos from un group by grp),
     o1 as (select un.*, (not pos or score > 0) cand, case when pos then 0 else row_number() over (partition by grp, file order by unit_id) end turn, case when pos then -score else 0e0 end rnk from un join gp using (grp)),
@@ -159,6 +168,44 @@ def payloads(spark, sf_dir):
     return context.payloads(table(spark, sf_dir, "code_units"), BUDGET).select("grp", "file", "best", F.md5("payload").alias("payload_md5"))
 
 
+@query(f"with {_pack_sql(ranked=False)} select grp, unit_id, inclusion, tokens, skeleton_reason from pk")
+def turns_pack(spark, sf_dir):
+    """Every unit's place where nothing is scored: the files of a repository take turns."""
+    return context.packed(table(spark, sf_dir, "code_units"), BUDGET, {}).select("grp", "unit_id", "inclusion", "tokens", "skeleton_reason")
+
+
+@query(f"with {_pack_sql()} select grp, unit_id, tokens, round(tokens * 100 / {BUDGET}::double, 4) pct_of_budget from pk where warned")
+def budget_warnings(spark, sf_dir):
+    """Units that take more than six tenths of their repository's budget."""
+    plan = context.packed(table(spark, sf_dir, "code_units"), BUDGET).where("warned")
+    return plan.select("grp", "unit_id", "tokens", F.round(F.col("tokens") * 100 / BUDGET, 4).alias("pct_of_budget"))
+
+
+@query(f"with {CURRENT}, {_score_sql()}, m as (select unit_id, {_matched_sql()} terms from sc) select term, count(*) units from (select unnest(terms) term from m) group by term")
+def matched_terms(spark, sf_dir):
+    """In how many units each term of the question is matched."""
+    scored = context.scored_units(table(spark, sf_dir, "code_units"))
+    return scored.select(F.explode("matched_terms").alias("term")).groupBy("term").agg(F.count("*").alias("units"))
+
+
+def _concepts_sql() -> str:
+    rows = ", ".join(f"({n}, '{c}', '{near}')" for n, (callers, near) in enumerate(ranking.CONCEPTS) for c in callers.split())
+    return f"cc(concept, caller, near) as (values {rows})"
+
+
+@query(
+    f"""with {CURRENT}, {_concepts_sql()}, ow as (select distinct unit_id, unnest({_terms_sql('name')}) term from cu),
+    nr as (select distinct concept, unnest({_terms_sql('near')}) term from cc),
+    wd as (select term word, {_stem_sql('term')} root from (select distinct term from ow)), cs as (select concept, caller, {_stem_sql('caller')} caller_stem from cc),
+    ca as (select distinct word, concept from wd join cs on caller = word or caller_stem = root or starts_with(caller, root) or starts_with(root, caller)),
+    al as (select unit_id, term, 1e0 weight from ow union all select o.unit_id, nr.term, 0.75e0 from (select distinct unit_id, concept from ow join ca on ow.term = ca.word) o join nr using (concept))
+    select unit_id, term, max(weight) weight from al group by unit_id, term"""
+)
+def expanded_names(spark, sf_dir):
+    """The words of every unit's name as a question, with those of the concepts they call up."""
+    return ranking.expand_terms(_units(spark, sf_dir, "name"), "unit_id", "name")
+
+
 @query()
 def dependency_repack(spark, sf_dir):
     """The packing after the callees of full units got their boost."""
@@ -296,6 +343,41 @@ def redact_text(spark, sf_dir):
     return units.select("unit_id", F.md5(redaction.redact(F.col("full_text"))).alias("clean_md5"), redaction.redactions(F.col("full_text")).alias("added"))
 
 
+def _labels_sql() -> str:
+    count = lambda x, label: f"len(string_split({x}, '[REDACTED: {label}]'))"
+    return " union all ".join(f"select '{label}' as label, {count('clean', label)} - {count('full_text', label)} n from r" for label, _, _ in redaction.RULES)
+
+
+@query(f"with {CURRENT}, r as (select full_text, {_redact_sql('full_text')} clean from cu where full_text is not null), c as ({_labels_sql()}) select label, sum(n)::bigint places, count(*) units from c where n > 0 group by label")
+def redaction_labels(spark, sf_dir):
+    """Places and units per kind of credential that the chain of redactions finds."""
+    units = _units(spark, sf_dir, "full_text").where("full_text is not null")
+    found = units.select(F.explode(redaction.placeholders(F.col("full_text"))).alias("p"))
+    return found.groupBy("p.label").agg(F.sum("p.n").alias("places"), F.count("*").alias("units"))
+
+
+@query(
+    f"""with {PLANNED}, fl as (select distinct unit_id from pu where lower(inclusion) = 'full' and unit_id is not null),
+    e as (select distinct caller_id, callee_id, caller_file, caller_line from graph_edges where caller_id in (select unit_id from fl) and callee_id is not null and caller_id <> callee_id),
+    k as (select *, row_number() over (partition by callee_id order by caller_id, caller_file nulls first, caller_line nulls first) n, count(*) over (partition by callee_id) calls from e)
+    select callee_id, caller_id, caller_file, caller_line, calls from k where n = 1"""
+)
+def edge_reasons(spark, sf_dir):
+    """For every unit that a fully included one calls, by which call it came in."""
+    full = records.current_plan(table(spark, sf_dir, "planned_units")).where("lower(inclusion) = 'full' and unit_id is not null")
+    return graph.edge_reasons(table(spark, sf_dir, "graph_edges"), full)
+
+
+@query(
+    rf"""with f as (select repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path, coalesce(max(file_size), 0) size from file_cache where relative_path is not null group by 1, 2)
+    select repo, case when regexp_matches(path, '{records.IGNORED_PATH}') then 'ignored' when lower(regexp_extract(path, '[.](\w+)$', 1)) in ({", ".join(f"'{x}'" for x in records.READ)}) then 'kept' else 'unread' end outcome,
+    count(*) files, sum(size)::bigint bytes from f group by 1, 2"""
+)
+def scan_filter(spark, sf_dir):
+    """Files that a scan would ignore, cannot read, or keeps, with their sizes."""
+    return records.scan_filter(table(spark, sf_dir, "file_cache"))
+
+
 @query(
     """with l as (select user_id, max(ts)::date as day from events where user_id is not null and ts is not null group by user_id), d as (select day, row_number() over (order by day desc) - 1 position from (select distinct day from l))
     select user_id, position::int position, round(least(3e0, 1.5e0 * greatest(0.1e0, 1 / (1 + 0.15e0 * position))), 6) boost from l join d using (day)"""

@@ -205,3 +205,38 @@ def test_extract_job_and_sources(spark, tmp_path):
     unit = extract.extract(extract.read_sources(spark, str(tmp_path))).collect()
     assert [(u["name"], u["refs"], u["tok_skeleton"] < u["tok_compact"] < u["tok_full"]) for u in unit] == [("f", ["gg"], True)]
     assert extract.extract(spark.createDataFrame([("r", "a.py", None), ("r", None, "x")], "repo string, file string, content string")).count() == 0
+
+
+def test_lexical_scores_without_terms_and_with_nulls(spark):
+    units = spark.createDataFrame([(1, "readLedger", None, "", "ledgers of budgets"), (2, None, None, None, None)], "unit_id long, name string, doc_comment string, signature string, full_text string")
+    assert rows(ranking.lexical_scores(units, {}).select("unit_id", "score")) == [(1, 0.0), (2, 0.0)]
+    scored = ranking.lexical_scores(units, {"ledger": 1.0, "budg": 0.5}).select("unit_id", "name_score", "body_score", "matched_terms")
+    assert sorted((r[0], r[1], round(r[2], 6), tuple(r[3])) for r in scored.collect()) == [(1, 4.0, 0.34, ("budg", "ledger")), (2, 0.0, 0.0, ())]
+
+
+def test_expand_terms(spark):
+    asked = spark.createDataFrame([(1, "parsing the budget"), (1, "parsing the budget"), (2, ""), (3, None), (None, "leak"), (4, "zebra")], "id long, q string")
+    got = {(r[0], r[1]): r[2] for r in ranking.expand_terms(asked, "id", "q").collect()}
+    assert got[(1, "budget")] == 1.0 and got[(1, "quota")] == 0.75 and got[(1, "syntax")] == 0.75 and got[(1, "token")] == 0.75
+    assert {k[0] for k in got} == {1, 4} and got[(4, "zebra")] == 1.0 and (4, "quota") not in got
+    assert ranking.expand_terms(asked.where("id > 9"), "id", "q").count() == 0
+
+
+def test_placeholders(spark):
+    text = "k = ghp_" + "a1" * 18 + "\nghp_" + "b2" * 18 + "\nAKIA" + "Q" * 16 + "\n[REDACTED: AWS Access Key]"
+    texts = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    told = [r[0] for r in texts.select(redaction.placeholders(F.col("t"))).collect()]
+    assert [(p["label"], p["n"]) for p in told[0]] == [("GitHub Personal Access Token", 2), ("AWS Access Key", 1)]
+    assert not told[1] and not told[2]
+
+
+def test_edge_reasons(spark):
+    edges = spark.createDataFrame([(1, 9, "b", 4), (1, 9, "b", 4), (1, 9, None, 5), (2, 9, "a", 1), (3, 9, "a", 1), (1, 1, "b", 2), (None, 9, "a", 1), (1, None, "a", 1)], "caller_id long, callee_id long, caller_file string, caller_line int")
+    full = spark.createDataFrame([(1,), (1,), (2,)], "unit_id long")
+    assert rows(graph.edge_reasons(edges, full)) == [(9, 1, None, 5, 3)]
+    assert graph.edge_reasons(edges, full.where("unit_id > 5")).count() == 0
+
+
+def test_scan_filter(spark):
+    cache = spark.createDataFrame([("r", "./vendor/a.py", 5), ("r", "vendor\\a.py", 7), ("r", "src/x.min.js", None), ("r", "src/a.py", 3), ("r", "a.txt", 2), ("r", None, 9), ("r", "src/vendors.py", 1)], "repo string, relative_path string, file_size long")
+    assert rows(records.scan_filter(cache)) == [("r", "ignored", 2, 7), ("r", "kept", 2, 4), ("r", "unread", 1, 2)]
