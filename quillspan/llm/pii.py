@@ -92,7 +92,7 @@ def _fill(slot: str, r: random.Random) -> str:
     return f"{r.choice(('Calle del Olivar', 'Avenida de la Bruma', 'Plaza del Muelle', 'Paseo de las Norias', 'C/ Faroles', 'Camino Viejo'))}{r.choice((' ', ', ', ' n.º '))}{house}"
 
 
-def labelled_sentences(copies: int = 16, seed: int = 7) -> list[tuple[list[str], list[bool], list[str]]]:
+def labelled_sentences(copies: int = 30, seed: int = 7) -> list[tuple[list[str], list[bool], list[str]]]:
     """The labelled table as tokens with their labels; each sentence with slots in ``copies`` fillings."""
     r = random.Random(seed)
     out = []
@@ -167,6 +167,8 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
         return (start, end) if digits >= 6 and letters <= 4 and re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9 .\-/]*[A-Za-z0-9]", value) else None
     if re.search(r"\b(?:St|Rd|Ave|Dr|Ln)$", value) and text[end : end + 1] == ".":
         end, value = end + 1, value + "."
+    elif value.endswith(".") and not re.search(r"\b(?:St|Rd|Ave|Dr|Ln)\.$", value):
+        end, value = end - 1, value[:-1]
     return (start, end) if 1 <= digits <= 5 and re.search(r"[^\W\d_]{2}", value) and "\n" not in value else None
 
 

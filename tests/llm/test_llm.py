@@ -232,3 +232,10 @@ def test_values_and_placeholders(spark, model):
     docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string").withColumn("pii_type", F.lit("clash"))
     assert {tuple(x)[1:] for x in pii.find_pii(docs, names).collect()} == found
     assert {x["doc_id"]: x["text"] for x in pii.redact_pii(docs, names).collect()}[1].startswith("Reported by [PERSON_NAME].\nPhone: [PHONE]\n")
+
+
+def test_address_keeps_its_own_full_stop_only():
+    for text, want in (("133B Quarry Street. Then", "133B Quarry Street"), ("29 Lantern Rd. Then", "29 Lantern Rd."), ("29 Lantern Rd, Apt 2", "29 Lantern Rd")):
+        length = len(want) + (want.endswith("Street"))
+        start, end = pii._checked(text, 0, length, "street_address")
+        assert text[start:end] == want
