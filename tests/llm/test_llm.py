@@ -123,6 +123,18 @@ def test_machine_files(spark):
     assert got == {("r", "src/m.js"): "minified", ("r", "src/t.py"): "data", ("r", "src/g.py"): "generated", ("r", "vendor/lib-12a/x.py"): "vendored", ("s", "app/x.py"): "vendored", ("r", "dist/a.min.js"): "minified"}
 
 
+def test_machine_files_of_short_lines_and_late_notices(spark):
+    hand = "function widenMargin(budget) {\n  const total = budget + margin;\n  return total;\n}\n"
+    mini = "function ab(a,b){\n" + "\n".join(f"var {x}{y}=a*{i}+b;if({y}{x}>3){{{y}{x}=a.c(9)}}" for i, (x, y) in enumerate((x, y) for x in "kwzqj" for y in "vxbfgJKQ")) + "}"
+    late = hand * 4 + "// Code generated by stubmaker 2. DO NOT EDIT.\n" + hand
+    units = [("r", f"src/h{i}.js", 1, None, hand * (6 + i), hand) for i in range(12)] + [("r", "src/m.js", 1, None, mini, mini), ("r", "src/l.js", 1, None, late, hand), ("r", "src/u.js", 1, None, hand, hand), ("r", "src/u.js", 9, None, late, hand)]
+    units += [("r", "src/q.js", 1, None, hand * 4 + 'const mark = "Code generated by stubmaker";\n// generated by the caller, do not lose\n// shared with the planner, do not modify\n' + hand, hand), ("r", "src/z.js", 1, None, "z = k9 + q;", "z")]
+    df = spark.createDataFrame(units, "repo string, file string, start_line int, doc_comment string, full_text string, compact_text string")
+    cache = spark.createDataFrame([], "repo string, relative_path string, file_size long")
+    got = {r["path"]: r["reason"] for r in generated.judge_files(df, cache).collect() if r["reason"]}
+    assert got == {"src/m.js": "minified", "src/l.js": "generated", "src/u.js": "generated"}
+
+
 # 5 descriptions
 @pytest.mark.parametrize(
     "comment,name,ok",
