@@ -104,7 +104,7 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn, with their rates and copies."""
-    return _drawn(spark, sf_dir)
+    return _drawn(spark, sf_dir).drop("domains")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,19 @@ def test_mix_reaches_targets(spark):
     assert mixing.mix(df.where("false"), targets).count() == 0
 
 
+def test_mix_counts_documents_without_source(spark):
+    r = random.Random(3)
+    topics = {"a": "apple pear plum", "b": "brick stone slate"}
+    docs = [(i, " ".join(r.choice(topics[s].split()) for _ in range(40)), s if i % 3 else None) for i, s in enumerate(r.choices("ab", [3, 1], k=900))]
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 3)], "source string, target_share double, max_repeats int")
+    drawn = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets, total_tokens=sum(len(t) // 4 for _, t, _ in docs) * 0.8)
+    got = {x["source"]: x for x in mixing.shares(drawn, targets).collect()}
+    total = drawn.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
+    assert abs(sum(x["drawn_tokens"] for x in got.values()) - total) <= 2
+    assert abs(got["b"]["share"] - 0.6) < 0.05 and drawn.where("source is null").agg(F.max("copies")).first()[0] > 1
+    assert drawn.where("source is null and element_at(domains, 'a') > 0.5").agg(F.max("copies")).first()[0] == 1
+
+
 # 9 personal information
 @pytest.fixture(scope="module")
 def model():
