@@ -39,8 +39,16 @@ TOKEN_FORMATS = [
 ]
 # Names under which a credential is kept.
 NAMES = r"(?:[Ss]ecret|SECRET|[Pp]ass(?:w(?:or)?d|phrase)|PASS(?:W(?:OR)?D|PHRASE)|[Pp]wd|PWD|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Aa]uth|AUTH|[Cc]redential|CREDENTIAL|[Ss]igning[_\-]?[Kk]ey|SIGNING[_\-]?KEY|[Ee]ncryption[_\-]?[Kk]ey|ENCRYPTION[_\-]?KEY|[Aa]ccess[_\-]?[Kk]ey|ACCESS[_\-]?KEY|[Pp]rivate[_\-]?[Kk]ey|PRIVATE[_\-]?KEY)"
+
+
+def _head(prefix: str) -> str:
+    """What a token's prefix opens with, in the automaton's expressions: up to its first open repeat, counts written out."""
+    prefix = re.split(r"\[[^\]]*\]\{\d+,\}", prefix)[0]
+    return re.sub(r"(\[[^\]]*\])\{(\d+),(\d+)\}", lambda m: m[1] * int(m[2]) + f"{m[1]}?" * (int(m[3]) - int(m[2])), prefix)
+
+
 HEADS = {
-    "token": r"[^A-Za-z0-9_\-](?:sk-|gsk_|gh[pousr]_|github_pat_|npm_|xox[abprs]-|glpat-|A[KS]IA|AIza|[rsp]k_live_|[rsp]k_test_|[a-z][a-z]?[a-z]?[a-z]?[a-z]?_live_|eyJ)[A-Za-z0-9_\-]{4}",
+    "token": r"[^A-Za-z0-9_\-](?:" + "|".join(_head(p) for _, p, _, _ in TOKEN_FORMATS) + r")[A-Za-z0-9_\-]{4}",
     "armor": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "url": r"://",
     "named": NAMES + r"[A-Za-z0-9_\-]*\\?[\"']?\]?[ \t]*[:=,(]",
@@ -50,7 +58,7 @@ HEADS = {
 }
 
 _TOKEN = re.compile("|".join(f"(?P<{n}>{p}{c}{{{k},}})" for n, p, c, k in TOKEN_FORMATS))
-_ARMOR = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?P<body>(?:\s|\\n|\\r|[\"'+,#*/]|//)*[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/=\s]|\\n|\\r|[\"'+,#*])*)(?:-----END [A-Z ]*PRIVATE KEY-----)?")
+_ARMOR = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s|\\n|\\r|[\"'+,#*/])*(?:[A-Z][A-Za-z0-9\-]*: [^\n\\\"']*(?=[\n\\\"'])(?:\s|\\n|\\r|[\"'+,#*/])+)*(?P<body>[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/=\s]|\\n|\\r|[\"'+,#*])*)(?:-----END [A-Z ]*PRIVATE KEY-----)?")
 _URL = re.compile(r"://(?P<user>[^\s/@:\"'`<>\\]*):(?P<value>[^\s/@\"'`\\]+)@")
 _GIVEN = re.compile(r"""(?:[ \t]*[A-Za-z_&'<>\[\]*? ]{0,30}=|[=>])?[ \t]*(?:concat!\(|String::from\(|b|u|r|R")?(?=\\?["'`])""")
 _NAMED = re.compile(r"""[ \t]*(?:concat!\(|String::from\(|b|u|r|R")?(?P<quote>\\?["'`])(?P<value>.*?)(?P=quote)""")
@@ -84,7 +92,7 @@ def usable(value: str) -> bool:
 
 def _distinct(token: str) -> bool:
     """A token's random part has many different characters, or digits; masks and chained words have not."""
-    body = re.sub(r"^(?:sk-(?:proj-|ant-)?|[a-z]+_(?:live_|test_)?|glpat-|xox.-|A[KS]IA|AIza)", "", token)
+    body = re.sub(r"^(?:sk-(?:proj-|ant-)?|[a-z]+_(?:live_|test_|prod_)?|glpat-|xox.-|A[KS]IA|AIza)", "", token)
     return len(set(body)) >= 7 and not re.search(r"[xX*]{6}", body) and not re.fullmatch(r"[a-z]+(?:[-_][a-z]+)*", body)
 
 
