@@ -2,7 +2,7 @@
 
 The items of a session are dealt into blocks of bounded size, each packed on its own. In a block the
 lengths form a histogram of few classes; combinations of up to four classes that fill a window just
-below the capacity are enumerated, non-negative least squares gives how often each should be used so
+below the capacity, or below an equal part of it where items are small, are enumerated, non-negative least squares gives how often each should be used so
 that the histogram is spent, the counts are rounded down, and what is left goes, longest first, into
 the tightest gap. The thinly filled containers of all blocks of a session are then emptied and their
 items packed once more.
@@ -54,36 +54,53 @@ def _combinations(edges: np.ndarray, low: float, high: int, most: int = 160) ->
     return [c for _, c in sorted(found)[:most]]
 
 
-def pack(lengths: np.ndarray, capacity: int, window: float = 0.03) -> np.ndarray:
-    """The container of each item. Lengths are positive and at most ``capacity``; no container exceeds it."""
+def _by_combinations(lengths: np.ndarray, order: np.ndarray, capacity: int, window: float) -> tuple[np.ndarray, list[int]]:
+    """The container of each item that the rounded combinations place, -1 for the others, and what is free in each.
+
+    Where items are too small for four of them to fill a container, combinations fill an equal part
+    of it (a half, a quarter, ...), and so many of these make one container.
+    """
     n = len(lengths)
     place = np.full(n, -1)
-    order = np.argsort(-lengths, kind="stable")
     free: list[int] = []
-    if n > 8:
-        edges = np.unique(np.quantile(lengths, np.linspace(0, 1, min(CLASSES, n // 4 + 2) + 1)[1:], method="higher"))
-        kind = np.searchsorted(edges, lengths)
-        histogram = np.bincount(kind, minlength=len(edges))
-        combos = _combinations(edges, capacity * (1 - window), capacity)
-        if combos:
-            table = np.zeros((len(combos), len(edges)))
-            for j, c in enumerate(combos):
-                for k in c:
-                    table[j, k] += 1
-            times = nonnegative_counts(table, histogram)
-            stock = [[i for i in order if kind[i] == k] for k in range(len(edges))]
-            for j in np.argsort(-times, kind="stable"):
-                need = table[j].astype(int)
-                for _ in range(int(times[j] + 1e-6)):
-                    if any(len(stock[k]) < need[k] for k in np.flatnonzero(need)):
-                        break
-                    used = 0
-                    for k in np.flatnonzero(need):
-                        for _ in range(need[k]):
-                            i = stock[k].pop(0)
-                            place[i] = len(free)
-                            used += lengths[i]
-                    free.append(capacity - used)
+    if n <= 8:
+        return place, free
+    edges = np.unique(np.quantile(lengths, np.linspace(0, 1, min(CLASSES, n // 4 + 2) + 1)[1:], method="higher"))
+    kind = np.searchsorted(edges, lengths)
+    histogram = np.bincount(kind, minlength=len(edges))
+    parts, combos = 1, []
+    while not combos and capacity // parts >= edges[0]:
+        combos = _combinations(edges, capacity / parts * (1 - window), capacity // parts)
+        parts = parts if combos else parts * 2
+    if not combos:
+        return place, free
+    table = np.zeros((len(combos), len(edges)))
+    for j, c in enumerate(combos):
+        for k in c:
+            table[j, k] += 1
+    times = nonnegative_counts(table, histogram)
+    stock = [[i for i in order if kind[i] == k] for k in range(len(edges))]
+    made = 0
+    for j in np.argsort(-times, kind="stable"):
+        need = table[j].astype(int)
+        for _ in range(int(times[j] + 1e-6)):
+            if any(len(stock[k]) < need[k] for k in np.flatnonzero(need)):
+                break
+            if made % parts == 0:
+                free.append(capacity)
+            made += 1
+            for k in np.flatnonzero(need):
+                for _ in range(need[k]):
+                    i = stock[k].pop(0)
+                    place[i] = len(free) - 1
+                    free[-1] -= lengths[i]
+    return place, free
+
+
+def pack(lengths: np.ndarray, capacity: int, window: float = 0.03) -> np.ndarray:
+    """The container of each item. Lengths are positive and at most ``capacity``; no container exceeds it."""
+    order = np.argsort(-lengths, kind="stable")
+    place, free = _by_combinations(lengths, order, capacity, window)
     gaps = sorted((f, c) for c, f in enumerate(free))
     for i in order:
         if place[i] >= 0:

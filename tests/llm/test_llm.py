@@ -178,6 +178,15 @@ def test_pack_is_valid_and_tight():
         assert len(loads) <= -(-lengths.sum() // 1000) * 1.06 + 1
 
 
+def test_combinations_of_small_items():
+    lengths = np.random.default_rng(5).integers(1, 60, 900)
+    order = np.argsort(-lengths, kind="stable")
+    place, free = filling._by_combinations(lengths, order, 1000, 0.03)
+    assert (place >= 0).mean() > 0.5 and min(free) >= 0 and place.max() == len(free) - 1
+    loads = np.bincount(filling.pack(lengths, 1000), lengths)
+    assert loads.max() <= 1000 and len(loads) <= -(-lengths.sum() // 1000) + 1
+
+
 def test_nonnegative_counts():
     table = np.array([[2, 0], [1, 1], [0, 2.0]])
     assert np.allclose(table.T @ filling.nonnegative_counts(table, np.array([6.0, 4.0])), [6, 4], atol=0.05)
