@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.ranking import age_decay, session_boost
+from quillspan.sources.files import IGNORED_PATH, language_of
 from quillspan.sources.tables import latest, normal_path
 
 
@@ -82,12 +83,6 @@ def shared_callees(edges: DataFrame) -> DataFrame:
     return rows.groupBy("caller_file").agg(F.count_distinct("callee_id").alias("callees"), F.count("*").alias("calls"))
 
 
-# Folders that a scan passes over, and the file endings of the languages it reads.
-IGNORED = "node_modules .git dist build venv .venv __pycache__ .pytest_cache target vendor .next .turbo .cache .output out coverage .idea .vscode".split()
-READ = "py rs go java cpp ts js rb".split()
-IGNORED_PATH = "(?:^|/)(?:" + "|".join(n.replace(".", "[.]") for n in IGNORED) + ")/|[.]min[.]js$"
-
-
 def scan_filter(cache: DataFrame) -> DataFrame:
     """Per repository and outcome (ignored, unread, kept): different files and the sum of their greatest sizes.
 
@@ -96,6 +91,6 @@ def scan_filter(cache: DataFrame) -> DataFrame:
     """
     files = cache.select("repo", normal_path(F.col("relative_path")).alias("path"), "file_size").where("path is not null")
     once = files.groupBy("repo", "path").agg(F.coalesce(F.max("file_size"), F.lit(0)).alias("size"))
-    known = F.lower(F.regexp_extract("path", r"[.](\w+)$", 1)).isin(READ)
+    known = language_of(F.col("path")).isNotNull()
     outcome = F.when(F.col("path").rlike(IGNORED_PATH), "ignored").when(known, "kept").otherwise("unread")
     return once.groupBy("repo", outcome.alias("outcome")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

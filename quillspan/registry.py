@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as fn
-from quillspan.operators import extract, graph, packing, ranking, records, redaction
+from quillspan.functions.lexers import EXTENSIONS
+from quillspan.operators import extract, graph, ranking, records, redaction
 from quillspan.operators import units as code
 from quillspan.plans import context
-from quillspan.sources.tables import cut, table
+from quillspan.sources import files
+from quillspan.sources.tables import table
 from quillspan.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,7 +372,7 @@ def edge_reasons(spark, sf_dir):
 
 @query(
     rf"""with f as (select repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path, coalesce(max(file_size), 0) size from file_cache where relative_path is not null group by 1, 2)
-    select repo, case when regexp_matches(path, '{records.IGNORED_PATH}') then 'ignored' when lower(regexp_extract(path, '[.](\w+)$', 1)) in ({", ".join(f"'{x}'" for x in records.READ)}) then 'kept' else 'unread' end outcome,
+    select repo, case when regexp_matches(path, '{files.IGNORED_PATH}') then 'ignored' when lower(regexp_extract(path, '[.]([\w+]+)$', 1)) in ({", ".join(f"'{x}'" for x in EXTENSIONS)}) then 'kept' else 'unread' end outcome,
     count(*) files, sum(size)::bigint bytes from f group by 1, 2"""
 )
 def scan_filter(spark, sf_dir):
@@ -427,12 +429,12 @@ def watched_units(spark, sf_dir):
 
 @query()
 def extracted_units(spark, sf_dir):
-    """Units found anew in every file, put together from the texts of its outermost recorded units."""
-    units = _units(spark, sf_dir, "repo", "file", "start_line", "end_line", "full_text").where("full_text is not null and file is not null")
-    part = F.struct("start_line", "unit_id", "full_text")
-    files = units.groupBy("repo", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["full_text"]), "\n\n").alias("content"))
-    found = extract.extract(files)
-    return found.select("repo", "file", "kind", "name", "start_line", "end_line", "tok_full", "tok_compact", "tok_skeleton", F.size("refs").alias("n_refs"))
+    """Units found anew in every file, put together from its outermost recorded units, with the recorded unit at their place."""
+    units = _units(spark, sf_dir, "repo", "file", "name", "kind", "start_line", "end_line", "doc_comment", "full_text")
+    found = extract.extract(extract.assembled(units))
+    recorded = units.groupBy("repo", "file", "name", "start_line").agg(F.min("unit_id").alias("recorded_id"), F.max("end_line").alias("recorded_end"))
+    met = found.join(recorded, ["repo", "file", "name", "start_line"], "left")
+    return met.select("repo", "file", "kind", "name", "start_line", "end_line", "tok_full", "tok_compact", "tok_skeleton", F.size("calls").alias("n_calls"), F.size("refs").alias("n_refs"), F.length("doc_comment").alias("doc_chars"), "recorded_id", "recorded_end")
 
 
-__all__ = ["QUERIES", "SQL", "cut", "packing"]
+__all__ = ["QUERIES", "SQL"]

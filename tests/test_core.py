@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as fn
 from quillspan.operators import extract, graph, packing, ranking, records, redaction, units
+from quillspan.sources import files
 from quillspan.sources.tables import latest, normal_path
 from quillspan.streaming import watch
 
@@ -193,7 +194,7 @@ def test_event_windows_batch_equals_stream(spark, tmp_path):
     ],
 )
 def test_extract(path, text, want):
-    assert {(u[0], u[1]) for u in extract.units_of(path, text)} == want
+    assert {(u[1], u[2]) for u in extract.spans_of(path, text)} == want
 
 
 def test_extract_job_and_sources(spark, tmp_path):
@@ -202,7 +203,7 @@ def test_extract_job_and_sources(spark, tmp_path):
     (tmp_path / "src" / "b.rs").write_bytes(b"GG\0")
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "x.js").write_text("function f() {}")
-    unit = extract.extract(extract.read_sources(spark, str(tmp_path))).collect()
+    unit = extract.extract(files.read_sources(spark, str(tmp_path))).collect()
     assert [(u["name"], u["refs"], u["tok_skeleton"] < u["tok_compact"] < u["tok_full"]) for u in unit] == [("f", ["gg"], True)]
     assert extract.extract(spark.createDataFrame([("r", "a.py", None), ("r", None, "x")], "repo string, file string, content string")).count() == 0
 
