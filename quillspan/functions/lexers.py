@@ -90,7 +90,7 @@ def lex(text: str, language: str) -> Lexed:
     branches: list[list[tuple[str, int]]] = []
     heres: list[str] = []
     ruby, size, at = language == "ruby", len(text), 0
-    loop_line = -1
+    loop_line = -2
 
     def inside(quote: str, start: int, pos: int) -> int:
         """Pass over a literal with interpolations; its code is lexed in between."""
@@ -107,8 +107,8 @@ def lex(text: str, language: str) -> Lexed:
     while at < size:
         m = find(text, at)
         start = m.start() if m else size
-        if start > at and (gap := text[at:start]).strip():
-            tokens.append(("run", at + len(gap) - len(gap.lstrip()), at + len(gap.rstrip())))
+        if start > at and (gap := text[at:start].rstrip()) and (bare_gap := gap.lstrip()):
+            tokens.append(("run", at + len(gap) - len(bare_gap), at + len(gap)))
         if not m:
             break
         kind, at = m.lastgroup, m.end()

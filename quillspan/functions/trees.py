@@ -155,7 +155,9 @@ class _Reader:
                     head.append((kind, start, stop))
             at += 1
         if head and top:
-            finish(head[-1][2]) if self.language in _BY_LINE or self.lexed.fault is None else None
+            # Where the text breaks off within a head, what it would have defined still counts.
+            told = self.told(self.shape(head), False, owner) if self.lexed.fault else NOTHING
+            finish(head[-1][2], len(text) if told[2] else -1, None, told)
         nodes.extend(inner)
         return nodes
 
