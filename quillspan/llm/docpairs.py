@@ -1,33 +1,38 @@
 """Functions and methods paired with the words that say what they do.
 
-Each unit is parsed: Python by the standard parser into its syntax tree, the other languages into
-the sequence of their comments and the definition behind them. The documentation is the one attached
-to the function's node, or the delivered doc comment; of it the describing sentences are kept, and
-pairs without any are dropped.
+Each unit is parsed into its syntax tree (a recursive descent over the lexers of ten languages, Python by its own parser).
+The documentation is the delivered doc comment of the function's node, or the one attached to it; of it the describing
+sentences are kept, and pairs without any are dropped. Code and documentation come with their exact places.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import textwrap
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parsecheck import language
+from quillspan.functions.trees import Node, parse, walk
+from quillspan.sources.files import language_of
+
+COLUMNS = ["unit_id", "language", "signature", "description", "code", "start", "stop", "doc_start", "doc_stop"]
+# The order in which a text is tried that its own language finds no function in.
+ORDER = ("rust", "go", "python", "ruby", "java", "typescript", "javascript", "cpp", "csharp", "php")
 
-_LEADING = re.compile(r"\s*((?:/\*[\s\S]*?\*/|(?://|#(?!\[|!))[^\n]*(?:\n\s*(?://|#(?!\[|!))[^\n]*)*)\s*)+")
 _COMMENT = re.compile(r"/\*+|\*+/|^[ \t]*(?:\*+(?=\s|$)|///?!?|#+)[ \t]?|^[rRuU]*(?:\"\"\"|''')|(?:\"\"\"|''')$", re.M)
 # Marks that begin the part of a comment which lists arguments and results.
 _TAG = re.compile(r"^\s*(?:[@\\:]\s?\w+|(?:Args?|Arguments|Parameters?|Params|Returns?|Raises|Throws|Yields|Examples?|Usage|Notes?|Attributes|Rückgabe|Parameter|Paramètres|Retour|Retourne|Parámetros|Devuelve)\s*:(?:\s|$)|[-*+]\s+`?\w+`?\s|\w+\s*:\s*\w+$|\|)")
 # Openings and wordings of comments that are no description.
 _NOTICE = re.compile(
-    r"(?i)^\W*(?:todo|fixme|xxx|hack|tbd|n/?a\b|wip|nosonar|noqa|nolint|pylint|eslint|clang-format|rubocop|type:\s*ignore|mypy|tslint|prettier|istanbul|@?ts-|pragma|fmt:|yapf|flake8|isort|coverage|spdx|copyright|\(c\)|©|all rights reserved|licensed? (?:under|to)|see license|permission is hereby|redistribution|auto-?generated|generated (?:at|by|from)|@+generated|code generated|<auto|.*do(?: not|n.t) (?:edit|modify)|machine[- ](?:written|made|generated)|this file (?:was|is) (?:produced|created|generated|written|built)|produced (?:by|automatically)|\(non-javadoc\)|\{@inheritdoc\}|inherited|default constructor|constructor\.?$|summary goes here|description (?:pending|goes here|here)|write docs|docs? (?:pending|missing|to come)|document(?: this| me)?\.?$|no (?:docs?|description|documentation)|missing docs?|add (?:docs?|description)|placeholder|fill in|lorem ipsum|deprecated\.?$|see (?:above|below|also)|same as above|ditto|as above|method stub|stub\.?$|end of|begin|region|endregion|={3,}|-{3,}|\*{3,}|~{3,})"
+    r"(?i)^\W*(?:(?:todo|fixme|xxx|hack|tbd|wip|n/?a)\b|(?:nosonar|noqa|nolint|clang-format|fmt|yapf|isort|flake8|pylint|eslint|tslint|rubocop|mypy|istanbul|coverage|pragma)\b\s*(?:[:\-]|$|no\b|ignore\b|disable\b|off\b|on\b)|eslint-|prettier-|type:\s*ignore|@?ts-|spdx\b|copyright\b|\(c\)|©|all rights reserved|licensed? (?:under|to)\b|see license|permission is hereby|redistribution\b"
+    r"|auto-?generated\b|generated (?:at|by|from)\b|@+generated\b|code generated\b|<auto|.*\bdo(?: not|n.t) (?:edit|modify)\b|machine[- ](?:written|made|generated)\b|this file (?:was|is) (?:produced|created|generated|written|built)\b|produced (?:by|automatically)\b"
+    r"|\(non-javadoc\)|\{@inheritdoc\}|inherited(?: from\b|[.!]?$)|default constructor\b|constructor\.?$|summary goes here|description (?:pending|goes here|here)|write docs\b|docs? (?:pending|missing|to come)|document(?: this| me)?\.?$|no (?:docs?|description|documentation)\b|missing docs?\b|add (?:docs?|description)(?: here| later)?[.!]?$"
+    r"|placeholder\b|fill in(?: here| later)?[.!]?$|lorem ipsum|deprecated\.?$|see (?:above|below|also)\b|same as above|ditto\b|as above\b|method stub|stub\.?$|(?:end of|begin|(?:end)?region)\b(?:\s+\w+){0,3}\W*$|={3,}|-{3,}|\*{3,}|~{3,})"
 )
 _CODE = re.compile(r"^\s*(?:(?:let|const|var|auto|return|if|for|while|def|fn|func|function|class|import|from|public|private|protected|static|int|void|else|end|raise|throw|panic!|self\.)\b.*[;(){}=:]|.*;\s*$|.*[{}]\s*$|[\w.\[\]]+\s*(?::=|[-+*/|&]?=)\s*\S.*|[\w.]+(?:::\w+)*!?\([^)]*\)\s*;?$)")
+_UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
@@ -62,6 +67,10 @@ def description(comment: str | None, name: str | None) -> str | None:
     lines = prose(comment or "")
     text = " ".join(lines).strip()
     words = [w.lower() for w in _WORD.findall(text)]
+    # Scripts without blanks between words: two characters count as one word, and none of them repeats a name.
+    together = sum(len(run) for run in _UNSPACED.findall(text)) // 2
+    if together >= 4:
+        return text
     if len(words) < 4:
         return None
     own = {w.rstrip("s") for w in words_of(name or "")}
@@ -71,58 +80,59 @@ def description(comment: str | None, name: str | None) -> str | None:
     return text
 
 
-def attached(text: str, lang: str | None) -> tuple[str, int, int] | None:
-    """The documentation in the documentation position of a unit's text, with its range of characters."""
-    if lang == "python":
-        if "\"\"\"" in text or "'''" in text or re.search(r":\s*\n\s*[rRuU]?[\"']", text):
-            node = _function(text)
-            if node is not None:
-                first = node.body[0]
-                if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-                    return first.value.value, first.lineno, first.end_lineno
-            elif m := re.search(r":\s*\n\s*[rRuU]?(\"\"\"|''')([\s\S]*?)\1", text):
-                return m[2], m.start(2), m.end(2)
-        m = re.match(r"\s*((?:#(?!!)[^\n]*\n\s*)+)", text)
-        return (m[1], m.start(1), m.end(1)) if m else None
-    m = _LEADING.match(text)
-    return (m[0], m.start(), m.end()) if m else None
-
-
-def _function(text: str):
-    try:
-        tree = ast.parse(textwrap.dedent(text) if text[:1].isspace() else text)
-    except (SyntaxError, ValueError):
-        return None
-    return next((n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))), None)
+def function_node(text: str, lang: str | None, kind: str, name: str | None) -> Node | None:
+    """The node of the function ``name`` in the syntax tree of ``text``; a method is read as if its class stood around it.
+
+    A text that is none of its file's language (a wrong extension) is read in the first other language that finds a
+    function in it. Where no node has the name, the first one counts.
+    """
+    for language in (lang, *[k for k in ORDER if k != lang]):
+        if language is None:
+            continue
+        found = [n for n, _ in walk(parse(text, language, "class" if kind == "method" else "script")) if n.kind in ("function", "method")]
+        if found:
+            return next((n for n in found if n.name.rsplit("::", 1)[-1] == name), found[0])
+    return None
 
 
-def pair(doc_comment: str | None, text: str | None, name: str | None, lang: str | None) -> tuple[str, str] | None:
-    """(description, code) of one function; None without code, without a definition, or without a description."""
-    if not isinstance(text, str) or not text.strip() or re.search(r"_part_\d+$", name or ""):
+def _above(text: str, start: int) -> tuple[int, int] | None:
+    """The comment lines right above a Python definition without a docstring."""
+    m = re.search(r"(?:^[ \t]*#(?!!)[^\n]*\n)+[ \t]*\Z", text[:start], re.M)
+    return (m.start(), m.end()) if m else None
+
+
+def pair(doc_comment: str | None, text: str | None, name: str | None, kind: str, lang: str | None) -> tuple | None:
+    """(description, code, start, stop, doc_start, doc_stop) of one function, places in characters of ``text``.
+
+    None without code, without a function's node, or without a description. A delivered documentation comes before the one
+    attached to the node; the places of the latter are null where the former is taken.
+    """
+    if not isinstance(text, str) or not text.strip() or (node := function_node(text, lang, kind, name)) is None:
         return None
-    told = description(doc_comment, name) if isinstance(doc_comment, str) else None
-    if told is None and (found := attached(text, lang)):
-        told = description(found[0], name)
+    doc = node.doc or (_above(text, node.start) if lang == "python" else None)
+    told, place = (description(doc_comment, name) if isinstance(doc_comment, str) else None), (None, None)
+    if told is None and doc:
+        told, place = description(text[doc[0] : doc[1]], name), doc
     if told is None:
         return None
-    lead = None if lang == "python" else _LEADING.match(text)
-    return told, text[lead.end() :] if lead else text
+    return told, text[node.start : node.stop], node.start, node.stop, *place
 
 
 def doc_pairs(units: DataFrame) -> DataFrame:
-    """``unit_id, language, signature, description, code`` of each documented function or method.
+    """``unit_id, language, signature, description, code, start, stop, doc_start, doc_stop`` of each documented function.
 
-    A narrow job: one pass over the whole texts, without a shuffle but the last one that removes rows
-    delivered twice. Nulls in any column make no pair, except a null signature, which stays null.
+    A narrow job: one pass over the whole texts, each parsed into its syntax tree, without a shuffle but the last one that
+    removes rows delivered twice. Nulls in any column make no pair, except a null signature, which stays null.
     """
 
-    def parse(batches):
+    def read(batches):
         for pdf in batches:
-            made = [(u, lang, s, *p) for u, lang, s, n, d, t in zip(pdf["unit_id"], pdf["language"], pdf["signature"], pdf["name"], pdf["doc_comment"], pdf["full_text"]) if (p := pair(d, t, n, lang))]
+            made = [(u, lang, s, *p) for u, lang, s, n, k, d, t in zip(pdf["unit_id"], pdf["language"], pdf["signature"], pdf["name"], pdf["kind"], pdf["doc_comment"], pdf["full_text"]) if (p := pair(d, t, n, k, lang))]
             if made:
-                yield pd.DataFrame(made, columns=["unit_id", "language", "signature", "description", "code"])
+                out = pd.DataFrame(made, columns=COLUMNS)
+                yield out.astype({c: "Int64" for c in COLUMNS[5:]})
 
     functions = units.where(F.col("kind").isin("function", "method") & F.col("full_text").isNotNull())
-    ready = functions.select("unit_id", language(F.col("file")).alias("language"), "signature", "name", "doc_comment", "full_text")
-    schema = T.StructType([T.StructField("unit_id", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("language", "signature", "description", "code")]])
-    return ready.mapInPandas(parse, schema)
+    ready = functions.select("unit_id", language_of(F.col("file")).alias("language"), "signature", "name", "kind", "doc_comment", "full_text")
+    schema = T.StructType([T.StructField("unit_id", T.LongType()), *[T.StructField(n, T.StringType()) for n in COLUMNS[1:5]], *[T.StructField(n, T.LongType()) for n in COLUMNS[5:]]])
+    return ready.mapInPandas(read, schema)

@@ -1,100 +1,13 @@
-"""Lexers of eight languages, each with a stack of what is open, to tell texts that cannot be read.
-
-A lexer yields only what matters for reading: literals, comments, brackets, block words and line
-ends. What opens is pushed, what closes must match the top, and nothing may be open at the end.
-"""
+"""What cannot be read as a definition or a script of its language: faults of the lexers' stack, and forms that no text of it has."""
 
 from __future__ import annotations
 
+import ast
 import re
+import textwrap
+import warnings
 
-# File extension -> language.
-LANGUAGES = {
-    "py": "python", "pyi": "python", "rs": "rust", "go": "go", "java": "java", "rb": "ruby",
-    "c": "cpp", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp",
-    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
-}
-
-_BRACKET = r"(?P<open>[(\[{])|(?P<close>[)\]}])"
-_CONFLICT = r"(?P<conflict>^(?:<{7}|>{7}|\|{7})(?: [^\n]*)?$|^={7}$)"
-_SLASHES = r"(?P<comment>//[^\n]*|/\*[\s\S]*?\*/)"
-_LINE_STRING = r"\"(?:[^\"\\\n]|\\[\s\S])*\""
-_LONG_STRING = r"\"(?:[^\"\\]|\\[\s\S])*\""
-_CHAR = r"'(?:[^'\\\n]|\\(?:[^\n]))*'"
-
-
-def _lexer(*parts: str) -> re.Pattern:
-    return re.compile("|".join((_CONFLICT, *parts)), re.M)
-
-
-LEXERS = {
-    "python": _lexer(
-        r"(?P<comment>\#[^\n]*)",
-        r"(?P<string>\b[rRbBuUfF]{0,2}(?:\"\"\"[\s\S]*?(?<!\\)(?:\\\\)*\"\"\"|'''[\s\S]*?(?<!\\)(?:\\\\)*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')|(?:\"\"\"[\s\S]*?(?<!\\)(?:\\\\)*\"\"\"|'''[\s\S]*?(?<!\\)(?:\\\\)*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))",
-        r"(?P<stray>[\"'`$?])",
-        _BRACKET,
-    ),
-    "rust": _lexer(_SLASHES, rf"(?P<string>\bb?r(?P<hash>\#*)\"[\s\S]*?\"(?P=hash)|{_LONG_STRING})", r"(?P<char>'(?:[^'\\\n]|\\[^\n][^'\n]*)'|'[A-Za-z_]\w*)", r"(?P<stray>/\*|[\"'`])", _BRACKET),
-    "go": _lexer(_SLASHES, rf"(?P<string>`[^`]*`|{_LINE_STRING})", rf"(?P<char>{_CHAR})", r"(?P<stray>/\*|[\"'`])", _BRACKET),
-    "java": _lexer(_SLASHES, rf"(?P<string>\"\"\"[\s\S]*?\"\"\"|{_LINE_STRING})", rf"(?P<char>{_CHAR})", r"(?P<stray>/\*|[\"'`])", _BRACKET),
-    "cpp": _lexer(_SLASHES, rf"(?P<string>R\"(?P<mark>[^()\\\s]*)\([\s\S]*?\)(?P=mark)\"|{_LINE_STRING})", r"(?P<number>\b\d[\w']*)", rf"(?P<char>{_CHAR})", r"(?P<stray>/\*|[\"'`])", _BRACKET),
-    "javascript": _lexer(_SLASHES, rf"(?P<string>`(?:[^`\\]|\\[\s\S])*`|{_LINE_STRING}|{_CHAR})", r"(?P<regex>(?<=[=(,:;!&|?{{}}\n])[ \t]*/(?![*/ ])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/)", r"(?P<stray>/\*|[\"'`])", _BRACKET),
-    "ruby": _lexer(
-        r"(?P<comment>\#(?!\{)[^\n]*|^=begin[\s\S]*?^=end[^\n]*)",
-        rf"(?P<string>{_LONG_STRING}|'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`)",
-        r"(?P<stray>[\"'`])",
-        r"(?P<block>(?<![\w.:@$])(?:def|class|module|begin|case|do|if|unless|while|until|for|end)(?![\w?!:]))",
-        _BRACKET,
-    ),
-}
-LEXERS["typescript"] = LEXERS["javascript"]
-_PAIR = {")": "(", "]": "[", "}": "{"}
-
-
-def faults(text: str, language: str) -> tuple[str | None, str]:
-    """Why ``text`` cannot be read as the brackets and literals of ``language``, None if it can; and its bare code.
-
-    The reason is one of merge_conflict, unterminated_literal, unbalanced, premature_end. The bare
-    code has no comments, and each literal as a pair of quotes.
-    """
-    stack: list[str] = []
-    code: list[str] = []
-    loop, at = None, 0
-    for m in LEXERS[language].finditer(text):
-        kind = m.lastgroup
-        if kind == "open":
-            stack.append(m[0])
-        elif kind == "close":
-            if not stack or stack.pop() != _PAIR[m[0]]:
-                return "unbalanced", ""
-        elif kind == "comment":
-            code.append(text[at : m.start()])
-            at = m.end()
-        elif kind == "conflict":
-            return "merge_conflict", ""
-        elif kind == "stray":
-            return "unterminated_literal", ""
-        elif kind == "block":
-            if m[0] == "end":
-                if not stack or stack.pop() != "end":
-                    return "unbalanced", ""
-            elif m[0] == "do":
-                if loop != text.count("\n", 0, m.start()):
-                    stack.append("end")
-            else:
-                head = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-                modifier = m[0] in ("if", "unless", "while", "until") and not re.fullmatch(r"\s*|.*(?:[=(,;]|\b(?:then|else|do|return|and|or|not))\s*", head)
-                if not modifier:
-                    stack.append("end")
-                    if m[0] in ("while", "until", "for"):
-                        loop = text.count("\n", 0, m.start())
-        elif kind != "number":
-            code.append(text[at : m.start()])
-            code.append('""')
-            at = m.end()
-    code.append(text[at:])
-    return ("premature_end" if stack else None), "".join(code)
-
+from quillspan.functions.lexers import Lexed, bare, lex
 
 _NAME = r"[A-Za-z_$][\w$]*"
 _ARGS = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
@@ -120,22 +33,77 @@ ALIEN = {
 }
 
 
+# Languages whose forms are those of another one here.
+FORMS_OF = {"c": "cpp", "tsx": "typescript"}
+# A binary operator with nothing behind it that it could take; per language, as some read such pairs otherwise.
+_CUT_OFF = re.compile(r"(?<![-+:(,=<>])(?:(?<!\+)\+|(?<!-)-|%|&&|\|\|)\s*[)\]};]")
+_TWO_OPERATORS = re.compile(r"[\w)\]]\s*[-+/%]\s*(?:[*%]|/(?![/*=])|==)\s*[\w(\"]")
+KINDS = ("merge_conflict", "unterminated_literal", "unbalanced", "premature_end", "bad_syntax", "other_language")
+_STATEMENT_HEAD = re.compile(r"\s*(?:@|(?:if|else|for|while|do|switch|case|default|try|catch|finally|class|interface|enum|record|public|private|protected|static|final|abstract|synchronized|package|import|throws|new)\b)")
+_GOES_ON = re.compile(r"(?:instanceof|throws|extends|implements|permits|else|catch|finally|while|when)\b")
+
+
+def _misses_semicolon(text: str, lexed: Lexed) -> bool:
+    """Whether a Java statement goes over a line's end where nothing can hold its two lines together."""
+    depth, statement = [], ""
+    for kind, start, stop in lexed.tokens:
+        piece = text[start:stop]
+        if kind == "open":
+            depth.append(piece)
+            statement = "" if piece == "{" else statement + piece
+        elif kind == "close":
+            depth.pop()
+            statement = "" if piece == "}" else statement + piece
+        elif kind == "end":
+            statement = ""
+        elif kind != "comment" and depth and depth[-1] == "{" and "(" not in depth:
+            if kind == "text":
+                statement += '""'
+                continue
+            lines = (statement + "\n" * text.count("\n", text.rfind(statement[-1:], 0, start) if statement else start, start) + piece).split("\n")
+            for before, after in zip(lines, lines[1:]):
+                head = before if before.strip() else ""
+                if head and re.search(r"[\w)\]\"]\s*$", head) and re.match(r"\s*[A-Za-z_]", after) and not _GOES_ON.match(after.strip()) and not _STATEMENT_HEAD.match(head) and re.search(r"[=(]", head) and not re.search(r"\b(?:return|throw|yield)$", head.strip()):
+                    return True
+            statement = lines[-1]
+    return False
+
+
 def unreadable(text: str, language: str) -> str | None:
     """Why ``text`` is no definition and no script of ``language``; None if it can be read as one.
 
-    Besides the faults of brackets and literals: other_language, where the text does not begin like
-    any definition or script of the language, and premature_end, where it stops behind an operator
-    or, in Python, at the head of a block that never comes.
+    Besides the faults of the stack: other_language, where the text does not begin like any definition or script of the
+    language; premature_end, where it stops behind an operator or, in Python, at the head of a block that never comes;
+    bad_syntax, where operators lack an operand or, in Java, a statement its end. What the lexer passes in Python is last
+    shown to Python's own parser, an exact check.
     """
-    fault, code = faults(text, language)
-    code = code.strip()
-    if fault or not code:
-        return fault
-    alien = ALIEN.get(language)
-    if not HEADS[language].match(code) or (alien and alien.match(code)):
+    lexed = lex(text, language)
+    if lexed.fault:
+        return lexed.fault
+    code, form = bare(text, lexed).strip(), FORMS_OF.get(language, language)
+    if not code:
+        return None
+    alien = ALIEN.get(form)
+    if form in HEADS and (not HEADS[form].match(code) or (alien and alien.match(code))):
         return "other_language"
     if language == "python" and re.match(r"\s*(?:if|elif|while|for|with|def|class)\b[^:\n]*$", code[code.rfind("\n") + 1 :]):
         return "premature_end"
     if code[-1] in "=+-*/%&|^,.<(" or (language == "python" and code[-1] == ":"):
         return None if code.endswith(("++", "--", "*/")) else "premature_end"
-    return None
+    if language in ("java", "javascript", "typescript", "go", "csharp") and (_CUT_OFF.search(code) or (language not in ("go", "csharp") and _TWO_OPERATORS.search(code))):
+        return "bad_syntax"
+    if language == "java" and _misses_semicolon(text, lexed):
+        return "bad_syntax"
+    return "bad_syntax" if language == "python" and not _parses(text) else None
+
+
+def _parses(text: str) -> bool:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(textwrap.dedent(text) if text[:1].isspace() else text)
+    except (SyntaxError, ValueError):
+        return False
+    except (RecursionError, MemoryError):
+        return True
+    return True

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lexing import LANGUAGES, unreadable
+from quillspan.sources.files import language_of as language
 
-
-def language(file: Column) -> Column:
-    """The language of a file by its extension, null if it is none of those known."""
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.try_element_at(names, F.lower(F.regexp_extract(file, r"\.([A-Za-z0-9]+)$", 1)))
+from .lexing import KINDS, unreadable
 
 
 @F.pandas_udf(T.StringType())
@@ -38,14 +34,13 @@ def fault_rates(units: DataFrame) -> DataFrame:
 
     Counted in two steps, first per file, so that a repository holding most rows is spread over its files.
     """
-    kinds = ("merge_conflict", "unterminated_literal", "unbalanced", "premature_end", "other_language")
     files = judge_units(units).groupBy("repo", "language", "file").agg(
         F.max(F.col("fault").isNotNull().cast("int")).alias("bad"),
-        *[F.max((F.coalesce(F.col("fault"), F.lit("")) == k).cast("int")).alias(k) for k in kinds],
+        *[F.max((F.coalesce(F.col("fault"), F.lit("")) == k).cast("int")).alias(k) for k in KINDS],
     )
     return files.groupBy("repo", "language").agg(
         F.count("*").alias("files"),
         F.sum("bad").alias("flagged"),
         F.round(F.avg("bad"), 6).alias("rate"),
-        *[F.sum(k).alias(k) for k in kinds],
+        *[F.sum(k).alias(k) for k in KINDS],
     )

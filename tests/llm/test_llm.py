@@ -74,6 +74,8 @@ def test_find_and_redact(spark):
     [
         ("python", "def f(x):\n    return (x", "premature_end"), ("python", "def f():\n    s = 'it", "unterminated_literal"), ("go", "func f() {\n<<<<<<< HEAD\n}\n", "merge_conflict"),
         ("java", "int f() { return a[1); }", "unbalanced"), ("ruby", "def f\n  if x\n    1\n  end\n", "premature_end"), ("python", "public class A {\n}", "other_language"), ("rust", "def f(a)\n  1\nend", "other_language"), ("python", "def f():\n    while p", "premature_end"),
+        ("python", "def f():\n    x = 1\n      y = 2", "bad_syntax"), ("python", "def f():\n    return 1 +* 2", "bad_syntax"), ("java", "int f() {\n  int a = g()\n  return a;\n}", "bad_syntax"), ("javascript", "f() { return a + ; }", "bad_syntax"),
+        ("java", "@A\npublic int f(int a,\n   int b)\n   throws X {\n  foo(a,\n   b)\n    .bar();\n  if (x)\n    y();\n  String s = \"a\"\n   + \"b\";\n  return s;\n}", None), ("ruby", "a.each do |x|\n  y\nend", None), ("rust", "fn f() { /* a /* b */ ( */ }", None), ("cpp", "#ifdef A\nvoid f() {\n#else\nvoid g() {\n#endif\n}\n", None),
         ("python", "def f(x):\n    '''it's ('''\n    return x  # (", None), ("rust", "fn f<'a>(x: &'a str) -> char { '\"' }", None), ("ruby", "def f\n  x += 1 if y\n  a.each do |b|\n    b\n  end\nend", None),
         ("javascript", "run(a) {\n  return `${a}`.replace(/[\"(]/g, '');\n}", None), ("cpp", "int f() { auto s = R\"(\" ( )\"; return 1'000; }", None), ("go", "func f() string {\n\treturn `\"(`\n}", None), ("typescript", "drain(a: string[]): number {\n}", None), ("javascript", "drain(a: string[]): number {\n}", "other_language"),
     ],
@@ -152,7 +154,7 @@ def test_machine_files_of_short_lines_and_late_notices(spark):
     "comment,name,ok",
     [
         ("/** Walks every leaf and keeps the ones that still fit. */", "walkLeaves", True), ("# Devuelve el margen que cabe en la ventana.", "f", True), ("/** TODO: document this when done */", "f", False), ('"""Expand planner folder."""', "expand_planner_folder", False), ("/// ----------", "f", False),
-        ("// Copyright (c) 2020 The Lexer Authors.\n// All rights reserved.", "f", False), ("# x = foo(bar, 3)\n# return x", "f", False), ("/**\n * @param a the first of them\n * @return the sum of both\n */", "f", False), (None, "f", False), ("", "f", False), ("/** The load store function. */", "loadStore", False), ("# noqa: C901", "f", False), ("/** {@inheritDoc} */", "f", False),
+        ("// Copyright (c) 2020 The Lexer Authors.\n// All rights reserved.", "f", False), ("# x = foo(bar, 3)\n# return x", "f", False), ("/**\n * @param a the first of them\n * @return the sum of both\n */", "f", False), (None, "f", False), ("", "f", False), ("/** The load store function. */", "loadStore", False), ("# noqa: C901", "f", False), ("/// Wipes every cached entry of the session.", "f", True), ("// Begins a new transaction on the pool.", "f", True), ("# Regional prices are merged into one list.", "f", True), ("/** Coverage totals are summed per file. */", "f", True), ("// Pragmatically merges two lists of rows.", "f", True), ("# キャッシュされた項目をすべて消去します。", "f", True), ("//region loading of parts", "f", False), ("/** {@inheritDoc} */", "f", False),
         ("/**\n * Reads one line from the pipe.\n *\n * @param a x\n */", "f", True),
     ],
 )
@@ -161,10 +163,18 @@ def test_description(comment, name, ok):
 
 
 def test_doc_pairs(spark):
-    data = [(1, "a.py", "function", "f", None, None, 'def f():\n    """Reads one line from the open pipe."""\n    return 1'), (2, "a.rs", "method", "g", "s", None, "/// Splits the list where both halves weigh the same.\nfn g() {}"), (3, "a.rs", "struct", "S", "s", "/// Holds the parts of one whole list.", "struct S;"), (4, "a.go", "function", "h", "s", "// Reads one line from the pipe.", None), (5, "a.py", "function", "f", "s", None, "def f():\n    x = 1")]
+    late = "class A {\n  int x() { return 1; }\n  // Adds the two halves of the list up.\n  int g(int a) { return a; }\n}"
+    data = [(1, "a.py", "function", "f", None, None, 'def f():\n    """Reads one line from the open pipe."""\n    return 1'), (2, "a.rs", "method", "g", "s", None, "/// Splits the list where both halves weigh the same.\n#[inline]\nfn g() {}"), (3, "a.rs", "struct", "S", "s", "/// Holds the parts of one whole list.", "struct S;"), (4, "a.go", "function", "h", "s", "// Reads one line from the pipe.", None), (5, "a.py", "function", "f", "s", None, "def f():\n    x = 1")]
+    data += [(6, "a.java", "method", "g", "s", None, late), (7, "a.py", "function", "q", "s", None, "# Reads one line from the open pipe.\ndef q():\n    pass"), (8, "a.py", "function", "w", "s", None, "// Reads one line from the open pipe.\nfunc w() {\n}"), (9, "a.go", "function", "v", "s", "// Reads one line from the open pipe.", "func v(a int"), (10, None, "function", "n", None, None, "x"), (11, "a.rb", "method", "part_part_1", "s", "# Reads one line from the open pipe.", "x = 1")]
     df = spark.createDataFrame(data + data[:1], "unit_id long, file string, kind string, name string, signature string, doc_comment string, full_text string").withColumn("language", F.lit("clash"))
-    assert rows(docpairs.doc_pairs(df).distinct().select("unit_id", "description", "code"))[1] == (2, "Splits the list where both halves weigh the same.", "fn g() {}")
-    assert sorted({r["unit_id"] for r in docpairs.doc_pairs(df).collect()}) == [1, 2]
+    got = {r["unit_id"]: r for r in docpairs.doc_pairs(df).distinct().collect()}
+    assert sorted(got) == [1, 2, 6, 7, 8, 9]
+    texts = {d[0]: d[6] for d in data}
+    for unit, doc, code in [(1, '"""Reads one line from the open pipe."""', texts[1]), (2, "/// Splits the list where both halves weigh the same.", "#[inline]\nfn g() {}"), (6, "// Adds the two halves of the list up.", "int g(int a) { return a; }"), (7, "# Reads one line from the open pipe.", "def q():\n    pass"), (8, "// Reads one line from the open pipe.", "func w() {\n}")]:
+        r = got[unit]
+        assert texts[unit][r["start"] : r["stop"]] == code == r["code"] and texts[unit][r["doc_start"] : r["doc_stop"]].strip() == doc
+    assert got[9]["doc_start"] is None and got[9]["description"] == "Reads one line from the open pipe."
+    assert docpairs.doc_pairs(df.where("unit_id > 99")).count() == 0
 
 
 # 6 containers
