@@ -1,24 +1,57 @@
-"""A linear-chain conditional random field over tokens, trained and decoded in numpy batches."""
+"""A linear-chain conditional random field over tokens, trained and decoded in numpy batches.
+
+A token's features depend on its kind (what the model sees of the word, and whether it is glued to the one before it) and
+on the offset from which it is seen; two tokens in a row have features of their pair. So the scores of a batch are sums over
+its distinct kinds and pairs, gathered by arrays; nothing is done per token but looking its word up.
+"""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
 REACH = 3
+_KEPT = 300_000  # words, kinds and pairs that a worker remembers before it starts anew; speed only
+_CLASSES: list[np.ndarray] = []
+
+
+def _classes() -> np.ndarray:
+    """The class of each code point: 1 in words, 2 blank, 3 line end, 0 any other mark."""
+    if not _CLASSES:
+        table = np.zeros(0x110000, np.uint8)
+        for code in range(0x110000):
+            ch = chr(code)
+            table[code] = 1 if ch.isalnum() or ch == "_" else 2 if ch.isspace() else 0
+        table[10] = 3
+        _CLASSES.append(table)
+    return _CLASSES[0]
+
+
+@dataclass
+class Tokens:
+    """The tokens of a text: words or single marks, where they start and end, their line, and whether each is glued to the one before."""
+
+    words: list[str]
+    starts: np.ndarray
+    ends: np.ndarray
+    line: np.ndarray
+    glued: np.ndarray
 
 
-def tokens_of(text: str) -> tuple[list[str], list[int], list[bool]]:
-    """Tokens, their starts, and whether each is glued to the one before it."""
-    words, starts, glued, end = [], [], [], -1
-    for m in TOKEN.finditer(text):
-        words.append(m[0])
-        starts.append(m.start())
-        glued.append(m.start() == end)
-        end = m.end()
-    return words, starts, glued
+def tokens_of(text: str) -> Tokens:
+    """The tokens of a text of one or many lines."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _classes()[codes] if len(codes) else np.zeros(0, np.uint8)
+    word = kind == 1
+    before = np.concatenate(([False], word[:-1])) if len(word) else word
+    starts = np.flatnonzero((word & ~before) | (kind == 0))
+    after = np.concatenate((word[1:], [False])) if len(word) else word
+    ends = np.flatnonzero((word & ~after) | (kind == 0)) + 1
+    line = np.cumsum(kind == 3)[starts] if len(starts) else np.zeros(0, np.int64)
+    glued = np.concatenate(([False], starts[1:] == ends[:-1])) if len(starts) else np.zeros(0, bool)
+    return Tokens([text[a:b] for a, b in zip(starts.tolist(), ends.tolist())], starts, ends, line, glued)
 
 
 def shape(word: str) -> str:
@@ -32,7 +65,7 @@ def shape(word: str) -> str:
 
 def key(word: str) -> str:
     """What the model sees of a word: its number of digits, the mere shape of identifiers, or the word itself."""
-    if word.isdigit() or any(ch.isdigit() for ch in word):
+    if any(ch.isdigit() for ch in word):
         return shape(word)
     if "_" in word or re.search(r"[^\W\d_A-Z][A-Z]", word):
         return "<identifier>"
@@ -40,77 +73,169 @@ def key(word: str) -> str:
 
 
 class Model:
-    """Weights by feature; a feature is a property of the token at some offset, or of two shapes in a row."""
+    """Weights by feature, and by move from label to label."""
 
     def __init__(self, labels: list[str], lexicon: dict[str, str]):
-        self.labels = labels
-        self.lexicon = lexicon
+        self.labels, self.lexicon = labels, lexicon
         self.index: dict[str, int] = {}
         self.weights = np.zeros((0, len(labels)))
         self.moves = np.zeros((len(labels), len(labels)))
-        self._cache: dict[tuple, np.ndarray] = {}
+        self.forget()
 
-    def _properties(self, word: str, glued: bool, offset: int) -> list[str]:
-        s = word if word.startswith("<") or (word[:1] == "9") else shape(word)
-        low = word.lower()
+    def forget(self) -> None:
+        """Drop what is remembered of words; needed after a change of weights or lexicon."""
+        self._ids: dict[str, int] = {}
+        self._keys: list[str] = []
+        self._key_ids: dict[str, int] = {}
+        self._single: dict[int, np.ndarray] = {}
+        self._double: dict[tuple[int, int], np.ndarray] = {}
+        self._shapes: dict[str, str] = {}
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def _shape(self, k: str) -> str:
+        if (got := self._shapes.get(k)) is None:
+            got = self._shapes[k] = k if k[:1] in "<9" else shape(k)
+        return got
+
+    def features(self, k: str, glued: bool, offset: int) -> list[str]:
+        """The features that a token's kind gives to the token ``offset`` places before it."""
+        s, low = self._shape(k), k.lower()
+        side = "L" if offset < 0 else "R"
         out = [f"{offset}|{low}", f"{offset}|s{s}"]
-        if role := self.lexicon.get(low):
+        if offset:
+            out.append(f"{side}|{low}")
+        role = self.lexicon.get(low)
+        if role:
             out.append(f"{offset}|r{role}")
         if abs(offset) <= 1:
             out.append(f"{offset}|{s}|{glued}")
         if offset == 0:
-            out += [f"0|e{low[-3:]}", f"0|f{low[-4:]}", f"0|b{low[:3]}", f"0|{s}|r{role}", f"0|n{min(len(word), 8)}|{s}"]
+            out += [f"0|e{low[-3:]}", f"0|f{low[-4:]}", f"0|b{low[:3]}", f"0|{s}|r{role}", f"0|n{min(len(k), 8)}|{s}"]
         return out
 
-    def _pair(self, a: str, b: str, glued: bool) -> list[str]:
-        sa, sb = (w if w[:1] in "<9" else shape(w) if w[:1].isalnum() else w for w in (a, b))
+    def pair_features(self, a: str, b: str, glued: bool) -> list[str]:
+        sa, sb = (self._shape(w) if w[:1].isalnum() or w[:1] == "<" else w for w in (a, b))
         ra, rb = self.lexicon.get(a.lower()), self.lexicon.get(b.lower())
         return [f"p|{sa}|{sb}|{glued}", f"q|{sa}|{ra}|{sb}|{rb}", f"l|{a.lower()}|{sb}", f"m|{sa}|{b.lower()}"]
 
-    def train(self, sentences: list[tuple[list[str], list[bool], list[str]]], rounds: int = 60, rate: float = 0.15, decay: float = 2e-4) -> None:
-        """Maximise the likelihood of the labels by full-batch Adam with a small ridge."""
-        size, width = len(self.labels), max(len(w) for w, _, _ in sentences)
-        known = {name: k for k, name in enumerate(self.labels)}
-        owner, feature = [], []
-        gold = np.zeros((len(sentences), width), np.int64)
-        mask = np.zeros((len(sentences), width), bool)
-        for r, (words, glued, tags) in enumerate(sentences):
-            keys = [key(w) for w in words]
-            for t in range(len(keys)):
-                names = [p for o in range(-REACH, REACH + 1) if 0 <= t + o < len(keys) for p in self._properties(keys[t + o], glued[t + o], o)]
-                if t:
-                    names += self._pair(keys[t - 1], keys[t], glued[t])
-                else:
-                    names.append("first")
-                for name in names:
-                    owner.append(r * width + t)
-                    feature.append(self.index.setdefault(name, len(self.index)))
-                gold[r, t], mask[r, t] = known[tags[t]], True
-        owner, feature = np.array(owner), np.array(feature)
-        count = len(self.index)
-        self.weights = np.zeros((count, size))
-        from_gold = np.eye(size)[gold] * mask[:, :, None]
+    def _kinds(self, tokens: Tokens) -> np.ndarray:
+        """The number of each token's kind: twice its key's number, and one more where it is glued."""
+        if len(self._ids) > _KEPT:
+            self.forget()
+        ids, words = self._ids, tokens.words
+        for w in set(words) - ids.keys():
+            k = key(w)
+            number = self._key_ids.setdefault(k, len(self._key_ids))
+            if number == len(self._keys):
+                self._keys.append(k)
+            ids[w] = number
+        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) * 2 + tokens.glued
+
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        """The score of each label for each token."""
+        n, size = len(tokens.words), len(self.labels)
+        out = np.zeros((n, size))
+        if not n:
+            return out
+        kinds = self._kinds(tokens)
+        found, at = np.unique(kinds, return_inverse=True)
+        table = np.stack([self._of_kind(k) for k in found.tolist()])
+        for j, o in enumerate(range(-REACH, REACH + 1)):
+            low, high = max(0, -o), n - max(0, o)
+            if low < high:
+                same = tokens.line[low:high] == tokens.line[low + o : high + o]
+                out[low:high][same] += table[at[low + o : high + o][same], j]
+        first = np.concatenate(([True], tokens.line[1:] != tokens.line[:-1]))
+        if "first" in self.index:
+            out[first] += self.weights[self.index["first"]]
+        rest = np.flatnonzero(~first)
+        if len(rest):
+            wide = int(kinds.max()) + 1
+            found, at = np.unique((kinds[rest - 1] >> 1) * wide + kinds[rest], return_inverse=True)
+            out[rest] += np.stack([self._of_pair(k // wide, k % wide) for k in found.tolist()])[at]
+        return out
+
+    def _sum(self, names: list[str]) -> np.ndarray:
+        rows = [self.index[n] for n in names if n in self.index]
+        return self.weights[rows].sum(0) if rows else np.zeros(len(self.labels))
+
+    def _of_kind(self, kind: int) -> np.ndarray:
+        if (got := self._single.get(kind)) is None:
+            k = self._keys[kind >> 1]
+            got = self._single[kind] = np.stack([self._sum(self.features(k, bool(kind & 1), o)) for o in range(-REACH, REACH + 1)])
+        return got
+
+    def _of_pair(self, a: int, kind: int) -> np.ndarray:
+        if len(self._double) > _KEPT:
+            self._double = {}
+        if (got := self._double.get((a, kind))) is None:
+            got = self._double[a, kind] = self._sum(self.pair_features(self._keys[a], self._keys[kind >> 1], bool(kind & 1)))
+        return got
+
+    def train(self, tokens: Tokens, gold: np.ndarray, rounds: int = 50, rate: float = 0.15, decay: float = 2e-4) -> None:
+        """Maximise the likelihood of the labels by full-batch Adam with a small ridge. Each line is a sequence."""
+        size, n = len(self.labels), len(tokens.words)
+        kinds = self._kinds(tokens)
+        found, kind_at = np.unique(kinds, return_inverse=True)
+        first = np.concatenate(([True], tokens.line[1:] != tokens.line[:-1]))
+        rest = np.flatnonzero(~first)
+        wide = int(kinds.max()) + 1
+        pairs, pair_at = np.unique((kinds[rest - 1] >> 1) * wide + kinds[rest], return_inverse=True)
+        number = lambda name: self.index.setdefault(name, len(self.index))
+        # Groups of features (per offset and kind, per pair, at a line's start), with the features of each group.
+        of_kind = [[[number(f) for f in self.features(self._keys[k >> 1], bool(k & 1), o)] for k in found.tolist()] for o in range(-REACH, REACH + 1)]
+        of_pair = [[number(f) for f in self.pair_features(self._keys[p // wide], self._keys[(p % wide) >> 1], bool(p & 1 if wide % 2 == 0 else (p % wide) & 1))] for p in pairs.tolist()]
+        groups = [*[g for offset in of_kind for g in offset], *of_pair, [number("first")]]
+        owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        feature = np.concatenate([np.array(g, np.int64) for g in groups])
+        # Which groups each token is in: one column per offset, one for its pair, one for a line's start; the last group is none.
+        none, member = len(groups), np.full((n, 2 * REACH + 3), len(groups), np.int64)
+        for j, o in enumerate(range(-REACH, REACH + 1)):
+            low, high = max(0, -o), n - max(0, o)
+            same = tokens.line[low:high] == tokens.line[low + o : high + o]
+            member[low:high, j][same] = j * len(found) + kind_at[low + o : high + o][same]
+        member[rest, 2 * REACH + 1] = (2 * REACH + 1) * len(found) + pair_at
+        member[first, 2 * REACH + 2] = none - 1
+        lines = np.cumsum(first) - 1
+        start = np.flatnonzero(first)
+        column = np.arange(n) - start[lines]
+        width, count = int(column.max()) + 1, len(start)
+        mask = np.zeros((count, width), bool)
+        mask[lines, column] = True
         gold_moves = np.zeros((size, size))
-        np.add.at(gold_moves, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
+        np.add.at(gold_moves, (gold[rest - 1], gold[rest]), 1)
+        truth = np.eye(size)[gold]
+        self.weights = np.zeros((len(self.index), size))
         state = [np.zeros_like(x) for x in (self.weights, self.weights, self.moves, self.moves)]
         for step in range(1, rounds + 1):
-            scores = np.stack([np.bincount(owner, self.weights[feature, k], len(sentences) * width) for k in range(size)], 1).reshape(len(sentences), width, size)
-            marginal, pairs = self._expect(scores, mask)
-            miss = (from_gold - marginal).reshape(-1, size)
-            slopes = [np.stack([np.bincount(feature, miss[owner, k], count) for k in range(size)], 1) - decay * len(sentences) * self.weights, gold_moves - pairs - decay * len(sentences) * self.moves]
-            for j, (target, slope) in enumerate(zip((self.weights, self.moves), slopes)):
+            sums = np.zeros((none + 1, size))
+            for k in range(size):
+                sums[:none, k] = np.bincount(owner, self.weights[feature, k], none)
+            local = np.zeros((count, width, size))
+            local[lines, column] = sums[member].sum(1)
+            marginal, moved = self._expect(local, mask)
+            miss = truth - marginal[lines, column]
+            by_group = np.stack([sum(np.bincount(member[:, c], miss[:, k], none + 1) for c in range(member.shape[1])) for k in range(size)], 1)
+            slope = np.stack([np.bincount(feature, by_group[owner, k], len(self.index)) for k in range(size)], 1)
+            slopes = [slope - decay * count * self.weights, gold_moves - moved - decay * count * self.moves]
+            for j, (target, s) in enumerate(zip((self.weights, self.moves), slopes)):
                 m, v = state[2 * j], state[2 * j + 1]
-                m += 0.1 * (slope - m)
-                v += 0.01 * (slope * slope - v)
+                m += 0.1 * (s - m)
+                v += 0.01 * (s * s - v)
                 target += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        self._cache = {}
+        self.forget()
 
     def _expect(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of labels and the expected number of each move, by forward and backward sums."""
         n, width, size = scores.shape
         moves = np.exp(self.moves)
-        top = scores.max(2, keepdims=True)
-        local = np.exp(scores - top)
+        local = np.exp(scores - scores.max(2, keepdims=True))
         ahead, back = np.zeros_like(local), np.ones_like(local)
         ahead[:, 0] = local[:, 0] / local[:, 0].sum(1, keepdims=True)
         for t in range(1, width):
@@ -119,71 +244,41 @@ class Model:
         pairs = np.zeros((size, size))
         for t in range(width - 1, 0, -1):
             here = local[:, t] * back[:, t]
-            joint = ahead[:, t - 1, :, None] * moves[None] * here[:, None, :]
-            joint *= (mask[:, t] / joint.sum((1, 2)))[:, None, None]
-            pairs += joint.sum(0)
             step = here @ moves.T
+            total = (ahead[:, t - 1] * step).sum(1)
+            pairs += moves * ((ahead[:, t - 1] * (mask[:, t] / total)[:, None]).T @ here)
             back[:, t - 1] = np.where(mask[:, t, None], step / step.sum(1, keepdims=True), back[:, t - 1])
         marginal = ahead * back
         marginal /= marginal.sum(2, keepdims=True)
         return marginal * mask[:, :, None], pairs
 
-    def _sum(self, kind: tuple, names) -> np.ndarray:
-        if kind not in self._cache:
-            if len(self._cache) > 400_000:
-                self._cache.clear()
-            rows = [self.index[n] for n in names() if n in self.index]
-            self._cache[kind] = self.weights[rows].sum(0) if rows else np.zeros(len(self.labels))
-        return self._cache[kind]
-
-    def scores(self, words: list[str], glued: list[bool]) -> np.ndarray:
-        """The score of each label for each token, from sums kept per distinct token and pair."""
-        keys = [key(w) for w in words]
-        n = len(keys)
-        out = np.zeros((n, len(self.labels)))
-        kinds, codes = {}, np.zeros(n, np.int64)
-        for t, pair in enumerate(zip(keys, glued)):
-            codes[t] = kinds.setdefault(pair, len(kinds))
-        for o in range(-REACH, REACH + 1):
-            table = np.stack([self._sum((o, *pair), lambda p=pair, o=o: self._properties(p[0], p[1], o)) for pair in kinds])
-            low, high = max(0, -o), n - max(0, o)
-            if low < high:
-                out[low:high] += table[codes[low + o : high + o]]
-        pairs, at = {}, np.zeros(max(0, n - 1), np.int64)
-        for t in range(1, n):
-            at[t - 1] = pairs.setdefault((keys[t - 1], keys[t], glued[t]), len(pairs))
-        if pairs:
-            out[1:] += np.stack([self._sum(("p", *p), lambda p=p: self._pair(*p)) for p in pairs])[at]
-        return out
-
-    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """The best labels of many sequences at once (Viterbi), longest first so that short ones drop out."""
-        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-        size = len(self.labels)
-        result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
-        lengths = np.array([len(scores[i]) for i in order])
-        live = int((lengths > 0).sum())
-        if not live:
-            return result
-        width = lengths[0]
-        flat = np.concatenate([scores[i] for i in order])
-        offset = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        best = flat[offset[:live]]
-        back = []
-        final = np.zeros(len(order), np.int64)
-        for t in range(1, width + 1):
-            still = int(np.searchsorted(-lengths, -t, "left"))  # sequences longer than t
-            final[still : len(best)] = best[still:].argmax(1)
-            best = best[:still]
+    def decode(self, tokens: Tokens) -> np.ndarray:
+        """The best label of each token (Viterbi), all lines at once, the longest first so that short ones drop out."""
+        scores = self.scores(tokens)
+        n = len(scores)
+        tags = np.zeros(n, np.int64)
+        if not n:
+            return tags
+        start = np.flatnonzero(np.concatenate(([True], tokens.line[1:] != tokens.line[:-1])))
+        lengths = np.diff(np.append(start, n))
+        order = np.argsort(-lengths, kind="stable")
+        start, lengths = start[order], lengths[order]
+        best = scores[start]
+        back: list[np.ndarray] = []
+        moves = np.ascontiguousarray(self.moves.T)[None]
+        last = np.zeros(len(start), np.int64)
+        for t in range(1, int(lengths[0]) + 1):
+            still = int(np.searchsorted(-lengths, -t, "left"))  # lines longer than t
+            last[still : len(best)] = best[still:].argmax(1)
             if not still:
                 break
-            options = best[:, :, None] + self.moves[None]
-            back.append(options.argmax(1).astype(np.int8))
-            best = np.take_along_axis(options, back[-1][:, None, :].astype(np.int64), 1)[:, 0] + flat[offset[:still] + t]
-        for r in range(live):
-            tags = np.zeros(lengths[r], np.int64)
-            tags[-1] = final[r]
-            for t in range(lengths[r] - 1, 0, -1):
-                tags[t - 1] = back[t - 1][r, tags[t]]
-            result[order[r]] = tags
-        return result
+            options = best[:still, None, :] + moves
+            step = options.argmax(2)
+            back.append(step.astype(np.int8))
+            best = np.take_along_axis(options, step[:, :, None], 2)[:, :, 0] + scores[start[:still] + t]
+        for t in range(int(lengths[0]) - 1, -1, -1):
+            live = int(np.searchsorted(-lengths, -t, "left"))  # lines that have a token at t
+            tags[start[:live] + t] = last[:live]
+            if t:
+                last[:live] = back[t - 1][np.arange(live), last[:live]]
+        return tags

@@ -1,9 +1,8 @@
 """Personal information in free text, found by a linear-chain conditional random field.
 
-The model is trained on the driver from a small labelled table: the sentences below, with their
-slots filled by rule from a fixed seed. It goes to the tasks (a few MB, bounded by the table), which
-score and decode their lines in numpy batches. The labels of a value are then checked for the form
-that its type has, and the value is replaced by a typed placeholder.
+The model is trained on the driver from a small labelled table (``pii_table.py``), whose slots are filled by rule from a
+fixed seed. It goes to the tasks (a few MB, bounded by the table), which score and decode their lines in numpy batches. The
+labels of a value are then checked for the form that its type has, and the value is replaced by a typed placeholder.
 """
 
 from __future__ import annotations
@@ -12,135 +11,68 @@ import random
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .crf import Model, tokens_of
+from . import pii_table
+from .crf import Model, Tokens, tokens_of
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
-SLOTS = {"N": "person_name", "G": "person_name", "E": "email", "P": "phone", "I": "id_number", "A": "street_address"}
+COPIES = 12
+PIECE = 400_000
 
-# The labelled table. {N} a full name, {G} a given name, {E} an address of mail, {P} a phone number, {I} an identity
-# number, {A} street and house number; in the right column stand sentences without any value of these types.
-LABELLED = """
-Reported by {N}. | Reviewed-by: {N} <{E}> | Signed-off-by: {N} <{E}> | Co-authored-by: {N} <{E}> | Reported-by: {N} <{E}>
-From: {N} <{E}> | To: {N} <{E}> | Cc: {E} | Author: {N} | Author: {N} <{E}> | -- {N} | Assigned to {N} since Monday. | Assigned to {G}. | Maintainer: {N}
-I paired with Dr. {N} on the fix. | Dr. {N} signs this off. | Mr. {N} asked for it. | Mrs. {N} will call. | Ms. {N} has the keys. | Prof. {N} wrote it.
-{N} wrote the first version of this. | {N} reviews it tomorrow. | as {N} said in the call, it can wait | Ask {G} about it. | Ask {N} about it. | Hi {G}, | Hello {G}, | Dear {N},
-Thanks, {G}, that helped. | Thanks {G}! | Best, {G} | Regards, {N} | cc {N} | ping {G} when done | {G} and {G} agreed on Monday. | My name is {N}.
-Gemeldet von {N}. | Frau {N} prüft das morgen. | Herr {N} prüft das morgen. | {N} hat die erste Fassung geschrieben. | Gruß, {N} | Viele Grüße, {N} | Danke, {G}! | Hallo {G}, | Frag {G} dazu. | wie {N} im Gespräch sagte | Zugewiesen an {N}.
-Signalé par {N}. | Mme {N} vérifie demain. | M. {N} vérifie demain. | {N} a écrit la première version. | Merci {G} ! | Bonjour {G}, | Cordialement, {N} | Demandez à {G}. | comme {N} l'a dit | Confié à {N}.
-Avisado por {N}. | El Sr. {N} lo revisa mañana. | La Sra. {N} lo revisa mañana. | {N} escribió la primera versión. | Gracias, {G}. | Hola {G}: | Saludos, {N} | Pregunta a {G}. | como dijo {N} en la llamada | Asignado a {N}.
-Contact: {E} | {E} has the full trace. | You can reach me at {E}. | Forward the log to {E}, please. | cc <{E}> | [write me](mailto:{E}) | `git config user.email {E}` | Mail {E} for access.
-Rückfragen: {E} | Kontakt <{E}> | Bitte an {E} schicken. | Correo: {E} | Escriba a {E} si falla. | copia para <{E}> | Écrivez à {E} pour la trace. | Contact : {E} | Adresse : {E}
-Call me on {P} if the build hangs. | Phone: {P} | On duty tonight, {P} ext. 4 | Pager is dead, try {P} instead. | My mobile is {P}, evenings only. | Tel. {P} | fax {P} | Text {P} first.
-Ruf mich unter {P} an. | Tel.: {P} | Mobil {P} ab acht Uhr. | Telefon {P} | Appelez-moi au {P}. | Joignable au {P} le soir. | Tél. : {P} | {P} | Llámame al {P}. | Mi móvil es el {P}. | Teléfono: {P} | Tel. {P}, ext. 12
-SSN {I} was pasted into the form. | My social security number is {I}. | ID no. {I} on the badge request | {I} on the badge request | Passport {I} for the visa letter. | passport number: {I} | national insurance number {I} | Tax ID {I} | TIN: {I}
-Meine Steuer-ID lautet {I}. | Steuerliche Identifikationsnummer: {I} | {I} steht im Formular. | Reisepass {I} liegt bei. | Ausweisnummer {I} | IdNr. {I} im Antrag | Mon numéro de sécurité sociale est le {I}. | n° de sécu : {I} | NIR {I} dans le ticket | Passeport {I} joint.
-Mi DNI es {I}. | DNI/NIF: {I} | NIE: {I} | {I} del contrato, con NIF y firma | Pasaporte {I} adjunto. | El titular {I} del contrato, con NIF y firma
-I moved to {A} last week. | The laptop is still at {A}. | Ship the board to {A}, Apt 28, Marlow Point. | Invoice address: {A}, 62344 Dunmere | Send it to {A}. | Address: {A}
-Anschrift: {A} | Ich wohne jetzt {A}. | Das Gerät bitte an {A}, 31636 Nebelstadt senden. | Lieferung an {A} | Adresse : {A} | J'habite maintenant {A}. | Envoyez la carte au {A}, 32854 Valbrume. | Livrer au {A}.
-Dirección: {A} | Ahora vivo en {A}. | Envíe la placa a {A}, 77788 Valdeniebla. | Entregar en {A}, piso 3
-"""
-PLAIN = """
-At 2025-06-15 07:44:12.757727 the batch stopped. | Error code 378-573-6138 means a shared parser. | Build 882-31-0529 failed in the outlet stage. | Allocated 5 952 415 479 bytes for the fixture. | Listening on 10.18.18.116:4850. | Trace id 21723690B belongs to the planner shard.
-41 Window Lane markers were redrawn in the dashboard. | 83 Crate Lane markers were redrawn in the dashboard. | 12 Signal Road tests were skipped. | The Aurdon release ships with a new tier. | Project Mortrix and project Aurina share one replica. | The Calina release ships with a new cache. | Morina and Beltrix are code names.
-Clone git@code.marlin-ingest.example:prompt/lexer.git first. | Pinned journal@2.15.5 in the lock file. | Pinned quota@2.3.3 in the lock file. | Digest d5451b29568eb26173b55c800b151e4a23f30a27 does not match the shard. | Use @decorator here. | class SparseSegment extends SegmentStencil | import os
-With --budget 3361 the bundle is the first thing to go. | Before: 5773 tokens. After: 76 tokens and one eager outline. | Known limit: at most 9709 lexers per walker. | See app/walker_handle.java line 6467 for the pending case. | Version 0.30.10 drops the kernel flag; use `cold_session` instead. | 8 of 100 runs ended with a early bucket. | [idea] channel batch #4992 | ## 1.17.15 | # cobble-core
-Session 18577 pulled in budgetRoster because nested_degree calls it. | Thanks, that degree trick cut our prompt from 13998 to 13 units. | Please don't trim the branch inside a loop over ribbons. | Skeletons of bramble-web take 9287 tokens, full units about 16 % more. | We benchmarked park against summarize on kestrel-web: 9902 vs. 57. | TL;DR: batch first, ribbon second, outline never. | LGTM once the shared bucket test is back. | Nit: rename `dense_ranking` to something with journal in it. | Open question: who owns the whole manifest after a crash?
-Sitzung 12770 hat lazyTracerBucket nachgezogen. | Offen ist, wer nach einem Absturz das Ticket besitzt. | In 87 von 100 Läufen fehlte das unit. | Vorher 17685 Tokens, jetzt nur noch 30. | Danke, mit --budget 14102 läuft es. | Das Modell bekommt nur das Gerüst von narrowChunkRoster zu sehen. | Die Rangfolge stellt snapshotVisitor vor remote_degree, weil 14107 Aufrufer darauf zeigen. | Seit dem Umzug nach lib/beacon_cache.go gibt es 47 % weniger walker. | Der Zwischenspeicher meldet 19192 veraltete Einträge über tidewater-ledger. | Version 3.14.10 entfernt die Option für das edge. | Bitte das cursor nicht in einer Schleife öffnen. | Die Ignorierregeln verstecken lib/unit_budget.rb.
-Hay que poner `partial_splice` en 16784; si no, el visitor no cabe en el chunk. | La versión 5.28.15 quita la opción del tier. | Antes 9316 fichas, ahora 66. | Con --budget 15257 ya funciona. | Gracias, ese truco acorta la petición un 48 %. | En 41 de 100 pruebas faltaba el snapshot. | La sesión 8261 arrastró vectorPayload. | Falta saber quién posee el roster tras una caída. | El agente solo ve el esqueleto de nestedBeaconDegree. | Las reglas de exclusión ocultan lib/signal.py. | Detalle: `inner_parser` debería llamarse de otra forma. | Desde el traslado a app/anchor_marker.rb hay un 47 % menos de stencil.
-Avant 11487 jetons, maintenant 53. | Avec --budget 10812 tout passe. | Le classement place pendingSession avant outer_hopper car 14519 appels y mènent. | Dans 48 essais sur 100 le planner manquait. | La session 1720 a tiré partialFrame avec elle. | Merci, cette astuce réduit la requête de 68 %. | Merci de ne pas ouvrir le worker dans une boucle. | L'agent ne voit que le squelette de corpusProbe. | Détail : `wide_frame` mérite un autre nom. | Il faut régler `shared_chunk` à 15554, sinon le frame déborde du worker. | Les règles d'exclusion cachent lib/signal_outlet.java. | Reste à savoir qui possède le excerpt après une panne. | Le cache signale 10642 entrées périmées pour bramble-agent.
-user> encode the session of marlin-agent | agent> | var hopperMargin = cacheSocket * 66 - warmVector; | const earlyLexer = "stale commit tracer 975"; | if (commitSession == 598) { | Write down the exact order in which pending_kernel visits its socket, assuming that 61 steps were removed. | Given a call graph in which local_stencil invokes earlySignal from line 661, decide whether the dense ledger still ranks above the margin after 84866 rounds. | An index of 8369 files was rebuilt after 52863 edits; explain why. | Which of the following four layouts keeps marker below a limit of 3818 bytes? | Suppose a planner holds 2074 excerpts and may hand over at most 72560 tokens. | Rank the functions early_replica, cacheChannel and probe_hopper by the number of callers. | Ein Planer hält 119 Auszüge und darf höchstens 13734 Tokens abgeben. | Un planificateur garde 4452 extraits et ne peut rendre que 50740 jetons. | Expliquez pourquoi hidden_parser reste mieux classé. | Begründe, warum wide_vector nach 535 Runden höher gewichtet wird. | Un planificador guarda 2810 extractos y solo puede entregar 29363 fichas.
-Why is the window read from src/core/bridge.java and not from the corpus? | Fixed: manifest no longer loses its tracer when the tracker is fresh. | Reviewer asked whether the cache can restore while the manifest is busy. | My guess is that the margin and the segment disagree about denseLexer. | I'd rather fetch twice than keep a eager budget around. | Nobody expected `wholeKernel` to return a late session for an empty roster. | Run the entry step twice, otherwise the result stays idle. | It hoists fine locally, but kestrel-kit still shows a partial gauge. | Set `replica_answer` to 11210 if the buffer does not fit the channel. | The ranking puts kernelMargin above early_anchor because its prompt has 5548 callers. | This change lets agents restore a margin without reading the whole anchor. | We should measure the spare registry first and only then refund the sample.
-result_kernel = 942912 | fresh_journal = 641533 | const privateVertex = 717629; | let sparse_pool = 336216 | while late_handle == 744 | flat_gauge = degree_intent * 65 - result_planner | return (partialJournal + nextEntry) % 80; | innerParser := vertexAnswer + 613 | eager_relay(lazy_window, 74) | pendingMargin.sparseCache(hopper, 377) | sharedTier = "origin-relay-5749" | for eager_unit in result_tier.iter() {
-Project Belvia and project Aurtrix share one replica. | Projekt Morvia und Projekt Calina teilen sich ein cache. | Le projet Belina et le projet Mordon partagent un cache. | The Morvia release ships with a new lexer. | The Beltrix build fails. | Caltrix 2.4 is out. | Vorher 612 Tokens, jetzt nur noch 14. | Antes 900 fichas, ahora 74. | Avant 312 jetons, maintenant 8. | Trace id 05414124F belongs to the origin shard. | commit 7e54f2d02bbd on frame/shard | Ticket 4431 is blocked by 4432.
-"""
-
-
-def _fill(slot: str, r: random.Random) -> str:
-    """One value of a slot, made by rule."""
-    given = r.choice("Ada Bren Fen Hal Iv Kas Luna Mor Nel Odi Per Quin Ros Sel Tam Ulf Vend Wil Yan Zor".split()) + r.choice("bert den gard ka lo mira nie ra sette tez vin via".split())
-    family = r.choice("Ask Bell Brack Drov Groth Harr Kest Lévr Lunt Marrow Müll Nand Obel Pelm Quill Stell Tarn Vend Wex Ñor".split()) + r.choice("a elli enko era etti ez ington mann ovic oux stad strom wick".split())
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    if slot == "G":
-        return given
-    if slot == "N":
-        initial = r.choice("ABCDEFGHKLMNPRSTVW")
-        return r.choices([f"{given} {family}", f"{family}, {given}", f"{given} {initial}. {family}", f"{initial}. {family}"], [5, 2, 2, 2])[0]
-    if slot == "E":
-        plain = re.sub(r"[^a-z]", "", family.lower()) or "x"
-        user = r.choice([f"{given.lower()}.{plain}", f"{plain}.{given.lower()}", f"{given[0].lower()}{plain}", f"{given.lower()}+{r.choice(('beacon', 'margin', 'news'))}", f"{given.lower()}-{plain[:4]}", f"{given.lower()}_{plain}{digits(2)}"])
-        user = r.choices([user, user.capitalize(), user.upper()], [8, 1, 1])[0]
-        host = f"{r.choice(('', '', 'dev.', 'mail.'))}{r.choice(('cobble', 'lumen', 'marlin', 'tidewater', 'north'))}{r.choice(('-kit', '-web', '-core', '-agent', ''))}.{r.choice(('example', 'test', 'invalid', 'org', 'com'))}"
-        return f"{user}@{host.upper() if user.isupper() else host}"
-    if slot == "P":
-        forms = "(555) 019-#### 1-555-01#-#### 555.01#.#### +1|555-01#-#### +1|(555)|01#-#### 07700|900|### +44|7700|900### +44|20|7946|0### 020|7946|0### 030|/|23125-### (0221)|4710|### 0049|40|66969|### +49|30|23125|### 0221-47####  01|99|00|##|## 06.39.98.##.## +33|1|99|00|##|## +33|(0)6|39|98|##|## +34|6##|###|### (+34)|9##-###-### 9##|##|##|## 6##|###|###".replace("(555) ", "(555)|").split()
-        return re.sub("#", lambda _: digits(1), r.choice(forms)).replace("|", " ")
-    if slot == "I":
-        forms = "000-##-#### 666-##-#### ###-##-#### 000|##|#### @######## @@####### @###### ##|###|###|### ########### 1|##|##|##|###|###|## 2|##|##|##|###|###|## 1############## ########@ ########-@ @#######@ X-#######-@ @@|##|##|##|@ @@######@ L########"
-        return re.sub("@", lambda _: r.choice("ABCDEFGHJKLMNPQRSTVWXYZ"), re.sub("#", lambda _: digits(1), r.choice(forms.split()))).replace("|", " ")
-    house = f"{r.randint(1, 240)}"
-    kind = r.randrange(4)
-    if kind == 0:
-        return f"{house}{r.choice(('', '', 'B'))} {r.choice(('Harrow', 'Quarry', 'Lantern', 'Old Ferry', 'Wren', 'Cobbler', 'Alder', 'Mill Pond', 'Church'))} {r.choice(('Lane', 'Rd', 'Rd.', 'Road', 'Avenue', 'Street', 'St.', 'St.', 'Drive', 'Way', 'Court', 'Row', 'Close', 'Square'))}"
-    if kind == 1:
-        return f"{r.choice(('Mühlweg', 'Kornstr.', 'Am Steg', 'Alte Poststraße', 'Lindenallee', 'Hafenstraße', 'Am Markt', 'Birkenweg', 'Neue Gasse'))} {house}{r.choice(('', '', 'a', 'c'))}"
-    if kind == 2:
-        return f"{house}{r.choice(('', '', ' bis', ' ter'))}{r.choice((' ', ', '))}{r.choice(('rue des Cordiers', 'avenue du Phare', 'boulevard des Mouettes', 'quai de la Brume', 'impasse du Lavoir', 'place du Marché', 'chemin des Vignes'))}"
-    return f"{r.choice(('Calle del Olivar', 'Avenida de la Bruma', 'Plaza del Muelle', 'Paseo de las Norias', 'C/ Faroles', 'Camino Viejo'))}{r.choice((' ', ', ', ' n.º '))}{house}"
 
-
-def labelled_sentences(copies: int = 30, seed: int = 7) -> list[tuple[list[str], list[bool], list[str]]]:
-    """The labelled table as tokens with their labels; each sentence with slots in ``copies`` fillings."""
-    r = random.Random(seed)
-    out = []
-    rows = [(s.strip(), copies) for block in LABELLED.strip().split("\n") for s in block.split(" | ")] + [(s.strip(), 4) for block in PLAIN.strip().split("\n") for s in block.split(" | ")]
-    plain = [s for s, n in rows if n == 4]
-    vary = lambda text: re.sub(r"\d+", lambda m: "".join(r.choice("123456789") for _ in range(len(m[0]) if len(m[0]) < 3 or re.search(r"[-.:]", text[max(0, m.start() - 1) : m.end() + 1]) else r.randint(2, 6))), text)
-    for sentence, times in rows:
-        for _ in range(times):
-            sentence = vary(sentence) if times == 4 else sentence
-            parts = [("", sentence)]
-            mark = r.choice(("", "", "- ", "> ", "* "))
-            if r.random() < 0.5:
-                parts = [("", sentence), ("", " " + r.choice(plain))] if r.random() < 0.5 else [("", r.choice(plain) + " "), ("", sentence)]
-            text, spans = mark, []
-            for _, part in parts:
-                for piece in re.split(r"(\{[NGEPIA]\})", part):
-                    if re.fullmatch(r"\{[NGEPIA]\}", piece):
-                        value = _fill(piece[1], r)
-                        spans.append((len(text), len(text) + len(value), SLOTS[piece[1]]))
-                        text += value
-                    else:
-                        text += piece
-            words, starts, glued = tokens_of(text)
-            tags = []
-            for s in starts:
-                kind = next((k for a, b, k in spans if a <= s < b), None)
-                first = any(a == s for a, _, _ in spans)
-                tags.append("O" if kind is None else ("B-" if first else "I-") + kind)
-            out.append((words, glued, tags))
-    return out
+def labelled(copies: int, seed: int, table: str = pii_table.LABELLED, plain: str = pii_table.PLAIN) -> tuple[Tokens, list[str]]:
+    """The tokens of the labelled table, one sentence a line, and the label of each."""
+    rows = pii_table.sentences(copies, seed, table, plain)
+    tokens = tokens_of("\n".join(t for t, _ in rows))
+    begin = np.cumsum([0] + [len(t) + 1 for t, _ in rows])
+    labels = ["O"] * len(tokens.words)
+    for k, (_, spans) in enumerate(rows):
+        for a, b, kind in spans:
+            low, high = np.searchsorted(tokens.starts, (begin[k] + a, begin[k] + b))
+            for t in range(low, high):
+                labels[t] = ("B-" if t == low else "I-") + kind
+    return tokens, labels
 
 
 @lru_cache(maxsize=4)
-def trained(lexicon: tuple[tuple[str, str], ...]) -> Model:
+def trained(lexicon: tuple[tuple[str, str], ...], copies: int = COPIES, table: str = pii_table.LABELLED, plain: str = pii_table.PLAIN) -> Model:
     """The model trained on the labelled table; ``lexicon`` gives names with their roles, as features only."""
     model = Model(["O", *[f"{b}-{t}" for t in TYPES for b in "BI"]], dict(lexicon))
-    rows = labelled_sentences()
-    # In training some known names pass as unknown and some unknown ones as known, as in the lexicon's own gaps.
+    tokens, labels = labelled(copies, 7, table, plain)
+    # In training some names pass as known and most as unknown, as in the lexicon's own gaps.
     r = random.Random(11)
-    seen = {w.lower() for words, _, tags in rows for w, t in zip(words, tags) if t.endswith("person_name") and len(w) > 2}
-    model.lexicon = {**{w: r.choice(("given", "family")) for w in sorted(seen) if r.random() < 0.6}, **model.lexicon}
-    model.train(rows)
+    names = sorted({w.lower() for w, t in zip(tokens.words, labels) if t.endswith("person_name") and len(w) > 2})
+    model.lexicon = {w: r.choice(("given", "family")) for w in names if r.random() < 0.3}
+    model.train(tokens, np.array([model.labels.index(t) for t in labels]))
     model.lexicon = dict(lexicon)
+    model.forget()
     return model
 
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
-_NAME = re.compile(r"(?:[^\W\d_][\w'’\-]+|[A-Z]\.)(?:,? (?:[^\W\d_][\w'’\-]+|[A-Z]\.))*")
+_FLAT = re.compile(r"\s*,?\s*(?:\b(?:Apt|Apartment|Flat|Suite|Unit|Room|Whg|Wohnung|appt|app|étage|esc|piso|puerta)\b|[A-Z]?\d{5}\b)", re.I)
+# A street's name has a capital letter, or one of the words that streets are called by.
+_STREET = re.compile(r"[^\W\d_a-zß-öø-ÿ]|\b(?:rue|avenue|boulevard|quai|place|impasse|allée|chemin|cours|calle|avenida|plaza|paseo|camino|ronda|straße|str|weg|gasse|allee|platz)\b")
+_FRENCH = "rue|avenue|boulevard|quai|place|impasse|allée|chemin|cours"
+_ENGLISH = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Way|Court|Close|Row|Square|Place|Crescent|Terrace"
+_DIALLED = re.compile(r"\(?\+?\(?\d(?:[ .\-/]{0,3}\(?\d+\)?)+")
+_PARTICLE = r"(?:v[ao]n|de[rnslm]?|da|d[iou]s?|la|le|los?|las|zu[mr]?|ter|ten|y|e|af|av|al|el|bin|ibn)"
+_NAME = re.compile(rf"(?:[^\W\d_](?:[\w'’]|-(?=\w))+|[A-Z]\.)(?:,? (?:{_PARTICLE} )*(?:[^\W\d_](?:[\w'’]|-(?=\w))+|[A-Z]\.))*")
+
+
+def _completed(text: str, start: int, end: int) -> tuple[int, int]:
+    """An address with the rest of its street's name, where the decoded part stops before it."""
+    value = text[start:end].rstrip(" ,")
+    end = start + len(value)
+    if re.search(rf"^\d+\w?(?: (?:bis|ter))?,? (?:{_FRENCH})(?: (?:d[ue]s?|de la|de l))?$", value, re.I) and (m := re.compile(r"(?: (?:d[ue]s?|de la|de l))?[ '’][^\W\d_][\w\-]+").match(text, end)):
+        return start, m.end()
+    if re.match(r"\d", value) and not re.search(rf"(?:{_ENGLISH})\.?$", value) and (m := re.compile(rf"(?: [A-Z][\w'’\-]+)?? (?:{_ENGLISH})\b").match(text, end)):
+        return start, m.end()
+    return start, end
 
 
 def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
@@ -156,15 +88,30 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
         value = text[start:end]
         if value.endswith(".") and not re.search(r"(?:^|[ ,])[A-Z]\.$", value):
             end, value = end - 1, value[:-1]
-        if not _NAME.fullmatch(value) or any(w[0].islower() for w in re.findall(r"[^\W\d_]{2,}", value)) or re.match(r"[_(@+\-]|\.\w", text[end : end + 2]):
+        if not _NAME.fullmatch(value) or any(w[0].islower() and not re.fullmatch(_PARTICLE, w) for w in re.findall(r"(?<!['’\w])[^\W\d_]{2,}", value)) or value[:1].islower() or re.match(r"[_(@+\-]|\.\w", text[end : end + 2]):
             return None
         return (start, end) if len(value) > 2 else None
+    if kind == "phone":  # a number goes on over what is glued to it, or one mark further
+        low, high = max(0, start - 12), end + 12
+        grown = next((m.span() for m in _DIALLED.finditer(text, low, high) if m.start() < end and m.end() > start), None)
+        if grown and grown[0] <= start + 1 and grown[1] >= end and sum(ch.isdigit() for ch in text[slice(*grown)]) <= 13 and sum(map(str.isdigit, value)) >= 6 and not re.search(r"[\w:]$", text[max(0, grown[0] - 1) : grown[0]]):
+            start, end = grown
+            value = text[start:end]
+    if kind == "street_address":
+        start, end = _completed(text, start, end)
+        value = text[start:end]
     digits = sum(ch.isdigit() for ch in value)
     if kind == "phone":
+        if re.search(r"\d[:.]$", text[max(0, start - 2) : start]):
+            return None
         return (start, end) if 7 <= digits <= 15 and re.fullmatch(r"[+(]?[\d() /.\-+]+\d", value) else None
     if kind == "id_number":
         letters = sum(ch.isalpha() for ch in value)
         return (start, end) if digits >= 6 and letters <= 4 and re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9 .\-/]*[A-Za-z0-9]", value) else None
+    if flat := _FLAT.search(value):
+        end, value = start + flat.start(), value[: flat.start()]
+    if len(re.findall(r"\d+", value)) > 1 or not re.search(r"[^\W\d_][\w.]*[^\W\d_.]", value) or not _STREET.search(value):
+        return None
     if re.search(r"\b(?:St|Rd|Ave|Dr|Ln)$", value) and text[end : end + 1] == ".":
         end, value = end + 1, value + "."
     elif value.endswith(".") and not re.search(r"\b(?:St|Rd|Ave|Dr|Ln)\.$", value):
@@ -173,59 +120,38 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
 
 
 def values_in(texts: list[str], model: Model) -> list[list[tuple[int, int, str]]]:
-    """Per text the (start, end, type) of its values, in order and without overlaps. Lines are decoded together."""
-    lines, where = [], []
-    for row, text in enumerate(texts):
-        at = 0
-        for line in text.split("\n"):
-            if line.strip():
-                lines.append(line)
-                where.append((row, at))
-            at += len(line) + 1
+    """Per text the (start, end, type) of its values, in order and without overlaps. Lines are decoded many at a time."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for low in range(0, len(lines), 2000):
-        cut = [tokens_of(line) for line in lines[low : low + 2000]]
-        flat_words = [w for words, _, _ in cut for w in words]
-        flat_glued = [g for _, _, glued in cut for g in glued]
-        if not flat_words:
-            continue
-        scores = _line_scores(model, cut)
-        for n, (tags, (words, starts, _)) in enumerate(zip(model.decode(scores), cut)):
-            row, base = where[low + n]
-            t = 0
-            while t < len(tags):
-                name = model.labels[tags[t]]
-                if name == "O":
-                    t += 1
-                    continue
-                kind, stop = name[2:], t + 1
-                while stop < len(tags) and model.labels[tags[stop]] == f"I-{kind}":
-                    stop += 1
-                span = _checked(lines[low + n], starts[t], starts[stop - 1] + len(words[stop - 1]), kind)
-                if span and (not found[row] or found[row][-1][1] <= base + span[0]):
-                    found[row].append((base + span[0], base + span[1], kind))
-                t = stop
+    low = 0
+    while low < len(texts):
+        high, chars = low, 0
+        while high < len(texts) and (high == low or chars + len(texts[high]) <= PIECE):
+            chars += len(texts[high]) + 1
+            high += 1
+        _values(texts, low, high, model, found)
+        low = high
     return found
 
 
-def _line_scores(model: Model, cut: list) -> list:
-    """Scores of many lines in one pass: the lines are set side by side, with empty tokens between them."""
-    pad = 3
-    words, glued, bounds = [], [], []
-    for line_words, _, line_glued in cut:
-        bounds.append((len(words), len(words) + len(line_words)))
-        words += line_words + [""] * pad
-        glued += line_glued + [False] * pad
-    scores = model.scores(words, glued)
-    first = model.weights[model.index["first"]] if "first" in model.index else 0.0
-    out = []
-    for a, b in bounds:
-        part = scores[a:b]
-        if len(part):
-            part = part.copy()
-            part[0] += first
-        out.append(part)
-    return out
+def _values(texts: list[str], low: int, high: int, model: Model, found: list) -> None:
+    whole = "\n".join(texts[low:high])
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts[low:high]])
+    tokens = tokens_of(whole)
+    tags = model.decode(tokens)
+    marked = np.flatnonzero(tags)
+    rows = np.searchsorted(begin, tokens.starts[marked], "right") - 1
+    names, k = [model.labels[t] for t in tags[marked].tolist()], 0
+    at, line = marked.tolist(), tokens.line[marked].tolist()
+    while k < len(at):
+        kind, stop = names[k][2:], k + 1
+        while stop < len(at) and names[stop] == f"I-{kind}" and at[stop] == at[stop - 1] + 1 and line[stop] == line[k]:
+            stop += 1
+        row = int(rows[k])
+        text, base = texts[low + row], int(begin[row])
+        span = _checked(text, int(tokens.starts[at[k]]) - base, int(tokens.ends[at[stop - 1]]) - base, kind)
+        if span and (not found[low + row] or found[low + row][-1][1] <= span[0]):
+            found[low + row].append((*span, kind))
+        k = stop
 
 
 def _model(lexicon: DataFrame):

@@ -1,11 +1,13 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import docpairs, filling, generated, leakage, lexing, mixing, parsecheck, pii, secrets, spans
+from quillspan.llm import docpairs, filling, generated, leakage, lexing, mixing, parsecheck, pii, pii_table, secrets, spans
 from quillspan.llm.automaton import Automaton
+from quillspan.llm.crf import Model, tokens_of
 
 
 def rows(df):
@@ -265,19 +267,65 @@ def test_mix_counts_documents_without_source(spark):
 
 
 # 9 personal information
+LEXICON = (("halmira", "given"), ("stellera", "family"))
+
+
 @pytest.fixture(scope="module")
 def model():
-    return pii.trained((("halmira", "given"), ("stellera", "family")))
+    return pii.trained(LEXICON, 5)
+
+
+def _split(table, part):
+    """The cells of a labelled table whose number leaves 0 by four (``part``), or the others."""
+    return " | ".join(c for k, c in enumerate(pii_table._cells(table)) if (k % 4 == 0) == part)
+
+
+def test_crf_on_templates_that_it_never_saw():
+    trained = pii.trained(LEXICON, 6, _split(pii_table.LABELLED, False), _split(pii_table.PLAIN, False))
+    rows = pii_table.sentences(4, 99, _split(pii_table.LABELLED, True), _split(pii_table.PLAIN, True))
+    got = pii.values_in([t for t, _ in rows], trained)
+    for kind in pii.TYPES:
+        want = {(k, a, b) for k, (_, spans) in enumerate(rows) for a, b, t in spans if t == kind}
+        have = {(k, a, b) for k, spans in enumerate(got) for a, b, t in spans if t == kind}
+        recall, precision = len(want & have) / len(want), len(want & have) / len(have)
+        assert recall > {"email": 0.97}.get(kind, 0.75) and precision > 0.7, (kind, recall, precision)
+
+
+def test_labelled_table_is_independent_of_the_documents():
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents at hand")
+    words = lambda t: [w.lower() for w in leakage._WORD.findall(t)]
+    runs = {tuple(w[i : i + 4]) for t in pq.read_table(path, columns=["text"])["text"].to_pylist() if t for w in [words(t)] for i in range(len(w) - 3)}
+    for cell in pii_table._cells(pii_table.LABELLED) + pii_table._cells(pii_table.PLAIN):
+        for part in re.split(r"\{[NGEPIA]\}", cell):
+            w = words(part)
+            assert not any(tuple(w[i : i + 4]) in runs for i in range(len(w) - 3)), cell
+
+
+def test_tokens_equal_the_expression():
+    for text in ("", "a", "Über x_1, é!\n\n -- Q.\tz\u3000k 9", "\n", "𝛼b-c"):
+        tokens = tokens_of(text)
+        want = [(m[0], m.start(), m.end(), text.count("\n", 0, m.start())) for m in re.finditer(r"\w+|[^\w\s]", text)]
+        assert list(zip(tokens.words, tokens.starts.tolist(), tokens.ends.tolist(), tokens.line.tolist())) == want
+
 
+def test_viterbi_equals_brute_force():
+    import itertools
 
-def test_crf_on_held_out_sentences(model):
-    rows = pii.labelled_sentences(copies=3, seed=99)
-    right = total = 0
-    for words, glued, tags in rows:
-        got = [model.labels[k] for k in model.decode([model.scores(words, glued)])[0]]
-        right += sum(a == b for a, b in zip(got, tags))
-        total += len(tags)
-    assert right / total > 0.985
+    m = Model(["O", "B-x", "I-x"], {})
+    tokens = tokens_of("one two\nthree\nfour five six")
+    r = np.random.default_rng(3)
+    table = r.normal(size=(6, 3))
+    m.moves, m.scores = r.normal(size=(3, 3)), lambda _: table
+    got = m.decode(tokens)
+    for low, high in ((0, 2), (2, 3), (3, 6)):
+        best = max(itertools.product(range(3), repeat=high - low), key=lambda p: sum(table[low + i, k] for i, k in enumerate(p)) + sum(m.moves[a, b] for a, b in zip(p, p[1:])))
+        assert got[low:high].tolist() == list(best)
 
 
 def test_values_and_placeholders(spark, model):
@@ -290,8 +338,15 @@ def test_values_and_placeholders(spark, model):
     assert {x["doc_id"]: x["text"] for x in pii.redact_pii(docs, names).collect()}[1].startswith("Reported by [PERSON_NAME].\nPhone: [PHONE]\n")
 
 
-def test_address_keeps_its_own_full_stop_only():
-    for text, want in (("133B Quarry Street. Then", "133B Quarry Street"), ("29 Lantern Rd. Then", "29 Lantern Rd."), ("29 Lantern Rd, Apt 2", "29 Lantern Rd")):
-        length = len(want) + (want.endswith("Street"))
-        start, end = pii._checked(text, 0, length, "street_address")
-        assert text[start:end] == want
+def test_forms_of_decoded_values():
+    for text, decoded, want in (
+        ("133B Quarry Street. Then", "133B Quarry Street.", "133B Quarry Street"), ("29 Lantern Rd. Then", "29 Lantern Rd", "29 Lantern Rd."), ("29 Lantern Rd, Apt 2", "29 Lantern Rd, Apt 2", "29 Lantern Rd"), ("84 Harrow Row last", "84 Harrow", "84 Harrow Row"), ("52 boulevard des Mouettes La", "52 boulevard", "52 boulevard des Mouettes"), ("81 de 100 pruebas", "81 de 100", None),
+    ):
+        span = pii._checked(text, 0, len(decoded), "street_address")
+        assert (text[slice(*span)] if span else None) == want
+    for text, decoded, want in (("try +34 638 340 311.", "+34 638 340", "+34 638 340 311"), ("at 05:47:12.893877 it", "12.893877", None), ("on (+34) 983-556-293 now", "+34) 983-556-293", "(+34) 983-556-293")):
+        at = text.find(decoded)
+        span = pii._checked(text, at, at + len(decoded), "phone")
+        assert (text[slice(*span)] if span else None) == want
+    for value, want in (("Ludwig van Houten", True), ("Ada de la Cruz", True), ("Ada likes it", False), ("Smith-Jones, Ada", True)):
+        assert (pii._checked(value, 0, len(value), "person_name") is not None) == want
