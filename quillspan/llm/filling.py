@@ -1,35 +1,32 @@
 """Filling containers of fixed capacity with items of varying length.
 
-The items of a session are dealt into blocks of bounded size, each packed on its own. In a block the
-lengths form a histogram of few classes; combinations of up to four classes that fill a window just
-below the capacity, or below an equal part of it where items are small, are enumerated, non-negative least squares gives how often each should be used so
-that the histogram is spent, the counts are rounded down, and what is left goes, longest first, into
-the tightest gap. The thinly filled containers of all blocks of a session are then emptied and their
-items packed once more.
+A session is solved on its histogram, how many items it has of each length, which its capacity bounds however many items it
+has. Shallow combinations of lengths that fill a window just below the capacity (or below an equal part of it, where items are
+small) are priced by what of the histogram is still uncovered; non-negative least squares gives how often each should be
+used, the counts are rounded down, and the residue is packed greedily, each container around its longest item by the sum of
+others that comes nearest to the capacity. Spark counts, ranks the items of each length, and deals the containers back.
 """
 
 from __future__ import annotations
 
-import bisect
-from itertools import combinations_with_replacement
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.sources.tables import cut, latest
+from quillspan.sources.tables import latest
 
-BLOCK = 2048
-CLASSES = 16
+FINEST = 1 << 16  # a capacity is divided into at most so many steps; lengths are rounded up to them
+DEALT = 4096
+BUCKET = 20_000
+_SEGMENTS = "session_id string, tokens long, first long, n long, base long, per long"
 
 
-def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 40) -> np.ndarray:
+def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
     """x >= 0 with ``combos.T @ x`` closest to ``histogram``: coordinate descent on the normal equations."""
     gram = combos @ combos.T
-    pull = combos @ histogram
     x = np.zeros(len(combos))
-    slope = -pull.astype(float)
+    slope = -(combos @ histogram).astype(float)
     for _ in range(rounds):
         moved = 0.0
         for j in range(len(x)):
@@ -43,95 +40,136 @@ def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int =
     return x
 
 
-def _combinations(edges: np.ndarray, low: float, high: int, most: int = 160) -> list[tuple[int, ...]]:
-    """The fullest combinations of one to four classes whose lengths fill the window; at most ``most`` patterns are tried."""
-    found = []
-    for size in (1, 2, 3, 4):
-        picks = np.array(list(combinations_with_replacement(range(len(edges)), size)))
-        sums = edges[picks].sum(1)
-        inside = np.flatnonzero((sums >= low) & (sums <= high))
-        found += [(-int(sums[i]), tuple(picks[i])) for i in inside]
-    return [c for _, c in sorted(found)[:most]]
-
-
-def _by_combinations(lengths: np.ndarray, order: np.ndarray, capacity: int, window: float) -> tuple[np.ndarray, list[int]]:
-    """The container of each item that the rounded combinations place, -1 for the others, and what is free in each.
+def _fullest(lengths: np.ndarray, capacity: int, price: np.ndarray, low: float) -> list[tuple[float, tuple[int, ...]]]:
+    """For each longest item the combination of up to four lengths within the window that covers most of what has a price.
 
-    Where items are too small for four of them to fill a container, combinations fill an equal part
-    of it (a half, a quarter, ...), and so many of these make one container.
+    ``lengths`` ascend. For each pair the third length is the longest one that fits; four are two pairs of equal halves.
+    """
+    m = len(lengths)
+    found: list[tuple[float, tuple[int, ...]]] = []
+    for a in range(m - 1, -1, -1):
+        if price[a] <= 0:
+            continue
+        room = capacity - lengths[a]
+        best: tuple[float, tuple[int, ...]] | None = (float(price[a]), (a,)) if lengths[a] >= low else None
+        b = np.arange(min(a, int(np.searchsorted(lengths, room, "right")) - 1) + 1)
+        if len(b):
+            left = room - lengths[b]
+            two = lengths[a] + lengths[b] >= low
+            if two.any() and (k := int(np.argmax(np.where(two, price[b], -np.inf)))) >= 0:
+                best = max(filter(None, (best, (float(price[a] + price[b[k]]), (a, int(b[k]))))))
+            c = np.minimum(np.searchsorted(lengths, left, "right") - 1, b)
+            three = (c >= 0) & (lengths[a] + lengths[b] + lengths[np.maximum(c, 0)] >= low)
+            if three.any():
+                worth = np.where(three, price[b] + price[np.maximum(c, 0)], -np.inf)
+                k = int(np.argmax(worth))
+                best = max(filter(None, (best, (float(price[a] + worth[k]), (a, int(b[k]), int(c[k]))))))
+        if 4 * lengths[a] >= low and 4 * lengths[a] <= capacity:
+            best = max(filter(None, (best, (float(4 * price[a]), (a, a, a, a)))))
+        if best:
+            found.append(best)
+    return found
+
+
+def by_combinations(lengths: np.ndarray, counts: np.ndarray, capacity: int, window: float = 0.005, rounds: int = 12) -> list[tuple[int, np.ndarray]]:
+    """(times, items of each length) of the containers that rounded least squares fills; ``lengths`` ascend.
+
+    Combinations are generated by columns: those that cover most of the residue of the last solution come in, until none
+    covers any. Where items are small, combinations fill an equal part of the container, and so many of them one container.
     """
-    n = len(lengths)
-    place = np.full(n, -1)
-    free: list[int] = []
-    if n <= 8:
-        return place, free
-    edges = np.unique(np.quantile(lengths, np.linspace(0, 1, min(CLASSES, n // 4 + 2) + 1)[1:], method="higher"))
-    kind = np.searchsorted(edges, lengths)
-    histogram = np.bincount(kind, minlength=len(edges))
-    parts, combos = 1, []
-    while not combos and capacity // parts >= edges[0]:
-        combos = _combinations(edges, capacity / parts * (1 - window), capacity // parts)
-        parts = parts if combos else parts * 2
-    if not combos:
-        return place, free
-    table = np.zeros((len(combos), len(edges)))
-    for j, c in enumerate(combos):
-        for k in c:
-            table[j, k] += 1
-    times = nonnegative_counts(table, histogram)
-    stock = [[i for i in order if kind[i] == k] for k in range(len(edges))]
-    made = 0
+    mean = float((lengths * counts).sum() / counts.sum())
+    parts = max(1, round(capacity / (3 * mean)))
+    part = capacity // parts
+    usable = lengths <= part
+    if not usable.any():
+        return []
+    held = np.where(usable, counts, 0).astype(float)
+    columns: dict[tuple[int, ...], None] = {}
+    table, times = np.zeros((0, len(lengths))), np.zeros(0)
+    for _ in range(rounds):
+        price = held - times @ table if len(times) else held.copy()
+        fresh = [c for worth, c in _fullest(lengths, part, np.where(usable, price, -1e18), part * (1 - window)) if worth > 0.5 and c not in columns]
+        if not fresh:
+            break
+        columns |= dict.fromkeys(fresh)
+        table = np.zeros((len(columns), len(lengths)))
+        for j, c in enumerate(columns):
+            np.add.at(table[j], list(c), 1)
+        times = nonnegative_counts(table, held)
+    left = counts.astype(np.int64).copy()
+    chosen: list[tuple[int, np.ndarray]] = []
     for j in np.argsort(-times, kind="stable"):
-        need = table[j].astype(int)
-        for _ in range(int(times[j] + 1e-6)):
-            if any(len(stock[k]) < need[k] for k in np.flatnonzero(need)):
+        need = table[j].astype(np.int64)
+        on = need > 0
+        n = min(int(times[j] + 1e-6), int((left[on] // need[on]).min()))
+        if n > 0:
+            left -= n * need
+            chosen.append((n, need))
+    if parts == 1:
+        return chosen
+    # Combinations in a row make up containers; the last few that make none go back to the residue.
+    out, open_parts, have = [], np.zeros(len(lengths), np.int64), 0
+    for n, need in chosen:
+        while n:
+            if not have and n >= parts:
+                out.append((n // parts, need * parts))
+                n %= parts
+                continue
+            take = min(n, parts - have)
+            open_parts, have, n = open_parts + take * need, have + take, n - take
+            if have == parts:
+                out.append((1, open_parts))
+                open_parts, have = np.zeros(len(lengths), np.int64), 0
+    return out
+
+
+def _around(lengths: list[int], counts: list[int], capacity: int) -> list[int]:
+    """How many of each length (descending, the first one present) fill a container best around one of the first."""
+    m, room = len(lengths), capacity - lengths[0]
+    mask, sums = (1 << (room + 1)) - 1, [1] * (m + 1)
+    for k in range(m - 1, -1, -1):
+        reach, length = sums[k + 1], lengths[k]
+        free, step = min(counts[k] - (k == 0), room // length), 1
+        while free > 0:
+            take = min(step, free)
+            reach |= (reach << (length * take)) & mask
+            free, step = free - take, step * 2
+        sums[k] = reach
+    need, total = [0] * m, sums[0].bit_length() - 1
+    for k in range(m):
+        length, most = lengths[k], counts[k] - (k == 0)
+        # As many as can be while what is left is a sum of the shorter ones.
+        for q in range(min(most, total // length), -1, -1):
+            if sums[k + 1] >> (total - q * length) & 1:
+                need[k], total = q, total - q * length
                 break
-            if made % parts == 0:
-                free.append(capacity)
-            made += 1
-            for k in np.flatnonzero(need):
-                for _ in range(need[k]):
-                    i = stock[k].pop(0)
-                    place[i] = len(free) - 1
-                    free[-1] -= lengths[i]
-    return place, free
-
-
-def pack(lengths: np.ndarray, capacity: int, window: float = 0.03) -> np.ndarray:
-    """The container of each item. Lengths are positive and at most ``capacity``; no container exceeds it."""
-    order = np.argsort(-lengths, kind="stable")
-    place, free = _by_combinations(lengths, order, capacity, window)
-    gaps = sorted((f, c) for c, f in enumerate(free))
-    for i in order:
-        if place[i] >= 0:
-            continue
-        at = bisect.bisect_left(gaps, (lengths[i], -1))
-        if at < len(gaps):
-            left, c = gaps.pop(at)
-        else:
-            left, c = capacity, len(free)
-            free.append(capacity)
-        place[i] = c
-        bisect.insort(gaps, (left - lengths[i], c))
-    return place
-
-
-def _packed(items: DataFrame, stage: int) -> DataFrame:
-    """Items with their container's name; a session of more than BLOCK items is dealt into blocks."""
-    sizes = items.groupBy("session_id").agg(F.count("*").alias("n"))
-    dealt = items.join(sizes, "session_id").withColumn("block", F.pmod(F.xxhash64("plan_id", "ord", "piece"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-
-    def one(pdf):
-        place = pack(pdf["tokens"].to_numpy(), int(pdf["capacity"].iloc[0]))
-        pdf["container"] = [f"{stage}-{b}-{c}" for b, c in zip(pdf["block"], place)]
-        return pdf.drop(columns=["n", "block"])
-
-    schema = "session_id string, plan_id long, ord int, piece int, tokens long, capacity long, container string"
-    # Packing is heavy for its few bytes, so the number of partitions is set here rather than by their size.
-    spark = items.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    dealt = dealt.repartition(parts, "session_id", "block")
-    return dealt.select("session_id", "plan_id", "ord", "piece", "tokens", "capacity", "n", "block").groupBy("session_id", "block").applyInPandas(one, schema)
+    need[0] += 1
+    return need
+
+
+def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+    """(times, items of each length) of the containers for a histogram; ``lengths`` ascend, are positive and at most ``capacity``.
+
+    Every item has its place, no container exceeds the capacity.
+    """
+    if capacity > FINEST:
+        unit = -(-capacity // FINEST)
+        lengths, capacity = -(-lengths // unit), capacity // unit
+        lengths = np.minimum(lengths, capacity)
+    plan = by_combinations(lengths, counts, capacity)
+    left = counts.astype(np.int64).copy()
+    for times, need in plan:
+        left -= times * need
+    order = [int(k) for k in np.argsort(-lengths, kind="stable") if left[k]]
+    while order:
+        need = _around([int(lengths[k]) for k in order], [int(left[k]) for k in order], capacity)
+        times = min(int(left[k]) // q for k, q in zip(order, need) if q)
+        whole = np.zeros(len(lengths), np.int64)
+        whole[order] = need
+        plan.append((times, whole))
+        left -= times * whole
+        order = [k for k in order if left[k]]
+    return plan
 
 
 def items_of(planned: DataFrame, plans: DataFrame) -> DataFrame:
@@ -147,13 +185,49 @@ def items_of(planned: DataFrame, plans: DataFrame) -> DataFrame:
     return pieces.withColumn("tokens", F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity"))).select("session_id", "plan_id", "ord", "piece", "tokens", "capacity")
 
 
-def fill_containers(planned: DataFrame, plans: DataFrame, thin: float = 0.97) -> DataFrame:
-    """``session_id, plan_id, ord, piece, tokens, capacity, container``: every item or piece once, no container over capacity."""
-    first = cut(_packed(items_of(planned, plans), 1))  # read three times below; packing it again each time would cost more
-    load = first.groupBy("session_id", "container").agg((F.sum("tokens") / F.max("capacity")).alias("load"))
-    loaded = first.join(load, ["session_id", "container"])
-    again = _packed(loaded.where(F.col("load") < thin).drop("load", "container"), 2)
-    return loaded.where(F.col("load") >= thin).select(again.columns).union(again)
+def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The containers of one session's histogram, as runs of items of one length: ``per`` of them in each container from ``base``."""
+    pdf = pdf.sort_values("tokens")
+    lengths, counts = pdf["tokens"].to_numpy(), pdf["n"].to_numpy()
+    used, base, rows = np.zeros(len(lengths), np.int64), 0, []
+    for times, need in pack(lengths, counts, int(pdf["capacity"].iloc[0])):
+        for k in np.flatnonzero(need):
+            per = int(need[k])
+            step = max(1, DEALT // per)
+            for low in range(0, times, step):
+                n = min(step, times - low) * per
+                rows.append((int(lengths[k]), int(used[k]), n, base + low, per))
+                used[k] += n
+        base += times
+    out = pd.DataFrame(rows, columns=["tokens", "first", "n", "base", "per"])
+    out.insert(0, "session_id", pdf["session_id"].iloc[0])
+    return out
+
+
+def fill_containers(planned: DataFrame, plans: DataFrame) -> DataFrame:
+    """``session_id, plan_id, ord, piece, tokens, capacity, container``: every item or piece once, no container over capacity.
+
+    A task solves one session's histogram, at most a row per length. Items of one length are alike, so any of them may take
+    any of its places: they are numbered within buckets of bounded size and joined to the places by their number.
+    """
+    items = items_of(planned, plans)
+    length = ["session_id", "tokens"]
+    buckets = items.groupBy(*length).agg(F.count("*").alias("n"), F.max("capacity").alias("capacity"))
+    # Solving is heavy for its few bytes, so the number of partitions is set here rather than by their size.
+    spark = items.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    segments = buckets.repartition(parts, "session_id").groupBy("session_id").applyInPandas(_plan, _SEGMENTS)
+    places = segments.repartition(parts).select("session_id", "tokens", "first", "base", "per", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")).select(
+        "session_id", "tokens", (F.col("first") + F.col("i")).alias("number"), (F.col("base") + F.floor(F.col("i") / F.col("per"))).cast("long").alias("container")
+    )
+    dealt = items.join(buckets.select(*length, F.ceil(F.col("n") / BUCKET).alias("buckets")), length)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("plan_id", "ord", "piece"), F.col("buckets"))).drop("buckets")
+    sizes = dealt.groupBy(*length, "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*length).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*length, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inner = Window.partitionBy(*length, "bucket").orderBy("plan_id", "ord", "piece")
+    numbered = dealt.withColumn("inner", F.row_number().over(inner) - 1).join(offsets, [*length, "bucket"]).withColumn("number", F.col("offset") + F.col("inner"))
+    return numbered.join(places, [*length, "number"]).select("session_id", "plan_id", "ord", "piece", "tokens", "capacity", "container")
 
 
 def compare_fill(arranged: DataFrame, plans: DataFrame) -> DataFrame:

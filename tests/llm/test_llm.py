@@ -1,3 +1,4 @@
+import bisect
 import random
 import re
 
@@ -180,23 +181,40 @@ def test_doc_pairs(spark):
 
 
 # 6 containers
-def test_pack_is_valid_and_tight():
+def histogram(lengths):
+    return np.unique(np.asarray(lengths, np.int64), return_counts=True)
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps, made = [], 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        made += at == len(gaps)
+        bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - x)
+    return made
+
+
+def test_pack_is_valid_and_beats_best_fit():
     r = np.random.default_rng(4)
-    for n in (1, 5, 60, 1500):
-        lengths = r.integers(1, 500, n)
-        place = filling.pack(lengths, 1000)
-        loads = np.bincount(place, lengths)
-        assert (place >= 0).all() and loads.max() <= 1000 and (loads > 0).all()
-        assert len(loads) <= -(-lengths.sum() // 1000) * 1.06 + 1
+    ours = theirs = 0
+    for n, low, high, capacity in [(1, 1, 500, 1000), (5, 1, 500, 1000), (60, 1, 500, 1000), (1500, 1, 500, 1000), (400, 200, 700, 1000), (300, 150, 430, 1000), (800, 1, 60, 1000), (200, 1, 200_000, 200_000), (90, 1000, 1001, 1000)]:
+        lengths, counts = histogram(np.minimum(r.integers(low, high, n), capacity))
+        plan = filling.pack(lengths, counts, capacity)
+        assert (sum(t * need for t, need in plan) == counts).all() and max(int((need * lengths).sum()) for _, need in plan) <= capacity
+        made, other = sum(t for t, _ in plan), best_fit_decreasing(np.repeat(lengths, counts).tolist(), capacity)
+        assert made <= other + (capacity > filling.FINEST)
+        ours, theirs = ours + made, theirs + other
+    assert ours < theirs
 
 
 def test_combinations_of_small_items():
-    lengths = np.random.default_rng(5).integers(1, 60, 900)
-    order = np.argsort(-lengths, kind="stable")
-    place, free = filling._by_combinations(lengths, order, 1000, 0.03)
-    assert (place >= 0).mean() > 0.5 and min(free) >= 0 and place.max() == len(free) - 1
-    loads = np.bincount(filling.pack(lengths, 1000), lengths)
-    assert loads.max() <= 1000 and len(loads) <= -(-lengths.sum() // 1000) + 1
+    lengths, counts = histogram(np.random.default_rng(5).integers(1, 60, 900))
+    plan = filling.by_combinations(lengths, counts, 1000)
+    placed = sum(t * need for t, need in plan)
+    assert (placed <= counts).all() and placed.sum() > 0.5 * counts.sum()
+    assert all(980 <= (need * lengths).sum() <= 1000 for _, need in plan)
+    made = sum(t for t, _ in filling.pack(lengths, counts, 1000))
+    assert made <= -(-int((lengths * counts).sum()) // 1000) + 1
 
 
 def test_nonnegative_counts():
