@@ -22,86 +22,101 @@ BUCKET = 20_000
 _SEGMENTS = "session_id string, tokens long, first long, n long, base long, per long"
 
 
-def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """x >= 0 with ``combos.T @ x`` closest to ``histogram``: coordinate descent on the normal equations."""
-    gram = combos @ combos.T
+def nonnegative_counts(combos: np.ndarray, histogram: np.ndarray, start: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+    """x >= 0 with ``combos.T @ x`` closest to ``histogram``: projected gradient with momentum, from ``start`` on."""
     x = np.zeros(len(combos))
-    slope = -(combos @ histogram).astype(float)
+    if start is not None:
+        x[: len(start)] = start
+    scale = np.abs(combos).sum(1)
+    pace = 1.0 / max(1e-9, float((combos.T @ scale).max()))  # the squared norm is at most the greatest of |A'||A|1
+    ahead, speed = x, 1.0
     for _ in range(rounds):
-        moved = 0.0
-        for j in range(len(x)):
-            new = max(0.0, x[j] - slope[j] / gram[j, j])
-            if new != x[j]:
-                slope += (new - x[j]) * gram[j]
-                moved = max(moved, abs(new - x[j]))
-                x[j] = new
-        if moved < 1e-3:
+        new = np.maximum(0.0, ahead - pace * (combos @ (ahead @ combos - histogram)))
+        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        ahead = new + (speed - 1) / faster * (new - x)
+        done = np.abs(new - x).max() < 1e-3
+        x, speed = new, faster
+        if done:
             break
     return x
 
 
-def _fullest(lengths: np.ndarray, capacity: int, price: np.ndarray, low: float) -> list[tuple[float, tuple[int, ...]]]:
-    """For each longest item the combination of up to four lengths within the window that covers most of what has a price.
+class _Combinations:
+    """All combinations of up to three lengths, and of four equal ones, that fill the window, by their longest length.
 
-    ``lengths`` ascend. For each pair the third length is the longest one that fits; four are two pairs of equal halves.
+    For each pair the third length is the longest one that fits; ``lengths`` ascend. Rows of the tables are worked off in
+    slices, so that no more than about a million pairs are held at a time.
     """
-    m = len(lengths)
-    found: list[tuple[float, tuple[int, ...]]] = []
-    for a in range(m - 1, -1, -1):
-        if price[a] <= 0:
-            continue
-        room = capacity - lengths[a]
-        best: tuple[float, tuple[int, ...]] | None = (float(price[a]), (a,)) if lengths[a] >= low else None
-        b = np.arange(min(a, int(np.searchsorted(lengths, room, "right")) - 1) + 1)
-        if len(b):
-            left = room - lengths[b]
-            two = lengths[a] + lengths[b] >= low
-            if two.any() and (k := int(np.argmax(np.where(two, price[b], -np.inf)))) >= 0:
-                best = max(filter(None, (best, (float(price[a] + price[b[k]]), (a, int(b[k]))))))
-            c = np.minimum(np.searchsorted(lengths, left, "right") - 1, b)
-            three = (c >= 0) & (lengths[a] + lengths[b] + lengths[np.maximum(c, 0)] >= low)
-            if three.any():
-                worth = np.where(three, price[b] + price[np.maximum(c, 0)], -np.inf)
-                k = int(np.argmax(worth))
-                best = max(filter(None, (best, (float(price[a] + worth[k]), (a, int(b[k]), int(c[k]))))))
-        if 4 * lengths[a] >= low and 4 * lengths[a] <= capacity:
-            best = max(filter(None, (best, (float(4 * price[a]), (a, a, a, a)))))
-        if best:
-            found.append(best)
-    return found
-
-
-def by_combinations(lengths: np.ndarray, counts: np.ndarray, capacity: int, window: float = 0.005, rounds: int = 12) -> list[tuple[int, np.ndarray]]:
+
+    def __init__(self, lengths: np.ndarray, capacity: int, low: float):
+        self.lengths, self.capacity, self.low = lengths, capacity, low
+        self.slice = max(1, 1_000_000 // max(1, len(lengths)))
+        self.kept = self._table(0, len(lengths)) if len(lengths) <= self.slice else None
+
+    def _table(self, low: int, high: int):
+        x = self.lengths
+        room = self.capacity - x[low:high, None] - x[None, :high]
+        pair = (np.arange(high)[None] <= np.arange(low, high)[:, None]) & (room >= 0)
+        third = np.minimum(np.searchsorted(x, np.maximum(room, 0), "right") - 1, np.arange(high)[None])
+        slack = self.capacity - self.low
+        two = pair & (room <= slack)
+        three = pair & (third >= 0) & (room - x[np.maximum(third, 0)] <= slack)
+        return two, three, np.maximum(third, 0)
+
+    def dearest(self, price: np.ndarray) -> list[tuple[int, ...]]:
+        """For each longest length the combination that covers most of what has a price."""
+        x, found = self.lengths, []
+        for low in range(0, len(x), self.slice):
+            high = min(len(x), low + self.slice)
+            two, three, third = self.kept if self.kept is not None else self._table(low, high)
+            of = price[:high]
+            pairs, triples = np.where(two, of[None], -np.inf), np.where(three, of[None] + of[third], -np.inf)
+            b2, b3 = pairs.argmax(1), triples.argmax(1)
+            rows = np.arange(high - low)
+            own = of[low:high]
+            worth = np.stack([np.where(x[low:high] >= self.low, own, -np.inf), own + pairs[rows, b2], own + triples[rows, b3], np.where((4 * x[low:high] >= self.low) & (4 * x[low:high] <= self.capacity), 4 * own, -np.inf)])
+            kind = worth.argmax(0)
+            for r in np.flatnonzero((worth.max(0) > 0.5) & (own > 0)).tolist():
+                a = low + r
+                found.append([(a,), (a, int(b2[r])), (a, int(b3[r]), int(third[r, b3[r]])), (a, a, a, a)][kind[r]])
+        return found
+
+
+def by_combinations(lengths: np.ndarray, counts: np.ndarray, capacity: int, window: float = 0.005, rounds: int = 4) -> list[tuple[int, np.ndarray]]:
     """(times, items of each length) of the containers that rounded least squares fills; ``lengths`` ascend.
 
-    Combinations are generated by columns: those that cover most of the residue of the last solution come in, until none
-    covers any. Where items are small, combinations fill an equal part of the container, and so many of them one container.
+    Combinations are generated as columns: those that cover most of the residue of the last solution come in. Where items
+    are small, combinations fill an equal part of the container, and so many of them one container.
     """
     mean = float((lengths * counts).sum() / counts.sum())
     parts = max(1, round(capacity / (3 * mean)))
     part = capacity // parts
-    usable = lengths <= part
-    if not usable.any():
+    size = int(np.searchsorted(lengths, part, "right"))
+    if not size:
         return []
-    held = np.where(usable, counts, 0).astype(float)
+    held = counts[:size].astype(float)
+    combos = _Combinations(lengths[:size], part, part * (1 - window))
     columns: dict[tuple[int, ...], None] = {}
-    table, times = np.zeros((0, len(lengths))), np.zeros(0)
+    table, times = np.zeros((0, size)), np.zeros(0)
     for _ in range(rounds):
-        price = held - times @ table if len(times) else held.copy()
-        fresh = [c for worth, c in _fullest(lengths, part, np.where(usable, price, -1e18), part * (1 - window)) if worth > 0.5 and c not in columns]
+        fresh = [c for c in combos.dearest(held - times @ table) if c not in columns]
         if not fresh:
             break
         columns |= dict.fromkeys(fresh)
-        table = np.zeros((len(columns), len(lengths)))
-        for j, c in enumerate(columns):
-            np.add.at(table[j], list(c), 1)
-        times = nonnegative_counts(table, held)
+        more = np.zeros((len(fresh), size))
+        for j, c in enumerate(fresh):
+            for k in c:
+                more[j, k] += 1
+        table = np.concatenate((table, more))
+        times = nonnegative_counts(table, held, times)
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[int, np.ndarray]] = []
-    for j in np.argsort(-times, kind="stable"):
-        need = table[j].astype(np.int64)
+    need_of = np.zeros((len(table), len(lengths)), np.int64)
+    need_of[:, :size] = table
+    for j in np.argsort(-times, kind="stable")[: int((times >= 0.95).sum())]:
+        need = need_of[j]
         on = need > 0
-        n = min(int(times[j] + 1e-6), int((left[on] // need[on]).min()))
+        n = min(int(times[j] + 0.05), int((left[on] // need[on]).min()))
         if n > 0:
             left -= n * need
             chosen.append((n, need))
@@ -185,23 +200,38 @@ def items_of(planned: DataFrame, plans: DataFrame) -> DataFrame:
     return pieces.withColumn("tokens", F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity"))).select("session_id", "plan_id", "ord", "piece", "tokens", "capacity")
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The containers of one session's histogram, as runs of items of one length: ``per`` of them in each container from ``base``."""
-    pdf = pdf.sort_values("tokens")
-    lengths, counts = pdf["tokens"].to_numpy(), pdf["n"].to_numpy()
-    used, base, rows = np.zeros(len(lengths), np.int64), 0, []
-    for times, need in pack(lengths, counts, int(pdf["capacity"].iloc[0])):
-        for k in np.flatnonzero(need):
+def _plans(batches):
+    """The containers of each session's histogram, as runs of items of one length: ``per`` of them in each container from ``base``.
+
+    The histograms of a partition come in a row, each session's at once; the last of a batch may go on in the next one.
+    """
+    columns = ["session_id", "tokens", "first", "n", "base", "per"]
+    begun: pd.DataFrame | None = None
+    for pdf in batches:
+        pdf = pdf if begun is None else pd.concat([begun, pdf], ignore_index=True)
+        names = pdf["session_id"].to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(pdf) else np.zeros(0, int)
+        if not len(edges):
+            continue
+        yield pd.DataFrame([r for a, b in zip(edges, edges[1:]) for r in _runs(pdf, a, b)], columns=columns)
+        begun = pdf.iloc[edges[-1] :]
+    if begun is not None:
+        yield pd.DataFrame(list(_runs(begun.reset_index(drop=True), 0, len(begun))), columns=columns)
+
+
+def _runs(pdf: pd.DataFrame, low: int, high: int):
+    name, capacity = pdf["session_id"].iat[low], int(pdf["capacity"].iat[low])
+    lengths, counts = pdf["tokens"].to_numpy()[low:high], pdf["n"].to_numpy()[low:high]
+    used, base = np.zeros(len(lengths), np.int64), 0
+    for times, need in pack(lengths, counts, capacity):
+        for k in np.flatnonzero(need).tolist():
             per = int(need[k])
             step = max(1, DEALT // per)
-            for low in range(0, times, step):
-                n = min(step, times - low) * per
-                rows.append((int(lengths[k]), int(used[k]), n, base + low, per))
+            for begin in range(0, times, step):
+                n = min(step, times - begin) * per
+                yield name, int(lengths[k]), int(used[k]), n, base + begin, per
                 used[k] += n
         base += times
-    out = pd.DataFrame(rows, columns=["tokens", "first", "n", "base", "per"])
-    out.insert(0, "session_id", pdf["session_id"].iloc[0])
-    return out
 
 
 def fill_containers(planned: DataFrame, plans: DataFrame) -> DataFrame:
@@ -216,7 +246,8 @@ def fill_containers(planned: DataFrame, plans: DataFrame) -> DataFrame:
     # Solving is heavy for its few bytes, so the number of partitions is set here rather than by their size.
     spark = items.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    segments = buckets.repartition(parts, "session_id").groupBy("session_id").applyInPandas(_plan, _SEGMENTS)
+    sorted_by = buckets.select("session_id", "tokens", "n", "capacity").repartition(parts, "session_id").sortWithinPartitions("session_id", "tokens")
+    segments = sorted_by.mapInPandas(_plans, _SEGMENTS)
     places = segments.repartition(parts).select("session_id", "tokens", "first", "base", "per", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")).select(
         "session_id", "tokens", (F.col("first") + F.col("i")).alias("number"), (F.col("base") + F.floor(F.col("i") / F.col("per"))).cast("long").alias("container")
     )
