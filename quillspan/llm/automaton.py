@@ -117,36 +117,55 @@ class Automaton:
         self.table = np.array(rows, dtype=np.int32)
         self.hits = np.array(hits, dtype=np.int64)
 
-    def scan(self, data: bytes, size: int = 1024, overlap: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def scan(self, data: bytes, size: int = 1024, overlap: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """End positions (absolute, ascending, distinct) of match heads, and the mask of patterns ending there.
 
-        The text is cut into chunks of ``size`` that are read after the ``overlap`` bytes before
-        them, so a head of up to ``overlap`` bytes is found in whichever chunk it ends.
+        The text is cut into chunks of ``size`` that are read in lockstep, each after the ``overlap`` bytes before it. A
+        chunk that so began in another state than the one before it ended in is read again from that state, until all
+        agree; so a head of any length is found, wherever the cuts are.
         """
         raw = np.frombuffer(data, np.uint8)
         if not len(raw):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         count = -(-len(raw) // size)
-        padded = np.zeros(overlap + count * size, np.uint8)
+        padded = np.full(overlap + count * size, self.classes[10], np.uint8)
         padded[overlap : overlap + len(raw)] = self.classes[raw]
-        padded[:overlap] = padded[overlap + len(raw) :] = self.classes[10]
         chunks = np.lib.stride_tricks.sliding_window_view(padded, overlap + size)[::size]
-        ends, masks = [], []
         width = self.table.shape[1]
         flat = self.table.reshape(-1) * width
         loud = np.zeros(len(self.hits) * width, bool)
         loud[::width] = self.hits > 0
-        for low in range(0, count, 4096):
-            steps = np.ascontiguousarray(chunks[low : low + 4096].T)
-            state = np.zeros(steps.shape[1], np.int32)
-            for i in range(overlap + size):
+        begun, ended = np.zeros(count, np.int32), np.zeros(count, np.int32)
+        ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def read(which: np.ndarray, warm: int) -> None:
+            steps = np.ascontiguousarray(chunks[which][:, overlap - warm :].T)
+            state = np.zeros(len(which), np.int32) if warm else begun[which].copy()
+            places, masks = [], []
+            for i in range(warm + size):
+                if i == warm:
+                    begun[which] = state
                 state = flat.take(state + steps[i])
-                if i >= overlap and (found := loud.take(state)).any():
+                if i >= warm and (found := loud.take(state)).any():
                     where = np.flatnonzero(found)
-                    ends.append((low + where) * size + (i - overlap) + 1)
+                    places.append(which[where] * size + (i - warm) + 1)
                     masks.append(self.hits[state[where] // width])
-        if not ends:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, mask = np.concatenate(ends), np.concatenate(masks)
+            ended[which] = state
+            ends[len(ends)] = (np.concatenate(places), np.concatenate(masks)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        for low in range(0, count, 4096):
+            read(np.arange(low, min(count, low + 4096)), overlap)
+        again: list[tuple[int, np.ndarray]] = []
+        while len(wrong := 1 + np.flatnonzero(begun[1:] != ended[:-1])):
+            again.append((len(ends), wrong))
+            begun[wrong] = ended[wrong - 1]
+            read(wrong, 0)
+        for k, wrong in again:  # what an earlier reading of these chunks found does not count
+            redone = set(wrong.tolist())
+            for j in range(k):
+                at, mask = ends[j]
+                kept = ~np.isin((at - 1) // size, list(redone))
+                ends[j] = at[kept], mask[kept]
+        at, mask = np.concatenate([a for a, _ in ends.values()]), np.concatenate([m for _, m in ends.values()])
         order = np.argsort(at, kind="stable")
         return at[order], mask[order]

@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unit's texts with the credentials replaced, as digests and lengths, with the number replaced."""
+    """Every unit's texts with the credentials replaced, as digests and lengths."""
     units = spread(table(spark, sf_dir, "code_units").select("unit_id", *secrets.FIELDS))
     clean = secrets.redact_secrets(units)
     return clean.select(
@@ -50,7 +50,7 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    columns = ("repo", "file", "start_line", "doc_comment", "full_text", "compact_text")
+    columns = ("unit_id", "repo", "file", "start_line", "doc_comment", "full_text", "compact_text")
     return spread(table(spark, sf_dir, "code_units").select(*columns)), table(spark, sf_dir, "file_cache")
 
 

@@ -59,7 +59,12 @@ HEADS = {
 
 _TOKEN = re.compile("|".join(f"(?P<{n}>{p}{c}{{{k},}})" for n, p, c, k in TOKEN_FORMATS))
 _ARMOR = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s|\\n|\\r|[\"'+,#*/])*(?:[A-Z][A-Za-z0-9\-]*: [^\n\\\"']*(?=[\n\\\"'])(?:\s|\\n|\\r|[\"'+,#*/])+)*(?P<body>[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/=\s]|\\n|\\r|[\"'+,#*])*)(?:-----END [A-Z ]*PRIVATE KEY-----)?")
-_URL = re.compile(r"://(?P<user>[^\s/@:\"'`<>\\]*):(?P<value>[^\s/@\"'`\\]+)@")
+# The last @ before the host ends the password, which may hold others.
+_URL = re.compile(r"://(?P<user>[^\s/@:\"'`<>\\]*):(?P<value>[^\s/@\"'`\\]+(?:@[^\s/@,;\"'`\\]+)*)@(?=[\w.\-\[\]]+(?::\d+)?(?:[/?\s\"'`,;)\\]|$))")
+_URL_TO_FIRST = re.compile(r"://(?P<user>[^\s/@:\"'`<>\\]*):(?P<value>[^\s/@\"'`\\]+)@")
+# A line of an environment file, and a pair among others in a connection string.
+_SETTING = re.compile(r"[ \t]*(?:export[ \t]+|set[ \t]+|- )?[A-Z][A-Z0-9_.]*[=:][ \t]?$")
+_KEYED = re.compile(r"(?i)(?:^|;)[ \t]*[a-z][a-z _\-]*=[ ]?$")
 _GIVEN = re.compile(r"""(?:[ \t]*[A-Za-z_&'<>\[\]*? ]{0,30}=|[=>])?[ \t]*(?:concat!\(|String::from\(|b|u|r|R")?(?=\\?["'`])""")
 _NAMED = re.compile(r"""[ \t]*(?:concat!\(|String::from\(|b|u|r|R")?(?P<quote>\\?["'`])(?P<value>.*?)(?P=quote)""")
 _BARE = re.compile(r"[^\s\"'`,;)\]}<>]+")
@@ -130,7 +135,7 @@ def _read(text: str, at: int, kind: str) -> tuple[int, int, str] | None:
             return (start, j[2], m.lastgroup) if _distinct(m[0]) else None
         return None
     if kind == "url":
-        m = _URL.match(text, at - 3)
+        m = _URL.match(text, at - 3) or _URL_TO_FIRST.match(text, at - 3)
         if not m:
             return None
         value = m["value"]
@@ -141,7 +146,7 @@ def _read(text: str, at: int, kind: str) -> tuple[int, int, str] | None:
             second = re.compile(r'[^"\n]*",\s*"').match(text, at)
             at = second.end() if second else at
         else:
-            name = re.search(r"([A-Za-z0-9_\-]+)(\\?[\"']?)\]?[ \t]*([:=,(])$", text[max(0, at - 120) : at])
+            name = _NAMED_HEAD.search(text[_back(text, at) : at])
             given = _GIVEN.match(text, at)
             if not name or not given or _ABOUT.search(name[1]) or (name[3] in ",(" and not name[2]):
                 return None
@@ -161,12 +166,32 @@ def _read(text: str, at: int, kind: str) -> tuple[int, int, str] | None:
         except ValueError:
             return None
     if kind == "bare":
-        flag = re.search(r"(?:--?|[?&])[A-Za-z\-_]+[ =]$", text[max(0, at - 40) : at - 1])
-        if not flag and not (_comment(text, at) and re.search(r"[0-9]", value)):
+        before = text[_back(text, at - 1) : at - 1]
+        line = text[text.rfind("\n", 0, at) + 1 : at - 1]
+        if re.search(r"(?:^|[^A-Za-z0-9_])(?:--?|[?&])[A-Za-z\-_]+[ =]$", before):
+            pass
+        elif _SETTING.fullmatch(line) and text[at - 1 + len(m[0]) : at + len(m[0])] in ("", "\n", "\r", " "):
+            pass
+        elif ";" in line and "=" in line[: line.rfind(";")] and _KEYED.search(line[max(line.rfind('"'), line.rfind("'")) + 1 :]):
+            value = re.split(r"[\"';]", value)[0]
+        elif not (_comment(text, at) and re.search(r"[0-9]", value)):
             return None
     return (at - 1, at - 1 + len(value), "credential") if usable(value) else None
 
 
+_NAMED_HEAD = re.compile(r"([A-Za-z0-9_\-]+)(\\?[\"']?)\]?[ \t]*([:=,(])$")
+
+
+def _back(text: str, at: int) -> int:
+    """Where the name before ``at`` begins: back over marks and blanks, then over the name, then two more for what leads it in."""
+    k = at
+    while k and text[k - 1] in " \t:=,(]\"'\\":
+        k -= 1
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_-"):
+        k -= 1
+    return max(0, k - 2)
+
+
 def _comment(text: str, at: int) -> bool:
     """Whether the line of ``at`` is prose: it opens like a comment, or no operator of code stands before the place."""
     head = text[text.rfind("\n", 0, at) + 1 : at]
@@ -186,17 +211,20 @@ def spans(texts: list[str], auto: Automaton) -> Iterator[tuple[int, int, int, st
     ends, masks = auto.scan(b"\n" + b"\n".join(raws))
     rows = np.searchsorted(starts, ends, "right") - 1
     plain = [len(r) == len(t) for r, t in zip(raws, texts)]
+    chars: np.ndarray | None = None
     found: list[tuple[int, int, str]] = []
     last = -1
     for row, end, mask in zip(rows.tolist(), ends.tolist(), masks.tolist()):
         if row != last:
             yield from _settled(last, found)
             found, last = [], row
+            # Characters up to each byte, once per text.
+            chars = None if plain[row] else np.concatenate(([0], np.cumsum((np.frombuffer(raws[row], np.uint8) & 0xC0) != 0x80)))
         at = end - int(starts[row])
         if at > len(raws[row]):
             continue
-        if not plain[row]:
-            at = len(raws[row][:at].decode("utf-8", "replace"))
+        if chars is not None:
+            at = int(chars[at])
         for k, kind in enumerate(auto.names):
             if mask >> k & 1 and (hit := _read(texts[row], at, kind)):
                 found.append(hit)
@@ -225,7 +253,12 @@ def find_secrets(df: DataFrame, key: str = "unit_id", fields: tuple[str, ...] =
             for field in fields:
                 have = pdf[pdf[field].notna()]
                 texts, keys = have[field].tolist(), have[key].tolist()
-                out = [(keys[r], field, texts[r].count("\n", 0, s) + 1, s, e, label) for r, s, e, label in spans(texts, auto)]
+                out, row, line, at = [], -1, 1, 0
+                for r, s, e, label in spans(texts, auto):
+                    if r != row:
+                        row, line, at = r, 1, 0
+                    line, at = line + texts[r].count("\n", at, s), s
+                    out.append((keys[r], field, line, s, e, label))
                 if out:
                     yield pd.DataFrame(out, columns=[key, "field", "line_no", "start", "stop", "label"])
 

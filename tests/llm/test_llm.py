@@ -27,6 +27,24 @@ PLAIN_LINES = [
 ]
 
 
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ("DEBUG=1\nDATABASE_PASSWORD=Zx81kQpL22\nPORT=80", "Zx81kQpL22"), ("export API_KEY=Zx81kQpL22aa", "Zx81kQpL22aa"), ("Server=db;User Id=sa;Password=Zx81kQpL22;", "Zx81kQpL22"), ('c = "Server=db;Uid=sa;Pwd=Zx81kQpL22;Timeout=3"', "Zx81kQpL22"),
+        ("x = 'amqp://u:p4ss@wd1@h.example/v'", "p4ss@wd1"), ("see https://u:p4sswd1@h.example, or mail a@b.example", "p4sswd1"), ("PASSWORD=${VAULT_PASSWORD1}", None), ("TOKEN_COUNT=12345678", None), ("width=12;height=token9", None),
+    ],
+)
+def test_settings_and_connection_strings(text, value):
+    assert [text[s:e] for _, s, e, _ in secrets.spans([text], secrets.automaton())] == ([value] if value else [])
+
+
+def test_heads_of_any_length_at_any_place():
+    for before in (0, 600, 700, 760, 900, 1020):
+        text = "x" * before + "\npassword" + "_a" * 400 + ' = "Zx81kQpL22"'
+        for texts in ([text], ["é", "y" * 333, text]):
+            assert [t[s:e] for r, s, e, _ in secrets.spans(texts, secrets.automaton()) for t in [texts[r]]] == ["Zx81kQpL22"]
+
+
 def test_automaton_equals_re():
     import re
 
@@ -133,10 +151,12 @@ def test_machine_files(spark):
     data = "TABLE = [\n" + "".join(f"    {i * 7919 % 65536}, {i * 31 % 65536}, {i * 17 % 65536},\n" for i in range(60)) + "]"
     units = [("r", f"src/a{i}.py", 1, None, hand * (i + 1), hand) for i in range(12)] + [("r", "src/m.js", 1, None, mini, mini), ("r", "src/t.py", 1, None, data, data), ("r", "src/g.py", 1, "# Code generated by x 1. DO NOT EDIT.", hand * 5, hand)]
     units += [("r", f"src/h{i}.js", 1, None, "function widenMargin(budget) {\n  const total = budget + margin;\n  return total;\n}\n" * (6 + i), hand) for i in range(12)]
-    units += [("r", "vendor/lib-12a/x.py", 1, None, hand * 30, hand), ("s", "app/x.py", 1, None, hand * 30, hand), ("s", "src/codegen/n.py", 1, "Not to be mixed up with the generated one.", hand * 7, hand), ("s", "app/vendor_portal/n.py", 1, None, hand * 8, hand), ("s", "e.py", 1, None, None, None)]
-    df = spark.createDataFrame(units, "repo string, file string, start_line int, doc_comment string, full_text string, compact_text string")
+    units += [("r", "src/a1.py", 1, None, hand * 2, hand), ("r", "vendor/lib-12a/x.py", 1, None, hand * 30, hand), ("s", "app/x.py", 1, None, hand * 30, hand), ("s", "src/codegen/n.py", 1, "Not to be mixed up with the generated one.", hand * 7, hand), ("s", "app/vendor_portal/n.py", 1, None, hand * 8, hand), ("s", "e.py", 1, None, None, None)]
+    df = spark.createDataFrame([(k if u != units[1] else 1, *u) for k, u in enumerate(units)], "unit_id long, repo string, file string, start_line int, doc_comment string, full_text string, compact_text string")
     cache = spark.createDataFrame([("r", ".\\dist\\a.min.js".replace(".\\", "./", 1), 9), ("r", None, 1), ("r", "./src/a1.py", 5)], "repo string, relative_path string, file_size long")
-    got = {(r["repo"], r["path"]): r["reason"] for r in generated.judge_files(df, cache).collect() if r["reason"]}
+    judged = generated.judge_files(df, cache).collect()
+    assert [r["chars"] for r in judged if r["path"] == "src/a1.py"] == [2 * len(hand)]
+    got = {(r["repo"], r["path"]): r["reason"] for r in judged if r["reason"]}
     assert got == {("r", "src/m.js"): "minified", ("r", "src/t.py"): "data", ("r", "src/g.py"): "generated", ("r", "vendor/lib-12a/x.py"): "vendored", ("s", "app/x.py"): "vendored", ("r", "dist/a.min.js"): "minified"}
 
 
@@ -146,7 +166,7 @@ def test_machine_files_of_short_lines_and_late_notices(spark):
     late = hand * 4 + "// Code generated by stubmaker 2. DO NOT EDIT.\n" + hand
     units = [("r", f"src/h{i}.js", 1, None, hand * (6 + i), hand) for i in range(12)] + [("r", "src/m.js", 1, None, mini, mini), ("r", "src/l.js", 1, None, late, hand), ("r", "src/u.js", 1, None, hand, hand), ("r", "src/u.js", 9, None, late, hand)]
     units += [("r", "src/q.js", 1, None, hand * 4 + 'const mark = "Code generated by stubmaker";\n// generated by the caller, do not lose\n// shared with the planner, do not modify\n' + hand, hand), ("r", "src/z.js", 1, None, "z = k9 + q;", "z")]
-    df = spark.createDataFrame(units, "repo string, file string, start_line int, doc_comment string, full_text string, compact_text string")
+    df = spark.createDataFrame([(k if u != units[1] else 1, *u) for k, u in enumerate(units)], "unit_id long, repo string, file string, start_line int, doc_comment string, full_text string, compact_text string")
     cache = spark.createDataFrame([], "repo string, relative_path string, file_size long")
     got = {r["path"]: r["reason"] for r in generated.judge_files(df, cache).collect() if r["reason"]}
     assert got == {"src/m.js": "minified", "src/l.js": "generated", "src/u.js": "generated"}
