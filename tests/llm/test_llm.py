@@ -121,8 +121,9 @@ def brute_pairs(units, least):
     return found
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_shared_pairs(spark, hot):
+@pytest.mark.parametrize("hot,block", [(64, 1024), (2, 1024), (2, 3)])
+def test_shared_pairs(spark, hot, block, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", block)
     r = random.Random(3)
     noise = lambda n: "".join(r.choice("abcdé 𝛼") for _ in range(n))
     base, head, data = noise(900), noise(150), []
