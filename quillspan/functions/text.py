@@ -32,11 +32,16 @@ def stem(word: Column) -> Column:
     return out.when(word.endswith("s") & ~word.endswith("ss") & (size >= 4), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
-def term_set(text: Column) -> Column:
-    """Distinct words of two bytes or more, each with its stem, in no order. The text is split once, a repeated word stemmed once."""
+def term_set(text: Column, keep: str | None = None) -> Column:
+    """Distinct words of two bytes or more, each with its stem, in no order. The text is split once, a repeated word stemmed once.
+
+    ``keep`` is a pattern of the words (in lower case) to go on with; others are dropped before they are stemmed.
+    """
     border = r"[^\p{L}\p{N}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
     words = F.array_distinct(F.split(text, border))
     words = F.array_distinct(F.transform(F.filter(words, lambda w: F.octet_length(w) >= 2), F.lower))
+    if keep is not None:
+        words = F.filter(words, lambda w: F.rlike(w, F.lit(keep)))
     return F.array_distinct(F.filter(F.flatten(F.transform(words, lambda w: F.array(w, stem(w)))), lambda w: F.octet_length(w) >= 2))
 
 

@@ -2,35 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.sources.tables import cut
 
 
+BLOCK = 1024
+
+
+def _definitions(units: DataFrame) -> DataFrame:
+    stem = F.lower(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    return units.where("name is not null and name <> '' and name <> '<anonymous>'").select("repo", "name", F.col("unit_id").alias("callee_id"), F.col("file").alias("callee_file"), stem.alias("stem"))
+
+
+def _all_namesakes(asks: DataFrame, defs: DataFrame) -> DataFrame:
+    """``asks`` (repo, name, ...) with each other unit of the name in the repository, which is the result asked for.
+
+    The definitions of one name are dealt into blocks of bounded size and each ask goes to every block, so that a name that
+    very many units bear is no single task.
+    """
+    sizes = defs.groupBy("repo", "name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = defs.join(sizes, ["repo", "name"]).select("repo", "name", "callee_id", F.pmod(F.xxhash64("callee_id"), F.col("blocks")).cast("int").alias("block"))
+    asked = asks.join(sizes, ["repo", "name"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return asked.join(held, ["repo", "name", "block"]).where("unit_id <> callee_id").select("unit_id", "callee_id", "name", "line")
+
+
 def call_edges(units: DataFrame) -> DataFrame:
     """Distinct edges caller_id, callee_id, callee_name, line from the calls of units.
 
-    Per call, within the caller's repository: a unit of that name in a file whose stem is the call's
-    qualifier (any case), the first by id, and no edge if that is the caller itself; else the first
-    other one of the same file; else all other units of the name. Anonymous names never match. Names
-    are joined by hash; of the first two ranks only the least id per call is kept, by partial sums.
+    Per call, within the caller's repository: a unit of that name in a file whose stem is the call's qualifier (any case),
+    the first by id, and no edge if that is the caller itself; else the first other one of the same file; else all other
+    units of the name. Anonymous names never match. The first two are looked up among definitions with one row per key.
     """
     calls = units.select("unit_id", "repo", "file", F.explode("calls").alias("call")).select(
-        "repo", "unit_id", "file", F.col("call.callee").alias("name"), F.col("call.qualifier").alias("qualifier"), F.col("call.line").alias("line")
-    )
-    defs = units.where("name is not null and name <> '' and name <> '<anonymous>'").select("repo", "name", F.col("unit_id").alias("callee_id"), F.col("file").alias("callee_file"))
-    stem = F.lower(F.regexp_extract("callee_file", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    met = calls.join(defs, ["repo", "name"])
-    rank = F.when(stem == F.lower("qualifier"), 1).when((F.col("callee_file") == F.col("file")) & (F.col("callee_id") != F.col("unit_id")), 2).when(F.col("callee_id") != F.col("unit_id"), 3)
-    ranked = met.withColumn("rank", rank).where("rank is not null")
-    keys = ["repo", "unit_id", "name", "qualifier", "line"]
-    first = ranked.groupBy(*keys).agg(F.min("rank").alias("best"), F.min_by("callee_id", F.struct("rank", "callee_id")).alias("first_id"))
-    single = first.where("best < 3").select("unit_id", F.col("first_id").alias("callee_id"), "name", "line")
-    wide = first.where("best = 3").select(*keys)
-    same = [wide[k].eqNullSafe(ranked[k]) for k in keys]
-    every = ranked.where("rank = 3").join(wide, [*same], "left_semi").select("unit_id", "callee_id", "name", "line")
-    return single.union(every).where("unit_id <> callee_id").select(F.col("unit_id").alias("caller_id"), "callee_id", F.col("name").alias("callee_name"), "line").distinct()
+        "repo", "unit_id", "file", F.col("call.callee").alias("name"), F.lower("call.qualifier").alias("stem"), F.col("call.line").alias("line")
+    ).distinct()
+    defs = _definitions(units)
+    by_stem = defs.groupBy("repo", "name", "stem").agg(F.min("callee_id").alias("stem_id"))
+    # Of a file's units of one name the two least are enough: one of them is not the caller.
+    by_file = defs.groupBy("repo", "name", F.col("callee_file").alias("file")).agg(F.min("callee_id").alias("low"), F.max("callee_id").alias("top"))
+    second = defs.join(by_file.where("low < top").select("repo", "name", F.col("file").alias("callee_file"), "low"), ["repo", "name", "callee_file"]).where("callee_id > low").groupBy("repo", "name", F.col("callee_file").alias("file")).agg(F.min("callee_id").alias("next"))
+    met = calls.join(by_stem, ["repo", "name", "stem"], "left").join(by_file.drop("top"), ["repo", "name", "file"], "left").join(second, ["repo", "name", "file"], "left")
+    same = F.when(F.col("low") != F.col("unit_id"), F.col("low")).otherwise(F.col("next"))
+    told = met.withColumns({"single": F.coalesce("stem_id", same)})
+    single = told.where("single is not null and single <> unit_id").select("unit_id", F.col("single").alias("callee_id"), "name", "line")
+    wide = _all_namesakes(told.where("single is null").select("repo", "name", "unit_id", "line"), defs)
+    return single.union(wide).select(F.col("unit_id").alias("caller_id"), "callee_id", F.col("name").alias("callee_name"), "line").distinct()
+
+
+def reference_edges(units: DataFrame) -> DataFrame:
+    """Edges of units without calls, from the names they refer to: all other units of each name, at the caller's first line.
+
+    Nulls in refs, lines or repositories make no edge but for a null line, which stays null.
+    """
+    quiet = units.where("calls is null or size(calls) = 0").select("repo", "unit_id", F.explode("refs").alias("name"), F.col("start_line").alias("line")).distinct()
+    found = _all_namesakes(quiet, _definitions(units))
+    return found.select(F.col("unit_id").alias("caller_id"), "callee_id", F.col("name").alias("callee_name"), "line").distinct()
+
+
+def all_edges(units: DataFrame) -> DataFrame:
+    """The edges of calls, and those of references where a unit has no calls; a unit has edges of one kind only."""
+    return call_edges(units).union(reference_edges(units))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """Per unit with any: its callees and its callers, distinct and sorted, as lists; their number bounds each list."""
+    links = distinct_links(edges)
+    out = links.groupBy(F.col("caller_id").alias("unit_id")).agg(F.array_sort(F.collect_set("callee_id")).alias("callees"))
+    into = links.groupBy(F.col("callee_id").alias("unit_id")).agg(F.array_sort(F.collect_set("caller_id")).alias("callers"))
+    none = F.array().cast("array<bigint>")
+    return out.join(into, "unit_id", "full").select("unit_id", F.coalesce("callees", none).alias("callees"), F.coalesce("callers", none).alias("callers"))
 
 
 def distinct_links(edges: DataFrame) -> DataFrame:
@@ -77,9 +119,6 @@ def dependencies(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return pulled.join(ids, "unit_id", "left_anti")
 
 
-__all__ = ["call_edges", "distinct_links", "degrees", "pagerank", "dependencies", "Window"]
-
-
 def edge_reasons(edges: DataFrame, full: DataFrame) -> DataFrame:
     """For each callee of the full units its first caller: callee_id, caller_id, caller_file, caller_line, callers.
 

@@ -60,6 +60,12 @@ def _related(query: dict[str, float]) -> str:
     return f"^(?:{'|'.join(forms)})$" if forms else "^$"
 
 
+def _may_relate(query: dict[str, float]) -> str:
+    """A pattern of the words whose stem may match a term: a stem begins like its word (but for -ies), and of two that match one begins the other."""
+    starts = sorted({re.escape(t[:2].lower()) for t in query})
+    return f"^(?:{'|'.join(starts)})|ies$" if starts else "^$"
+
+
 def _best(terms: Column, term: Column) -> Column:
     """1 for the term itself, 0.85 where one is a prefix of the other and both have four bytes or more, else 0."""
     close = F.exists(terms, lambda t: (F.octet_length(t) >= 4) & (F.startswith(t, term) | F.startswith(term, t)))
@@ -70,12 +76,14 @@ def lexical_scores(units: DataFrame, query: dict[str, float]) -> DataFrame:
     """``units`` with score parts: name 4, doc 3.5 and signature 1.5 times weight; body 0.8 where these three miss.
 
     ``query`` maps terms to weights. The total is the sum over 1 + signature terms / 50. Null texts
-    have no terms. Of each text's words one pattern first keeps those that can match, so that the terms
-    are compared with a handful of words; the four texts go through one expression, which keeps the plan small.
+    have no terms. Of each text's words one pattern first keeps those whose stem may match, so that a handful is
+    stemmed and compared; only the signature, whose length counts, is stemmed whole.
     """
     terms, related = sorted(query), F.lit(_related(query))
-    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("name", "doc_comment", "signature", "full_text")])
-    words = units.withColumn("_sets", F.transform(texts, term_set)).withColumn("_n_sig", F.size(F.col("_sets")[2]))
+    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("name", "doc_comment", "full_text")])
+    near = _may_relate(query)
+    words = units.withColumns({"_few": F.transform(texts, lambda t: term_set(t, near)), "_sig": term_set(F.coalesce(F.col("signature"), F.lit("")))})
+    words = words.withColumns({"_sets": F.array(F.col("_few")[0], F.col("_few")[1], F.col("_sig"), F.col("_few")[2]), "_n_sig": F.size("_sig")})
     hits = words.withColumn("_hits", F.transform("_sets", lambda s: F.filter(s, lambda w: F.rlike(w, related))))
     asked = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     told = hits.withColumn("_best", F.transform("_hits", lambda s: F.transform(asked, lambda t: _best(s, t))))
@@ -93,7 +101,7 @@ def lexical_scores(units: DataFrame, query: dict[str, float]) -> DataFrame:
         matched.append(F.when(head + b > 0, F.lit(term)))
     scored = told.withColumns({**parts, "matched_terms": F.array_compact(F.array(*matched).cast("array<string>")), "_length": 1 + F.col("_n_sig") / 50})
     total = (F.col("name_score") + F.col("doc_score") + F.col("sig_score") + F.col("body_score")) / F.col("_length")
-    return scored.withColumn("score", F.round(total, 6)).drop("_sets", "_n_sig", "_hits", "_best", "_length")
+    return scored.withColumn("score", F.round(total, 6)).drop("_few", "_sig", "_sets", "_n_sig", "_hits", "_best", "_length")
 
 
 def centrality_boost(scores: DataFrame, centrality: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -114,3 +122,10 @@ def session_boost(accesses: Column) -> Column:
 def age_decay(position: Column) -> Column:
     """max(0.1, 1 / (1 + 0.15 position)), the newest at position 0."""
     return F.greatest(F.lit(0.1), 1 / (1 + 0.15 * position))
+
+
+def add_boost(scores: DataFrame, boosts: DataFrame, key: str, weight: float = 1.0) -> DataFrame:
+    """``scores`` with weight times each boost of ``boosts`` (key, boost) added; keys without one, and null keys, keep their score."""
+    once = boosts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("boost").alias("_boost"))
+    joined = scores.join(once, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn("score", F.round(F.col("score") + weight * F.coalesce("_boost", F.lit(0.0)), 6)).drop("_key", "_boost")

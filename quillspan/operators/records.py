@@ -94,3 +94,52 @@ def scan_filter(cache: DataFrame) -> DataFrame:
     known = language_of(F.col("path")).isNotNull()
     outcome = F.when(F.col("path").rlike(IGNORED_PATH), "ignored").when(known, "kept").otherwise("unread")
     return once.groupBy("repo", outcome.alias("outcome")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def file_recency(cache: DataFrame, commits: int = 30) -> DataFrame:
+    """``repo, path, recency`` of the files touched by the last ``commits`` changes of a repository, a limit by intent.
+
+    A change is all that a repository's files have of one modification time; the newest counts 1, older ones decay with
+    their place. A file touched more than once keeps its greatest value. Null paths and times are dropped.
+    """
+    touched = cache.select("repo", normal_path(F.col("relative_path")).alias("path"), "mtime_secs").where("path is not null and mtime_secs is not null and repo is not null").distinct()
+    times = touched.select("repo", "mtime_secs").distinct()
+    last = times.withColumn("position", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("mtime_secs"))) - 1).where(F.col("position") < commits)
+    return touched.join(last, ["repo", "mtime_secs"]).groupBy("repo", "path").agg(F.max(age_decay(F.col("position"))).alias("recency"))
+
+
+def recency_of_units(units: DataFrame, recency: DataFrame) -> DataFrame:
+    """``unit_id, boost``: min(1.5 recency, 3) of a unit's file, by its path or, where that has none, by a path that ends it.
+
+    For the latter each path asks with its own ends, so both lookups are equal joins; the greatest recency counts.
+    """
+    paths = units.select("unit_id", "repo", normal_path(F.col("file")).alias("path")).where("path is not null")
+    parts = F.split("path", "/")
+    ends = paths.select("unit_id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("end"), "path")
+    met = ends.join(recency.withColumnRenamed("path", "end"), ["repo", "end"])
+    best = met.groupBy("unit_id").agg(F.max(F.when(F.col("end") == F.col("path"), F.col("recency"))).alias("exact"), F.max("recency").alias("ended"))
+    return best.select("unit_id", F.round(F.least(F.lit(3.0), 1.5 * F.coalesce("exact", "ended")), 6).alias("boost"))
+
+
+def cache_checksum(cache: DataFrame) -> DataFrame:
+    """``repo, entries, checksum``: a digest of a repository's manifest that does not depend on the order of its rows.
+
+    Each entry's digest goes into the bucket of its first two hexadecimal digits; the digests of a bucket, in order, make its
+    digest, and these the repository's. Nulls stand as empty fields, entries given twice count once.
+    """
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    entry = F.sha2(F.concat_ws("|", normal_path(F.col("relative_path")), field("mtime_secs"), field("mtime_nanos"), field("file_size"), field("content_hash")), 256)
+    entries = cache.where("repo is not null and relative_path is not null").select("repo", entry.alias("digest")).distinct()
+    join = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    buckets = entries.groupBy("repo", F.substring("digest", 1, 2).alias("bucket")).agg(F.count("*").alias("n"), join("digest").alias("part"))
+    return buckets.groupBy("repo").agg(F.sum("n").alias("entries"), join(F.concat("bucket", "part")).alias("checksum"))
+
+
+def weak_intent(docs: DataFrame) -> DataFrame:
+    """``repo, intent``: what a repository says of itself where no question is asked.
+
+    The first line of its first readme (by doc_id) without heading marks, at most 120 bytes, else the repository's name.
+    """
+    line = F.trim(F.regexp_replace(F.substring_index(F.ltrim(F.regexp_replace("text", r"^\s+", "")), "\n", 1), "^#+ *", ""))
+    told = F.when((F.col("doc_kind") == "readme") & (F.octet_length(line) > 0) & (F.octet_length(line) <= 120), F.struct("doc_id", line.alias("line")))
+    return docs.where("repo is not null").groupBy("repo").agg(F.min(told).alias("first")).select("repo", F.coalesce("first.line", "repo").alias("intent"))

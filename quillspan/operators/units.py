@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import estimate_tokens, first_line
+from quillspan.functions.text import estimate_tokens
 from quillspan.sources.tables import latest
 
 
@@ -27,22 +27,19 @@ def chunk_texts(docs: DataFrame, lines: int = 50) -> DataFrame:
     return part.select("doc_id", "chunk", F.trim(F.element_at("part", 1)).alias("signature"), F.size("part").alias("n_lines"), estimate_tokens(text).alias("tok_full"))
 
 
-def grep(units: DataFrame, pattern: str) -> DataFrame:
-    """Units with ``pattern``, in any case, in name, signature, kind, file, doc comment or a reference."""
+def mentions(pattern: str) -> Column:
+    """Whether name, signature, kind, file, doc comment or a reference of a unit has ``pattern``, in any case; nulls have none."""
     low = pattern.lower()
     told = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(low)) for c in ("name", "signature", "kind", "file", "doc_comment")]
-    hit = told[0] | told[1] | told[2] | told[3] | told[4] | F.exists(F.coalesce("refs", F.array().cast("array<string>")), lambda r: F.contains(F.lower(r), F.lit(low)))
-    return units.where(hit)
+    return told[0] | told[1] | told[2] | told[3] | told[4] | F.exists(F.coalesce("refs", F.array().cast("array<string>")), lambda r: F.coalesce(F.contains(F.lower(r), F.lit(low)), F.lit(False)))
 
 
-def named(units: DataFrame, name: str) -> DataFrame:
-    """All units of exactly this name."""
-    return units.where(F.col("name") == name)
+def grep(units: DataFrame, pattern: str) -> DataFrame:
+    """Units that mention ``pattern``."""
+    return units.where(mentions(pattern))
 
 
 def snippet(text, lines: int = 5):
     """The first lines of a text."""
     return F.substring_index(text, "\n", lines)
 
-
-__all__ = ["current_units", "chunk_texts", "grep", "named", "snippet", "first_line"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators import graph, packing, ranking, units as code
@@ -25,7 +25,7 @@ def scored_units(raw: DataFrame, question: dict[str, float] = QUESTION) -> DataF
 
 
 def _narrow(raw: DataFrame, question: dict[str, float]) -> DataFrame:
-    columns = ("unit_id", "file", "start_line", "score", "tok_full", "tok_compact", "tok_skeleton")
+    columns = ("unit_id", "file", "name", "start_line", "score", "tok_full", "tok_compact", "tok_skeleton")
     return scored_units(raw, question).where("repo is not null").select(F.col("repo").alias("grp"), *columns)
 
 
@@ -46,6 +46,19 @@ def with_dependencies(raw: DataFrame, edges: DataFrame, budget: int = 4000, ques
 def payloads(raw: DataFrame, budget: int = 4000) -> DataFrame:
     """The rendered payload of each file that the packing keeps."""
     narrow = cut(_narrow(raw, QUESTION))
-    plan = packing.pack(narrow, budget).where("inclusion is not null").select("grp", "unit_id", "inclusion").join(narrow.select("unit_id", "score"), "unit_id")
-    texts = code.current_units(raw, ["file", "start_line", "end_line", "full_text", "compact_text", "skeleton_text"])
+    plan = cut(packing.pack(narrow, budget).where("inclusion is not null").select("grp", "unit_id", "inclusion").join(narrow.select("unit_id", "score"), "unit_id"))
+    # Only the texts of what the plan holds are shuffled.
+    held = raw.join(plan.select("unit_id"), "unit_id", "left_semi")
+    texts = code.current_units(held, ["file", "start_line", "end_line", "full_text", "compact_text", "skeleton_text"])
     return packing.render(plan.join(texts, "unit_id"))
+
+
+def explained(raw: DataFrame, edges: DataFrame, budget: int = 4000) -> DataFrame:
+    """For every unit of a repository its score parts, centrality, matched terms, tier, tokens and reason, and its place by score."""
+    scored = cut(scored_units(raw))
+    plan = packed(raw, budget).select("grp", "unit_id", "inclusion", "tokens", "skeleton_reason")
+    central = graph.pagerank(raw.select("unit_id").where("unit_id is not null"), edges)
+    order = Window.partitionBy("grp").orderBy(F.desc("lexical"), "file", F.coalesce("start_line", F.lit(0)), "name", "unit_id")
+    joined = plan.join(scored.withColumnRenamed("score", "lexical").withColumn("matched", F.array_join("matched_terms", ",")), "unit_id").join(central, "unit_id", "left")
+    parts = [F.round(c, 6).alias(c) for c in PARTS[:4]]
+    return joined.select("grp", "unit_id", "lexical", *parts, F.coalesce("centrality", F.lit(0.0)).alias("centrality"), "matched", F.coalesce("inclusion", F.lit("left_out")).alias("tier"), "tokens", "skeleton_reason", F.row_number().over(order).alias("place"))

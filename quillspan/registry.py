@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as fn
@@ -13,7 +14,7 @@ from quillspan.operators import extract, graph, ranking, records, redaction
 from quillspan.operators import units as code
 from quillspan.plans import context
 from quillspan.sources import files
-from quillspan.sources.tables import table
+from quillspan.sources.tables import checkpoint_dir, normal_path, table
 from quillspan.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,28 +82,32 @@ def _matched_sql() -> str:
     return "list_filter([" + ", ".join(f"case when {' or '.join(hit(c, t) for c in 'ndsb')} then '{t}' end" for t in sorted(context.QUESTION)) + "], lambda t: t is not null)"
 
 
-def _pack_sql(ranked: bool = True) -> str:
-    b, share = BUDGET, BUDGET * 60 // 100
+def _pack_ctes(source: str, budget: int = BUDGET, tag: str = "") -> str:
+    """The packing of ``source`` (the units with a score) into ``pk``; ``tag`` tells one packing's parts from another's."""
+    b, share = budget, budget * 60 // 100
     fits, u = f"p.used + o.s > {b}", "p.used"
     greedy = f"(o.n > 1 and o.f > {share} and {u} + o.f + (o.n - 1) * 15 > {b})"
     cases = [(fits, u, "'X'"), ("not o.cand", f"{u} + o.s", "'L'"), ("o.f <= o.s", f"{u} + o.s", "'G'"), (f"not {greedy} and {u} + o.f <= {b}", f"{u} + o.f", "'F'"), (f"o.c > o.s and {u} + o.c <= {b}", f"{u} + o.c", "'C'")]
     used = "case " + " ".join(f"when {c} then {x}" for c, x, _ in cases) + f" else {u} + o.s end"
     tier = "case " + " ".join(f"when {c} then {x}" for c, _, x in cases) + " else 'S' end"
-    scores = _score_sql() if ranked else "sc as (select *, 0e0 as score from cu)"
-    return f"""recursive {CURRENT}, {scores},
-    un as (select repo grp, unit_id, file, coalesce(start_line, 0) sl, score, greatest(0, coalesce(tok_full, 0)) f, greatest(0, coalesce(tok_compact, 0)) c, greatest(0, coalesce(tok_skeleton, 0)) s from sc where repo is not null),
-    gp as (select grp, max(score) > 0 pos from un group by grp),
-    o1 as (select un.*, (not pos or score > 0) cand, case when pos then 0 else row_number() over (partition by grp, file order by unit_id) end turn, case when pos then -score else 0e0 end rnk from un join gp using (grp)),
-    o as (select *, row_number() over (partition by grp order by cand desc, turn, rnk, file nulls first, sl, unit_id) rn, count(*) filter (where cand) over (partition by grp) n from o1),
-    p(grp, rn, used, tier) as (select distinct grp, 0::bigint, 0::bigint, '' from o union all select o.grp, o.rn, {used}, {tier} from p join o on o.grp = p.grp and o.rn = p.rn + 1),
-    sk as (select o.grp, o.rn, o.c, o.s, row_number() over (partition by o.grp order by o.rn) k from p join o on o.grp = p.grp and o.rn = p.rn where tier = 'L' and o.c > o.s),
-    q(grp, k, used, up) as (select grp, 0::bigint, max(used), false from p group by grp union all select sk.grp, sk.k, case when q.used + sk.c - sk.s <= {b} then q.used + sk.c - sk.s else q.used end, q.used + sk.c - sk.s <= {b} from q join sk on sk.grp = q.grp and sk.k = q.k + 1),
-    up as (select sk.grp, sk.rn from q join sk on sk.grp = q.grp and sk.k = q.k where up),
-    pk as (select o.grp, o.unit_id, o.file, case when up.rn is not null or tier = 'C' then 'compact' when tier in ('F', 'G') then 'full' when tier in ('S', 'L') then 'skeleton' end inclusion,
-      (case when up.rn is not null or tier = 'C' then o.c when tier in ('F', 'G') then o.f when tier in ('S', 'L') then o.s else 0 end)::bigint tokens,
-      case when up.rn is not null then null when tier = 'L' then 'low_relevance' when tier = 'S' then 'budget_exhausted' end skeleton_reason,
+    return f"""un{tag} as (select repo grp, unit_id, file, name, coalesce(start_line, 0) sl, score, greatest(0, coalesce(tok_full, 0)) f, greatest(0, coalesce(tok_compact, 0)) c, greatest(0, coalesce(tok_skeleton, 0)) s from {source} where repo is not null),
+    gp{tag} as (select grp, max(score) > 0 pos from un{tag} group by grp),
+    oa{tag} as (select u.*, (not pos or score > 0) cand, case when pos then 0 else row_number() over (partition by grp, file order by unit_id) end turn, case when pos then -score else 0e0 end rnk from un{tag} u join gp{tag} using (grp)),
+    ob{tag} as (select *, row_number() over (partition by grp order by cand desc, turn, rnk, file nulls first, sl, name nulls first, unit_id) rn, count(*) filter (where cand) over (partition by grp) n from oa{tag}),
+    pa{tag}(grp, rn, used, tier) as (select distinct grp, 0::bigint, 0::bigint, '' from ob{tag} union all select o.grp, o.rn, {used}, {tier} from pa{tag} p join ob{tag} o on o.grp = p.grp and o.rn = p.rn + 1),
+    sk{tag} as (select o.grp, o.rn, o.c, o.s, row_number() over (partition by o.grp order by o.rn) k from pa{tag} p join ob{tag} o on o.grp = p.grp and o.rn = p.rn where tier = 'L' and o.c > o.s),
+    q{tag}(grp, k, used, up) as (select grp, 0::bigint, max(used), false from pa{tag} group by grp union all select s.grp, s.k, case when q.used + s.c - s.s <= {b} then q.used + s.c - s.s else q.used end, q.used + s.c - s.s <= {b} from q{tag} q join sk{tag} s on s.grp = q.grp and s.k = q.k + 1),
+    up{tag} as (select s.grp, s.rn from q{tag} q join sk{tag} s on s.grp = q.grp and s.k = q.k where up),
+    pk{tag} as (select o.grp, o.unit_id, o.file, case when u.rn is not null or tier = 'C' then 'compact' when tier in ('F', 'G') then 'full' when tier in ('S', 'L') then 'skeleton' end inclusion,
+      (case when u.rn is not null or tier = 'C' then o.c when tier in ('F', 'G') then o.f when tier in ('S', 'L') then o.s else 0 end)::bigint tokens,
+      case when u.rn is not null then null when tier = 'L' then 'low_relevance' when tier = 'S' then 'budget_exhausted' end skeleton_reason,
       tier in ('F', 'G', 'C', 'S') and (case tier when 'C' then o.c when 'S' then o.s else o.f end) > {share} warned
-      from p join o on o.grp = p.grp and o.rn = p.rn left join up on up.grp = o.grp and up.rn = o.rn)"""
+      from pa{tag} p join ob{tag} o on o.grp = p.grp and o.rn = p.rn left join up{tag} u on u.grp = o.grp and u.rn = o.rn)"""
+
+
+def _pack_sql(ranked: bool = True, budget: int = BUDGET) -> str:
+    scores = _score_sql() if ranked else "sc as (select *, 0e0 as score from cu)"
+    return f"recursive {CURRENT}, {scores}, {_pack_ctes('sc', budget)}"
 
 
 @query("select lang, count(*) docs, sum(coalesce(ceil(strlen(text) / 4.0), 0))::bigint tokens from documents group by lang")
@@ -143,7 +148,7 @@ def lexical_scores(spark, sf_dir):
 @query(f"with {CURRENT}, {_score_sql()} select repo, unit_id, score from (select *, row_number() over (partition by repo order by score desc, unit_id) k from sc) where k <= 5")
 def top_units(spark, sf_dir):
     """The five best units of each repository."""
-    order = graph.Window.partitionBy("repo").orderBy(F.desc("score"), "unit_id")
+    order = Window.partitionBy("repo").orderBy(F.desc("score"), "unit_id")
     return context.scored_units(table(spark, sf_dir, "code_units")).select("repo", "unit_id", "score", F.row_number().over(order).alias("k")).where("k <= 5").drop("k")
 
 
@@ -176,11 +181,14 @@ def turns_pack(spark, sf_dir):
     return context.packed(table(spark, sf_dir, "code_units"), BUDGET, {}).select("grp", "unit_id", "inclusion", "tokens", "skeleton_reason")
 
 
-@query(f"with {_pack_sql()} select grp, unit_id, tokens, round(tokens * 100 / {BUDGET}::double, 4) pct_of_budget from pk where warned")
+TIGHT = 500
+
+
+@query(f"with {_pack_sql(budget=TIGHT)} select grp, unit_id, tokens, round(tokens * 100 / {TIGHT}::double, 4) pct_of_budget from pk where warned")
 def budget_warnings(spark, sf_dir):
-    """Units that take more than six tenths of their repository's budget."""
-    plan = context.packed(table(spark, sf_dir, "code_units"), BUDGET).where("warned")
-    return plan.select("grp", "unit_id", "tokens", F.round(F.col("tokens") * 100 / BUDGET, 4).alias("pct_of_budget"))
+    """Units that take more than six tenths of a tight budget."""
+    plan = context.packed(table(spark, sf_dir, "code_units"), TIGHT).where("warned")
+    return plan.select("grp", "unit_id", "tokens", F.round(F.col("tokens") * 100 / TIGHT, 4).alias("pct_of_budget"))
 
 
 @query(f"with {CURRENT}, {_score_sql()}, m as (select unit_id, {_matched_sql()} terms from sc) select term, count(*) units from (select unnest(terms) term from m) group by term")
@@ -208,7 +216,14 @@ def expanded_names(spark, sf_dir):
     return ranking.expand_terms(_units(spark, sf_dir, "name"), "unit_id", "name")
 
 
-@query()
+LINKS = "lk as (select distinct caller_id, callee_id from graph_edges where caller_id is not null and callee_id is not null and caller_id <> callee_id)"
+
+
+@query(
+    f"""with {_pack_sql()}, {LINKS}, fu as (select unit_id from pk where inclusion = 'full'), pd as (select distinct callee_id unit_id from lk where caller_id in (select unit_id from fu) and callee_id not in (select unit_id from fu)),
+    s2 as (select sc.* replace (round(score + case when pd.unit_id is null then 0e0 else 2.5e0 end, 6) as score) from sc left join pd using (unit_id)), {_pack_ctes('s2', tag='2')}
+    select grp, coalesce(inclusion, 'left_out') tier, count(*) units, sum(tokens)::bigint tokens from pk2 group by all"""
+)
 def dependency_repack(spark, sf_dir):
     """The packing after the callees of full units got their boost."""
     plan = context.with_dependencies(table(spark, sf_dir, "code_units"), table(spark, sf_dir, "graph_edges"), BUDGET)
@@ -227,9 +242,6 @@ def call_edges(spark, sf_dir):
     return graph.call_edges(_units(spark, sf_dir, "repo", "file", "name", "calls"))
 
 
-LINKS = "lk as (select distinct caller_id, callee_id from graph_edges where caller_id is not null and callee_id is not null and caller_id <> callee_id)"
-
-
 @query(f"with {LINKS}, o as (select caller_id unit_id, count(*) callees from lk group by 1), i as (select callee_id unit_id, count(*) callers from lk group by 1) select unit_id, coalesce(callees, 0) callees, coalesce(callers, 0) callers from o full join i using (unit_id)")
 def degree_stats(spark, sf_dir):
     """Different callees and callers per unit."""
@@ -249,7 +261,7 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(table(spark, sf_dir, "code_units").select("unit_id").where("unit_id is not null"), table(spark, sf_dir, "graph_edges"))
 
 
-@query()
+@query(f"with {CURRENT}, {_score_sql()}, {_pagerank_sql()} select unit_id, round(case when (select max(score) from sc) > 0 then score else 1e0 end + least(4e0, 1e0 * coalesce(centrality, 0e0)), 6) score from sc left join pr using (unit_id)")
 def ranked_units(spark, sf_dir):
     """The total score of every unit: lexical, and centrality."""
     scores = context.scored_units(table(spark, sf_dir, "code_units")).select("unit_id", "score")
@@ -301,19 +313,21 @@ def scan_reuse(spark, sf_dir):
 
 
 @query(
-    r"""select distinct repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path from file_cache f where relative_path is not null
-    and not exists (select 1 from code_units u where u.repo = f.repo and regexp_replace(replace(u.file, '\', '/'), '^(\./)+', '') = regexp_replace(replace(f.relative_path, '\', '/'), '^(\./)+', ''))"""
+    rf"""select distinct repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path from file_cache f where relative_path is not null
+    and not exists (select 1 from code_units u where u.repo = f.repo and not regexp_matches(regexp_replace(replace(u.file, '\\', '/'), '^(\\./)+', ''), '{files.IGNORED_PATH}') and regexp_replace(replace(u.file, '\', '/'), '^(\./)+', '') = regexp_replace(replace(f.relative_path, '\', '/'), '^(\./)+', ''))"""
 )
 def cache_purge(spark, sf_dir):
-    """Cached files without units."""
-    return records.purge(table(spark, sf_dir, "file_cache"), table(spark, sf_dir, "code_units"))
+    """Cached files without units that a scan would still deliver."""
+    living = table(spark, sf_dir, "code_units").where(~normal_path(F.col("file")).rlike(files.IGNORED_PATH))
+    return records.purge(table(spark, sf_dir, "file_cache"), living)
 
 
 @query(f"with {CURRENT} select unit_id, file, name, tok_full, array_to_string(string_split(compact_text, chr(10))[1:5], chr(10)) snippet from cu where " + " or ".join(f"contains(lower(coalesce({c}, '')), 'ledger')" for c in ("name", "signature", "kind", "file", "doc_comment")) + " or len(list_filter(coalesce(refs, []), lambda r: contains(lower(r), 'ledger'))) > 0")
 def grep_units(spark, sf_dir):
     """Units that mention a ledger, with the first lines of their compact text."""
-    found = code.grep(_units(spark, sf_dir, "file", "name", "kind", "signature", "doc_comment", "refs", "tok_full", "compact_text"), "ledger")
-    return found.select("unit_id", "file", "name", "tok_full", code.snippet(F.col("compact_text")).alias("snippet"))
+    raw = table(spark, sf_dir, "code_units")
+    told = raw.select("unit_id", "file", "name", "tok_full", "ingested_at", code.mentions("ledger").alias("hit"), code.snippet(F.col("compact_text")).alias("snippet"))
+    return code.current_units(told, ["file", "name", "tok_full", "hit", "snippet"]).where("hit").drop("hit")
 
 
 @query(f"with {CURRENT}, c as (select name, count(*) n from cu where name is not null group by name), top as (select name from c order by n desc, name limit 1) select unit_id, repo, file, name from cu where name = (select name from top)")
@@ -341,8 +355,9 @@ def _redact_sql(x: str) -> str:
 @query(f"with {CURRENT}, r as (select unit_id, full_text, {_redact_sql('full_text')} clean from cu where full_text is not null) select unit_id, md5(clean) clean_md5, ((len(string_split(clean, '[REDACTED: ')) - len(string_split(full_text, '[REDACTED: '))))::int added from r")
 def redact_text(spark, sf_dir):
     """Every unit's text after the chain of redactions, as a digest, with the placeholders added."""
-    units = _units(spark, sf_dir, "full_text").where("full_text is not null")
-    return units.select("unit_id", F.md5(redaction.redact(F.col("full_text"))).alias("clean_md5"), redaction.redactions(F.col("full_text")).alias("added"))
+    raw = table(spark, sf_dir, "code_units")  # redacted where it is read, so that no text is shuffled
+    told = raw.select("unit_id", "ingested_at", F.md5(redaction.redact(F.col("full_text"))).alias("clean_md5"), redaction.redactions(F.col("full_text")).alias("added"))
+    return code.current_units(told, ["clean_md5", "added"]).where("clean_md5 is not null")
 
 
 def _labels_sql() -> str:
@@ -353,8 +368,9 @@ def _labels_sql() -> str:
 @query(f"with {CURRENT}, r as (select full_text, {_redact_sql('full_text')} clean from cu where full_text is not null), c as ({_labels_sql()}) select label, sum(n)::bigint places, count(*) units from c where n > 0 group by label")
 def redaction_labels(spark, sf_dir):
     """Places and units per kind of credential that the chain of redactions finds."""
-    units = _units(spark, sf_dir, "full_text").where("full_text is not null")
-    found = units.select(F.explode(redaction.placeholders(F.col("full_text"))).alias("p"))
+    raw = table(spark, sf_dir, "code_units")
+    told = raw.select("unit_id", "ingested_at", redaction.placeholders(F.col("full_text")).alias("found"))
+    found = code.current_units(told, ["found"]).select(F.explode("found").alias("p"))
     return found.groupBy("p.label").agg(F.sum("p.n").alias("places"), F.count("*").alias("units"))
 
 
@@ -401,32 +417,186 @@ def file_calls(spark, sf_dir):
     return records.shared_callees(table(spark, sf_dir, "graph_edges"))
 
 
-@query()
+@query(
+    f"""with {CURRENT}, {PLANNED} select session_id, plan_id, ord, to_json({{'unit_id': pu.unit_id, 'file': file, 'name': cu.name, 'kind': kind, 'start_line': start_line, 'end_line': end_line, 'inclusion': inclusion, 'tokens': tokens,
+    'score_millionths': round(score * 1000000)::bigint, 'skeleton_reason': skeleton_reason}})::varchar json from pu join cu using (unit_id)"""
+)
 def plan_json(spark, sf_dir):
     """Each session's plan as one JSON text per included item, with its unit's place."""
     plan = records.current_plan(table(spark, sf_dir, "planned_units"))
     units = _units(spark, sf_dir, "file", "name", "kind", "start_line", "end_line")
-    body = F.to_json(F.struct("unit_id", "file", "name", "kind", "start_line", "end_line", "inclusion", "tokens", "score", "skeleton_reason"))
+    score = F.round(F.col("score") * 1000000).cast("long").alias("score_millionths")  # a whole number has one form in any JSON
+    body = F.to_json(F.struct("unit_id", "file", "name", "kind", "start_line", "end_line", "inclusion", "tokens", score, "skeleton_reason"), {"ignoreNullFields": "false"})
     return plan.join(units, "unit_id").select("session_id", "plan_id", "ord", body.alias("json"))
 
 
-@query()
+@query("select distinct unit_id, repo, file, name, ceil(strlen(coalesce(full_text, '')) / 4.0)::bigint tok_full from code_units")
 def watched_units(spark, sf_dir):
     """All unit files read by a stream that stops when it has caught up, as a table of token estimates."""
-    import os
-
-    from quillspan.sources.tables import checkpoint_dir
-
     path = f"{sf_dir}/code_units.parquet"
     folder, pattern = (path, "*.parquet") if os.path.isdir(path) else (sf_dir, "code_units.parquet")
     out = f"{checkpoint_dir(spark)}/watch-{os.urandom(6).hex()}"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    seen = stream.select("unit_id", "repo", "file", "name", fn.estimate_tokens(F.coalesce("full_text", F.lit(""))).alias("tok_full"))
+    seen = watch.watch_units(spark, folder, pattern, spark.read.parquet(path).schema)
     seen.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).format("parquet").start(f"{out}/rows").awaitTermination()
     return spark.read.schema(seen.schema).parquet(f"{out}/rows").distinct()
 
 
+@query(
+    rf"""with {CURRENT}, k as (select session_id, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') || '::' || name unit_key from planned_units pu join cu using (unit_id) where session_id is not null)
+    select session_id, unit_key, count(*) accesses from k where unit_key is not null group by all"""
+)
+def session_memory(spark, sf_dir):
+    """Every planned row as a stream into running counts per session and unit, kept as state; the last count of each key."""
+    path, out = f"{sf_dir}/planned_units.parquet", f"{checkpoint_dir(spark)}/memory-{os.urandom(6).hex()}"
+    folder, pattern = (path, "*.parquet") if os.path.isdir(path) else (sf_dir, "planned_units.parquet")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", pattern).parquet(folder)
+    keys = _units(spark, sf_dir, "file", "name").select("unit_id", F.concat(normal_path(F.col("file")), F.lit("::"), F.col("name")).alias("unit_key"))
+    told = watch.session_memory(rows.join(keys, "unit_id").where("session_id is not null and unit_key is not null").select("session_id", "unit_key", F.col("recorded_at").cast("timestamp").alias("recorded_at")))
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/rows")
+    told.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    seen = spark.read.schema("session_id string, unit_key string, accesses long, last_at timestamp, batch long").parquet(f"{out}/rows")
+    return seen.groupBy("session_id", "unit_key").agg(F.max_by("accesses", "batch").alias("accesses"))
+
+
+@query(
+    f"""with {CURRENT}, c as (select distinct repo, unit_id, start_line line, unnest(refs) as name from cu)
+    select distinct c.unit_id caller_id, d.unit_id callee_id, c.name callee_name, c.line from c join cu d on d.repo = c.repo and d.name = c.name and d.name not in ('', '<anonymous>') and d.unit_id <> c.unit_id"""
+)
+def reference_edges(spark, sf_dir):
+    """The edges that all units would have by the names they refer to, had no calls been recorded."""
+    units = _units(spark, sf_dir, "repo", "file", "name", "refs", "start_line")
+    return graph.reference_edges(units.withColumn("calls", F.lit(None).cast("array<struct<callee:string,qualifier:string,line:int>>")))
+
+
+@query(f"with {LINKS}, o as (select caller_id unit_id, list_sort(list(callee_id)) callees from lk group by 1), i as (select callee_id unit_id, list_sort(list(caller_id)) callers from lk group by 1) select unit_id, coalesce(array_to_string(callees, ','), '') callees, coalesce(array_to_string(callers, ','), '') callers from o full join i using (unit_id)")
+def neighbours(spark, sf_dir):
+    """The callees and the callers of every unit, as sorted lists."""
+    lists = graph.neighbours(table(spark, sf_dir, "graph_edges"))
+    return lists.select("unit_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("callees", "callers")])
+
+
+@query(
+    f"""with {_pack_sql()}, {_pagerank_sql()} select pk.grp, pk.unit_id, sc.score lexical, round(name_score, 6) name_score, round(doc_score, 6) doc_score, round(sig_score, 6) sig_score, round(body_score, 6) body_score,
+    coalesce(centrality, 0e0) centrality, array_to_string({_matched_sql()}, ',') matched, coalesce(inclusion, 'left_out') tier, tokens, skeleton_reason, row_number() over (partition by pk.grp order by sc.score desc, pk.file nulls first, coalesce(start_line, 0), sc.name nulls first, pk.unit_id) place
+    from pk join sc using (unit_id) left join pr using (unit_id)"""
+)
+def explain_units(spark, sf_dir):
+    """For every unit its score parts, centrality, matched terms, tier and reason, and its place by score in its repository."""
+    return context.explained(table(spark, sf_dir, "code_units"), table(spark, sf_dir, "graph_edges"), BUDGET)
+
+
+@query(f"with {_pack_sql()} select grp, count(distinct file) files, count(*) units, count(*) filter (where inclusion is not null) included, sum(tokens)::bigint tokens, sum(f)::bigint raw_tokens, round(case when sum(f) > 0 then (1 - sum(tokens) / sum(f)::double) * 100 else 0e0 end, 4) saved_pct from (select pk.*, greatest(0, coalesce(tok_full, 0)) f from pk join cu using (unit_id)) group by grp")
+def pack_stats(spark, sf_dir):
+    """Files, units and tokens of each repository's packing, and the per cent saved."""
+    raw = table(spark, sf_dir, "code_units")
+    full = _units(spark, sf_dir, "tok_full").select("unit_id", F.greatest(F.lit(0), F.coalesce("tok_full", F.lit(0))).alias("f"))
+    files = _units(spark, sf_dir, "file")
+    plan = context.packed(raw, BUDGET).join(full, "unit_id").join(files, "unit_id")
+    saved = F.when(F.sum("f") > 0, (1 - F.sum("tokens") / F.sum("f")) * 100).otherwise(0.0)
+    return plan.groupBy("grp").agg(F.count_distinct("file").alias("files"), F.count("*").alias("units"), F.count("inclusion").alias("included"), F.sum("tokens").alias("tokens"), F.sum("f").alias("raw_tokens"), F.round(saved, 4).alias("saved_pct"))
+
+
+
+@query(
+    rf"""with {CURRENT}, {PLANNED}, {_score_sql()}, hk as (select regexp_replace(replace(file, '\', '/'), '^(\./)+', '') || '::' || name unit_key, least(3e0, 1.5e0 * (1 + 0.25e0 * least(count(*), 3))) boost from pu join cu using (unit_id) where session_id = 'sess-nightly-sweep' group by 1)
+    select unit_id, round(score + coalesce(boost, 0e0), 6) score from (select *, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') || '::' || name unit_key from sc) left join hk using (unit_key)"""
+)
+def session_scores(spark, sf_dir):
+    """The scores of all units after the boost of one session's hot set, the greatest session's."""
+    hot = records.hot_set(table(spark, sf_dir, "planned_units").where("session_id = 'sess-nightly-sweep'"), _units(spark, sf_dir, "file", "name"))
+    scores = context.scored_units(table(spark, sf_dir, "code_units")).select("unit_id", F.concat(normal_path(F.col("file")), F.lit("::"), F.col("name")).alias("unit_key"), "score")
+    return ranking.add_boost(scores, hot, "unit_key").select("unit_id", "score")
+
+
+RECENT = r"""tc as (select distinct repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path, mtime_secs from file_cache where relative_path is not null and mtime_secs is not null and repo is not null),
+    ps as (select repo, mtime_secs, row_number() over (partition by repo order by mtime_secs desc) - 1 position from (select distinct repo, mtime_secs from tc)),
+    fr as (select repo, path, max(greatest(0.1e0, 1 / (1 + 0.15e0 * position))) recency from tc join ps using (repo, mtime_secs) where position < 30 group by all)"""
+
+
+@query(f"with {RECENT} select repo, path, round(recency, 6) recency from fr")
+def file_recency(spark, sf_dir):
+    """How recent each file among the last thirty changes of its repository is."""
+    return records.file_recency(table(spark, sf_dir, "file_cache")).withColumn("recency", F.round("recency", 6))
+
+
+@query(
+    rf"""with {CURRENT}, {_score_sql()}, {RECENT}, up as (select unit_id, repo, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') path from cu where file is not null),
+    mt as (select unit_id, max(recency) filter (where fr.path = up.path) exact, max(recency) ended from up join fr on fr.repo = up.repo and (fr.path = up.path or ends_with(up.path, '/' || fr.path)) group by unit_id)
+    select unit_id, round(score + case when ended is null then 0e0 else round(least(3e0, 1.5e0 * coalesce(exact, ended)), 6) end, 6) score from sc left join mt using (unit_id)"""
+)
+def recent_scores(spark, sf_dir):
+    """The scores of all units after the boost of recently changed files, found by path or by its end."""
+    boosts = records.recency_of_units(_units(spark, sf_dir, "repo", "file"), records.file_recency(table(spark, sf_dir, "file_cache")))
+    return ranking.add_boost(context.scored_units(table(spark, sf_dir, "code_units")).select("unit_id", "score"), boosts, "unit_id")
+
+
+@query(
+    r"""with e as (select distinct repo, sha256(concat_ws('|', regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', ''), coalesce(mtime_secs::varchar, ''), coalesce(mtime_nanos::varchar, ''), coalesce(file_size::varchar, ''), coalesce(content_hash, ''))) d from file_cache where repo is not null and relative_path is not null),
+    b as (select repo, left(d, 2) k, count(*) n, sha256(string_agg(d, '' order by d)) part from e group by all) select repo, sum(n)::bigint entries, sha256(string_agg(k || part, '' order by k || part)) checksum from b group by repo"""
+)
+def cache_checksum(spark, sf_dir):
+    """A digest of each repository's manifest."""
+    return records.cache_checksum(table(spark, sf_dir, "file_cache"))
+
+
+@query(
+    r"""with l as (select repo, doc_id, case when doc_kind = 'readme' then trim(regexp_replace(split_part(regexp_replace(text, '^\s+', ''), chr(10), 1), '^#+ *', ''), ' ') end line from documents where repo is not null),
+    f as (select repo, arg_min(line, doc_id) filter (where strlen(line) between 1 and 120) line from l group by repo) select repo, coalesce(line, repo) intent from f"""
+)
+def weak_intent(spark, sf_dir):
+    """What each repository says of itself where no question is asked."""
+    return records.weak_intent(table(spark, sf_dir, "documents"))
+
+
+GLOBS = ["*_test.*", "/gen/", "deps/**", "*.g.*", "!lib/tmp", "codegen/"]
+
+
+@query(
+    rf"""with f as (select repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path from file_cache where relative_path is not null)
+    select repo, path, bool_or(regexp_matches(path, '{"|".join(files.glob_regex(g) for g in GLOBS)}')) excluded from f group by all"""
+)
+def scan_globs(spark, sf_dir):
+    """Which cached files a few custom globs exclude."""
+    paths = table(spark, sf_dir, "file_cache").select("repo", normal_path(F.col("relative_path")).alias("path")).where("path is not null").distinct()
+    return paths.withColumn("excluded", files.by_globs(F.col("path"), GLOBS))
+
+
+@query(
+    rf"""with u as (select repo, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') path, encode(full_text) content, full_text t from code_units where file is not null),
+    o as (select distinct repo, path, case when regexp_matches(path, '{files.IGNORED_PATH}') then 'ignored' when lower(regexp_extract(path, '[.]([\w+]+)$', 1)) in ({", ".join(f"'{x}'" for x in files.BINARY)}) or starts_with(coalesce(t, ''), 'GGUF') or contains(coalesce(t, ''), chr(0)) then 'binary'
+      when lower(regexp_extract(path, '[.]([\w+]+)$', 1)) in ({", ".join(f"'{x}'" for x in EXTENSIONS)}) then 'kept' else 'unread' end outcome from u),
+    s as (select repo, path, row_number() over (partition by repo order by path) k from (select distinct repo, path from o where outcome in ('ignored', 'binary')))
+    select repo, count(*) filter (where outcome = 'ignored') as ignored, count(*) filter (where outcome = 'binary') as "binary", count(*) filter (where outcome = 'unread') as unread, count(*) filter (where outcome = 'kept') as kept, 0::bigint binary_bytes,
+    coalesce((select string_agg(path, ',' order by path) from s where k <= 5 and s.repo = o.repo), '') samples from o group by repo"""
+)
+def scan_stats(spark, sf_dir):
+    """Files of the recorded units that a scan would pass over, cannot read, or keeps, with the first ones passed over."""
+    units = table(spark, sf_dir, "code_units").select("repo", normal_path(F.col("file")).alias("path"), F.encode("full_text", "UTF-8").alias("content"))
+    return files.scan_statistics(units)
+
+
+@query(
+    rf"""with f as (select distinct repo, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') path from file_cache where relative_path is not null), l(ext, language) as (values {", ".join(f"('{k}', '{v}')" for k, v in EXTENSIONS.items())})
+    select language, string_agg(distinct ext, ',' order by ext) endings, count(*) files from f join l on lower(regexp_extract(path, '[.]([\w+]+)$', 1)) = ext group by language"""
+)
+def languages(spark, sf_dir):
+    """The languages of the cached files, with the endings met and the number of files."""
+    paths = table(spark, sf_dir, "file_cache").select("repo", normal_path(F.col("relative_path")).alias("path")).where("path is not null").distinct()
+    told = paths.select(files.language_of(F.col("path")).alias("language"), files.extension(F.col("path")).alias("ext")).where("language is not null")
+    return told.groupBy("language").agg(F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("endings"), F.count("*").alias("files"))
+
+
+@query(
+    f"""with {CURRENT}, b as (select repo, file, count(*) n from cu where file is not null and repo is not null group by all), t as (select repo, file from (select *, row_number() over (partition by repo order by n desc, file) k from b) where k = 1)
+    select repo, file, unit_id, kind, name, signature, start_line, end_line, tok_full, tok_compact, tok_skeleton, row_number() over (partition by repo, file order by start_line nulls first, unit_id)::int place from cu join t using (repo, file)"""
+)
+def file_outline(spark, sf_dir):
+    """The units of each repository's fullest file, in their order."""
+    units = _units(spark, sf_dir, "repo", "file", "kind", "name", "signature", "start_line", "end_line", "tok_full", "tok_compact", "tok_skeleton").where("file is not null and repo is not null")
+    first = units.groupBy("repo", "file").count().groupBy("repo").agg(F.min(F.struct(-F.col("count"), F.col("file").alias("file"))).alias("best")).select("repo", "best.file")
+    return units.join(first, ["repo", "file"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("repo", "file").orderBy("start_line", "unit_id")))
+
+
 @query()
 def extracted_units(spark, sf_dir):
     """Units found anew in every file, put together from its outermost recorded units, with the recorded unit at their place."""

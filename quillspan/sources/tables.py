@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,12 +38,12 @@ def normal_path(path) -> F.col:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where the session names none."""
-    import tempfile
-
+    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where Spark runs in one process."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspan-"))
     return sc.getCheckpointDir()
 
@@ -49,6 +52,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared checkpoint folder and read from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-__all__ = ["table", "spread", "latest", "normal_path", "checkpoint_dir", "cut", "Window"]

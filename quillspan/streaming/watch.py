@@ -5,23 +5,23 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspan.functions.text import estimate_tokens
 
 
-def watch_units(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+def watch_units(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema: StructType | None = None) -> DataFrame:
     """A stream of new unit files in a folder, with the token estimate of each text taken anew.
 
     Restarting with the same checkpoint reads each file once; run it with ``availableNow`` for a
     catch-up or with a processing-time trigger to keep watching.
     """
-    schema = spark.read.parquet(folder).schema
-    units = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    units = spark.readStream.schema(schema or spark.read.parquet(folder).schema).option("pathGlobFilter", pattern).parquet(folder)
     return units.select("unit_id", "repo", "file", "name", estimate_tokens(F.coalesce("full_text", F.lit(""))).alias("tok_full"))
 
 
 def event_windows(events: DataFrame, width: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Events, distinct users (approximate in a stream) and value per window and type; later than ``late`` is dropped."""
+    """Events and value per window and type; in a stream what comes later than ``late`` is dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("ts", late) if events.isStreaming else timed
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(
@@ -39,7 +39,8 @@ def session_memory(plans: DataFrame) -> DataFrame:
         count, last = state.get if state.exists else (0, pd.Timestamp(0))
         for pdf in batches:
             count += len(pdf)
-            last = max(last, pdf["recorded_at"].max())
+            newest = pdf["recorded_at"].max()
+            last = last if pd.isna(newest) else max(last, newest)
         state.update((count, last))
         yield pd.DataFrame({"session_id": [key[0]], "unit_key": [key[1]], "accesses": [count], "last_at": [last]})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as fn
 from quillspan.operators import extract, graph, packing, ranking, records, redaction, units
-from quillspan.sources import files
+from quillspan.sources import files, store
 from quillspan.sources.tables import latest, normal_path
 from quillspan.streaming import watch
 
@@ -92,7 +92,7 @@ def plain_pack(group, budget):
         seen[u["file"]] = seen.get(u["file"], 0) + 1
         turn[u["unit_id"]] = 0 if anyone else seen[u["file"]]
     cand = lambda u: not anyone or (u["score"] or 0) > 0
-    order = sorted(group, key=lambda u: (not cand(u), turn[u["unit_id"]], -(u["score"] or 0) if anyone else 0, u["file"], u["start_line"], u["unit_id"]))
+    order = sorted(group, key=lambda u: (not cand(u), turn[u["unit_id"]], -(u["score"] or 0) if anyone else 0, u["file"], u["start_line"], u["name"], u["unit_id"]))
     n, used, out, low = sum(map(cand, group)), 0, {}, []
     for u in order:
         f, c, s = u["tok_full"], u["tok_compact"], u["tok_skeleton"]
@@ -128,8 +128,8 @@ def test_packing_equals_the_sequential_rule(spark, monkeypatch, head):
     data = []
     for g in range(12):
         for i in range(r.randint(1, 14)):
-            s = r.randint(1, 30)
-            data.append({"grp": f"g{g}", "unit_id": g * 100 + i, "file": r.choice("abc"), "start_line": r.randint(1, 3), "score": 0.0 if g % 3 == 0 else float(r.choice([0, 0, 1, 2, 3])), "tok_full": r.randint(1, 120), "tok_compact": r.randint(1, 60), "tok_skeleton": s, "used": "clash"})
+            s = r.choice([0, r.randint(1, 30)])
+            data.append({"grp": f"g{g}", "unit_id": g * 100 + i, "file": r.choice("abc"), "name": r.choice("xyz"), "start_line": r.randint(1, 3), "score": 0.0 if g % 3 == 0 else float(r.choice([0, 0, 1, 2, 3])), "tok_full": r.choice([0, r.randint(1, 120)]), "tok_compact": r.choice([0, r.randint(1, 60)]), "tok_skeleton": s, "used": "clash"})
     df = spark.createDataFrame(data + data[:5])
     got = {(x["grp"], x["unit_id"]): (x["inclusion"], x["tokens"]) for x in packing.pack(df, 150).collect()}
     want = {(g, u): v for g in {d["grp"] for d in data} for u, v in plain_pack([d for d in data if d["grp"] == g], 150).items()}
@@ -137,7 +137,7 @@ def test_packing_equals_the_sequential_rule(spark, monkeypatch, head):
 
 
 def test_packing_three_tiers_and_empty(spark):
-    df = spark.createDataFrame([("g", 0, "f", 1, 10.0, 100, 40, 10), ("g", 1, "f", 9, 5.0, 100, 40, 10)], "grp string, unit_id long, file string, start_line int, score double, tok_full long, tok_compact long, tok_skeleton long")
+    df = spark.createDataFrame([("g", 0, "f", "n", 1, 10.0, 100, 40, 10), ("g", 1, "f", "n", 9, 5.0, 100, 40, 10)], "grp string, unit_id long, file string, name string, start_line int, score double, tok_full long, tok_compact long, tok_skeleton long")
     assert {r["unit_id"]: r["inclusion"] for r in packing.pack(df, 50).collect()} == {0: "compact", 1: "skeleton"}
     assert packing.pack(df.where("false"), 50).count() == 0
 
@@ -241,3 +241,84 @@ def test_edge_reasons(spark):
 def test_scan_filter(spark):
     cache = spark.createDataFrame([("r", "./vendor/a.py", 5), ("r", "vendor\\a.py", 7), ("r", "src/x.min.js", None), ("r", "src/a.py", 3), ("r", "a.txt", 2), ("r", None, 9), ("r", "src/vendors.py", 1)], "repo string, relative_path string, file_size long")
     assert rows(records.scan_filter(cache)) == [("r", "ignored", 2, 7), ("r", "kept", 2, 4), ("r", "unread", 1, 2)]
+
+
+def test_reference_edges_and_neighbours(spark):
+    data = [(1, "r", "a.py", "f", [], ["g", "f", "gone"], 7), (2, "r", "b.py", "g", None, ["f"], None), (3, "r", "c.py", "g", [("f", None, 1)], ["g"], 1), (4, "q", "c.py", "g", [], None, 1), (5, "r", "d.py", None, [], [None], 1)]
+    df = spark.createDataFrame(data, "unit_id long, repo string, file string, name string, calls array<struct<callee string, qualifier string, line int>>, refs array<string>, start_line int")
+    assert rows(graph.reference_edges(df)) == [(1, 2, "g", 7), (1, 3, "g", 7), (2, 1, "f", None)]
+    assert rows(graph.all_edges(df)) == [(1, 2, "g", 7), (1, 3, "g", 7), (2, 1, "f", None), (3, 1, "f", 1)]
+    assert rows(graph.neighbours(graph.all_edges(df))) == [(1, [2, 3], [2, 3]), (2, [1], [1]), (3, [1], [1])]
+    assert graph.all_edges(df.where("unit_id > 9")).count() == 0
+
+
+def test_namesakes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    data = [(k, "r", f"f{k}.py", "same", [("same", None, k)]) for k in range(9)]
+    df = spark.createDataFrame(data, "unit_id long, repo string, file string, name string, calls array<struct<callee string, qualifier string, line int>>")
+    assert {(r[0], r[1]) for r in graph.call_edges(df).collect()} == {(a, b) for a in range(9) for b in range(9) if a != b}
+
+
+def test_recency_boosts(spark):
+    cache = spark.createDataFrame([("r", "./src/a.py", 30), ("r", "src\\a.py", 10), ("r", "b.py", 20), ("r", None, 5), ("r", "c.py", None), ("q", "b.py", 1)], "repo string, relative_path string, mtime_secs long")
+    recency = records.file_recency(cache)
+    assert sorted((r[0], r[1], round(r[2], 4)) for r in recency.collect()) == [("q", "b.py", 1.0), ("r", "b.py", 0.8696), ("r", "src/a.py", 1.0)]
+    units = spark.createDataFrame([(1, "r", "src/a.py"), (2, "r", "lib/b.py"), (3, "r", "xb.py"), (4, "r", None), (5, "q", "b.py")], "unit_id long, repo string, file string")
+    boosts = records.recency_of_units(units, recency)
+    assert rows(boosts) == [(1, 1.5), (2, 1.304348), (5, 1.5)]
+    scores = spark.createDataFrame([(1, 2.0), (4, 1.0), (None, 3.0)], "unit_id long, score double")
+    assert rows(ranking.add_boost(scores, boosts, "unit_id")) == [(1, 3.5), (4, 1.0), (None, 3.0)]
+    assert records.file_recency(cache.where("false")).count() == 0
+
+
+def test_checksum_and_intent(spark):
+    cache = spark.createDataFrame([("r", "./a.py", 1, 2, 3, "h"), ("r", "a.py", 1, 2, 3, "h"), ("r", "b.py", 1, None, 3, None)], "repo string, relative_path string, mtime_secs long, mtime_nanos long, file_size long, content_hash string")
+    one = records.cache_checksum(cache).first()
+    assert one["entries"] == 2 and one["checksum"] == records.cache_checksum(cache.orderBy(F.desc("relative_path"))).first()["checksum"]
+    assert one["checksum"] != records.cache_checksum(cache.withColumn("file_size", F.lit(4))).first()["checksum"]
+    docs = spark.createDataFrame([(2, "r", "readme", "\n# Title here\nx"), (1, "r", "issue", "no"), (3, "q", "readme", None), (4, "p", "readme", "y" * 121), (5, None, "readme", "z")], "doc_id long, repo string, doc_kind string, text string")
+    assert rows(records.weak_intent(docs)) == [("p", "p"), ("q", "q"), ("r", "Title here")]
+
+
+def test_store_round_trip(spark, tmp_path):
+    import os
+
+    path, schema = str(tmp_path / "cache"), "unit_id long, name string"
+    units = spark.createDataFrame([(1, "a"), (2, None), (2, None)], schema)
+    assert store.load(spark, path, schema).count() == 0
+    store.save(units, path)
+    assert rows(store.load(spark, path, schema)) == rows(units)
+    assert store.load(spark, path, schema, version=2).count() == 0
+    units.limit(1).write.mode("append").parquet(path + "/rows")
+    assert store.load(spark, path, schema).count() == 0
+    store.save(units.where("false"), path)
+    assert store.load(spark, path, schema).count() == 0
+    part = next(p for p in os.listdir(path + "/rows") if p.endswith(".parquet"))
+    with open(f"{path}/rows/{part}", "wb") as out:
+        out.write(b"broken")
+    assert store.load(spark, path, schema).count() == 0
+
+
+def test_session_memory_counts_over_batches(spark, tmp_path):
+    schema = "session_id string, unit_key string, recorded_at timestamp"
+    for k in range(3):
+        spark.createDataFrame([("s", "a::f", DAY + dt.timedelta(k)), ("s", f"b::{k}", None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = watch.session_memory(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).format("memory").queryName("mem").trigger(availableNow=True).start()
+    query.awaitTermination()
+    best = {}
+    for r in spark.table("mem").collect():
+        best[r["unit_key"]] = max(best.get(r["unit_key"], (0, None)), (r["accesses"], r["last_at"]))
+    assert {k: v[0] for k, v in best.items()} == {"a::f": 3, "b::0": 1, "b::1": 1, "b::2": 1} and best["a::f"][1] == DAY + dt.timedelta(2)
+
+
+def test_enclosed_units(spark):
+    data = [("g", "f", 1, 1, 9, "full"), ("g", "f", 2, 2, 4, "compact"), ("g", "f", 3, 1, 9, "full"), ("g", "f", 4, 5, 12, "full"), ("g", "f", 5, None, None, "full"), ("g", None, 6, 2, 3, "full"), ("h", "f", 7, 2, 3, "skeleton")]
+    df = spark.createDataFrame(data, "grp string, file string, unit_id long, start_line int, end_line int, inclusion string")
+    assert sorted(r["unit_id"] for r in packing.suppress_enclosed(df).collect()) == [1, 4, 5, 6, 7]
+
+
+def test_private_keys_are_redacted_whole(spark):
+    text = "k = -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\nMIIEpAIB/+=\n-----END RSA PRIVATE KEY-----; x"
+    df = spark.createDataFrame([(text,), ("-----BEGIN PRIVATE KEY----- cut",)], "t string")
+    assert [r[0] for r in df.select(redaction.redact(F.col("t"))).collect()] == ["k = [REDACTED: Private Key]; x", "[REDACTED: Private Key] cut"]
