@@ -178,7 +178,7 @@ class Model:
             got = self._double[a, kind] = self._sum(self.pair_features(self._keys[a], self._keys[kind >> 1], bool(kind & 1)))
         return got
 
-    def train(self, tokens: Tokens, gold: np.ndarray, rounds: int = 50, rate: float = 0.15, decay: float = 2e-4) -> None:
+    def train(self, tokens: Tokens, gold: np.ndarray, rounds: int = 50, rate: float = 0.15, decay: float = 2e-3) -> None:
         """Maximise the likelihood of the labels by full-batch Adam with a small ridge. Each line is a sequence."""
         size, n = len(self.labels), len(tokens.words)
         kinds = self._kinds(tokens)

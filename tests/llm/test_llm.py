@@ -327,7 +327,7 @@ def test_crf_on_templates_that_it_never_saw():
         want = {(k, a, b) for k, (_, spans) in enumerate(rows) for a, b, t in spans if t == kind}
         have = {(k, a, b) for k, spans in enumerate(got) for a, b, t in spans if t == kind}
         recall, precision = len(want & have) / len(want), len(want & have) / len(have)
-        assert recall > {"email": 0.97}.get(kind, 0.75) and precision > 0.7, (kind, recall, precision)
+        assert recall > {"email": 0.97, "person_name": 0.7}.get(kind, 0.75) and precision > 0.8, (kind, recall, precision)
 
 
 def test_labelled_table_is_independent_of_the_documents():
