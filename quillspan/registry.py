@@ -453,7 +453,9 @@ def session_memory(spark, sf_dir):
     keys = _units(spark, sf_dir, "file", "name").select("unit_id", F.concat(normal_path(F.col("file")), F.lit("::"), F.col("name")).alias("unit_key"))
     told = watch.session_memory(rows.join(keys, "unit_id").where("session_id is not null and unit_key is not null").select("session_id", "unit_key", F.col("recorded_at").cast("timestamp").alias("recorded_at")))
     write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/rows")
-    told.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    with watch.state_on_disk(spark):
+        stream = told.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
+    stream.awaitTermination()
     seen = spark.read.schema("session_id string, unit_key string, accesses long, last_at timestamp, batch long").parquet(f"{out}/rows")
     return seen.groupBy("session_id", "unit_key").agg(F.max_by("accesses", "batch").alias("accesses"))
 

@@ -312,6 +312,19 @@ def test_session_memory_counts_over_batches(spark, tmp_path):
     assert {k: v[0] for k, v in best.items()} == {"a::f": 3, "b::0": 1, "b::1": 1, "b::2": 1} and best["a::f"][1] == DAY + dt.timedelta(2)
 
 
+def test_session_memory_calls_no_python_per_key(spark, tmp_path):
+    keys = spark.range(30_000).select(F.lit("s").alias("session_id"), F.concat(F.lit("f::"), "id").alias("unit_key"), F.lit(None).cast("timestamp").alias("recorded_at"))
+    for _ in range(2):
+        keys.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    told = watch.session_memory(spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    assert "Pandas" not in told._jdf.queryExecution().analyzed().toString()
+    with watch.state_on_disk(spark):
+        query = told.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).format("memory").queryName("mem_many").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert rows(spark.table("mem_many").groupBy("accesses", "last_at").count()) == [(1, None, 30_000), (2, None, 30_000)]
+    assert "HDFSBacked" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_enclosed_units(spark):
     data = [("g", "f", 1, 1, 9, "full"), ("g", "f", 2, 2, 4, "compact"), ("g", "f", 3, 1, 9, "full"), ("g", "f", 4, 5, 12, "full"), ("g", "f", 5, None, None, "full"), ("g", None, 6, 2, 3, "full"), ("h", "f", 7, 2, 3, "skeleton")]
     df = spark.createDataFrame(data, "grp string, file string, unit_id long, start_line int, end_line int, inclusion string")
