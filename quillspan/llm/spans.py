@@ -5,8 +5,8 @@ neighbouring windows the one with the least hash is kept, so that two texts with
 code points in common always keep one equal window of that stretch. Kept windows are counted in
 Spark by hash, and only those in two files or more go on.
 
-A hash of few records is joined with itself and each pair of places is grown over the texts to the
-exact maximal interval. A hash of many records (boilerplate) would give pairs in the square of its
+A hash of few records is joined with itself; each pair of places names a diagonal of two texts, on
+which all maximal intervals of ``least`` equal code points or more are read. A hash of many records (boilerplate) would give pairs in the square of its
 records that mostly share too little; there each window is split further, by the hashes of all
 windows of the full ``least`` code points around it, until equal hashes are equal spans.
 """
@@ -77,8 +77,9 @@ def kept_windows(text: str, size: int, gap: int = GAP) -> tuple[np.ndarray, np.n
 
 
 def _texts(units: DataFrame, least: int) -> DataFrame:
-    long = units.where(F.length("full_text") >= least)
-    return long.select("unit_id", F.xxhash64("repo", "file").alias("place"), F.col("full_text").alias("text"))
+    long = units.where(F.col("unit_id").isNotNull() & (F.length("full_text") >= least))  # no pair can name a unit without id
+    place = F.xxhash64("repo", F.col("repo").isNull(), "file")  # a hash passes over nulls, so which one is null is told
+    return long.select("unit_id", place.alias("place"), F.col("full_text").alias("text"))
 
 
 def _windows(texts: DataFrame, least: int) -> DataFrame:
@@ -100,9 +101,9 @@ def _windows(texts: DataFrame, least: int) -> DataFrame:
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """Hashes found in two files or more, with their number of places and a sign of which units hold them."""
+    """Hashes found in two files or more, with their number of places and a sign of which units hold them, and how often."""
     counted = windows.groupBy("hash").agg(
-        F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("unit_id")).alias("sign")
+        F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("unit_id", "place").cast("decimal(20,0)")).alias("sign")
     )
     return counted.where("low <> high").select("hash", "n", "sign")
 
@@ -134,50 +135,50 @@ def _pairs_of(held: DataFrame, alike: bool) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start_a", "start_b", "chars")])))
-def _grown(a: pd.Series, b: pd.Series, anchors: pd.Series) -> pd.Series:
-    """The exact maximal equal intervals through each anchor."""
-    return pd.Series([_grow(x, y, pairs) for x, y, pairs in zip(a, b, anchors)])
+def _grown(least: int):
+    """All maximal equal intervals of ``least`` code points or more on the diagonals asked for."""
 
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start_a", "start_b", "chars")])))
+    def grown(a: pd.Series, b: pd.Series, shifts: pd.Series) -> pd.Series:
+        return pd.Series([_runs(x, y, asked, least) for x, y, asked in zip(a, b, shifts)])
 
-def _grow(a: str, b: str, anchors) -> list[dict]:
+    return grown
+
+
+def _runs(a: str, b: str, shifts, least: int) -> list[dict]:
     x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
     y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out: set[tuple[int, int, int]] = set()
-    for anchor in anchors:
-        i, j = anchor["at_a"], anchor["at_b"]
-        if any(s <= i < s + n and i - j == s - t for s, t, n in out):
-            continue
+    out = []
+    for shift in map(int, shifts):
+        i, j = max(shift, 0), max(-shift, 0)
         n = min(len(x) - i, len(y) - j)
-        differs = np.flatnonzero(x[i : i + n] != y[j : j + n])
-        right = int(differs[0]) if len(differs) else n
-        m = min(i, j)
-        differs = np.flatnonzero(x[i - m : i] != y[j - m : j])
-        left = m - 1 - int(differs[-1]) if len(differs) else m
-        if right:
-            out.add((i - left, j - left, left + right))
-    return [{"start_a": s, "start_b": t, "chars": n} for s, t, n in sorted(out)]
+        if n < least:
+            continue
+        ends = np.concatenate(([-1], np.flatnonzero(x[i : i + n] != y[j : j + n]), [n]))
+        chars = np.diff(ends) - 1
+        out += [{"start_a": i + int(ends[k]) + 1, "start_b": j + int(ends[k]) + 1, "chars": int(chars[k])} for k in np.flatnonzero(chars >= least)]
+    return out
 
 
 def shared_intervals(units: DataFrame, least: int = 200, hot: int = 64) -> tuple[DataFrame, DataFrame]:
     """Where units of different files share ``least`` code points or more.
 
     Returns (pairs, intervals): ``unit_a, unit_b`` with unit_a < unit_b, and ``unit_id, start, stop``
-    of the maximal shared intervals. Null and shorter texts share nothing; a repeated row counts once;
-    units of one (repo, file) never count as a pair. ``hot`` is only the number of places from which
+    of the maximal shared intervals. Null and shorter texts share nothing; a repeated row counts once, and of
+    deliveries with different texts each counts; units of one (repo, file) never count as a pair. ``hot`` is only the number of places from which
     on the finer hashes are used; either way the result is whole.
     """
     texts = _texts(units, least)
     windows = _windows(texts, least)
     held = cut_lineage(windows.join(_repeated(windows), "hash").distinct())  # a small part of all windows, read by both ways below
-    anchors = _pairs_of(held.where(F.col("n") <= hot), False).groupBy("unit_a", "unit_b", (F.col("at_a") - F.col("at_b")).alias("shift")).agg(F.min(F.struct("at_a", "at_b")).alias("anchor"))
-    met = anchors.groupBy("unit_a", "unit_b").agg(F.array_sort(F.collect_list("anchor")).alias("anchors"))
-    once = texts.dropDuplicates(["unit_id"]).select("unit_id", "text")
+    # A diagonal may have several intervals, and the first one be too short: it is asked for once, and read from end to end.
+    diagonals = _pairs_of(held.where(F.col("n") <= hot), False).select("unit_a", "unit_b", (F.col("at_a") - F.col("at_b")).alias("shift")).distinct()
+    met = diagonals.groupBy("unit_a", "unit_b").agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
+    once = texts.groupBy("unit_id").agg(F.collect_set("text").alias("texts")).select("unit_id", F.explode("texts").alias("text"))
     grown = (
         met.join(once.withColumnsRenamed({"unit_id": "unit_a", "text": "text_a"}), "unit_a")
         .join(once.withColumnsRenamed({"unit_id": "unit_b", "text": "text_b"}), "unit_b")
-        .select("unit_a", "unit_b", F.explode(_grown("text_a", "text_b", "anchors")).alias("span"))
-        .where(F.col("span.chars") >= least)
+        .select("unit_a", "unit_b", F.explode(_grown(least)("text_a", "text_b", "shifts")).alias("span"))
     )
     cold_pairs = grown.select("unit_a", "unit_b")
     cold_spans = grown.select(F.explode(F.array(*[F.struct(F.col(f"unit_{k}").alias("unit_id"), F.col(f"span.start_{k}").alias("start"), (F.col(f"span.start_{k}") + F.col("span.chars")).alias("stop")) for k in "ab"])).alias("_")).select("_.*")

@@ -145,6 +145,42 @@ def test_shared_pairs(spark, hot, block, monkeypatch):
     assert got == {u: len(c) for u, c in covered.items()}
 
 
+SPAN_ROWS = "unit_id long, repo string, file string, full_text string"
+
+
+def test_shared_pairs_where_a_first_interval_is_short(spark):
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    data = []
+    for k in range(8):  # 199 and 250 equal code points on one diagonal, parted by one that differs
+        short, long = noise(199), noise(250)
+        data += [(2 * k, f"a{k}", short + "1" + long), (2 * k + 1, f"b{k}", short + "2" + long)]
+    df = spark.createDataFrame([(u, "r", f, t) for u, f, t in data], SPAN_ROWS)
+    assert {tuple(x) for x in spans.shared_pairs(df).collect()} == brute_pairs(data, 200)
+    first, second = noise(300), noise(210)
+    twice = spark.createDataFrame([(1, "r", "a", first + "1" + second), (2, "r", "b", first + "2" + second)], SPAN_ROWS).withColumn("name", F.lit("n"))
+    assert rows(spans.shared_amounts(twice).select("unit_id", "shared_chars", "intervals")) == [(1, 510, 2), (2, 510, 2)]
+
+
+def test_shared_pairs_of_differing_deliveries_and_nulls(spark):
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    versions, copy, large = [noise(260) for _ in range(6)], noise(300), 2**53
+    data = [(1, "r", "a", noise(100) + t) for t in versions] + [(10 + i, "r", f"f{i}", noise(50) + t + noise(30)) for i, t in enumerate(versions)]
+    data += [(large + 1, "x", None, copy), (large + 3, None, "x", copy), (None, "r", "n", copy)]
+    df = spark.createDataFrame(data, SPAN_ROWS).coalesce(1)
+    assert {tuple(x) for x in spans.shared_pairs(df).collect()} == {(1, 10 + i) for i in range(6)} | {(large + 1, large + 3)}
+
+
+def test_shared_pairs_of_hot_windows_delivered_twice(spark):
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    head, other, end = noise(260), noise(260), noise(260)
+    data = [(1, "a", head + end), (2, "b", other + end), (3, "c", head), (4, "d", other)]
+    df = spark.createDataFrame([(u, "r", f, t) for u, f, t in data * 2], SPAN_ROWS)
+    assert {tuple(x) for x in spans.shared_intervals(df, 200, 1)[0].collect()} == brute_pairs(data, 200) == {(1, 2), (1, 3), (2, 4)}
+
+
 # 4 machine-made files
 def test_machine_files(spark):
     hand = "def widen_margin(budget):\n    total = budget + 3\n    return total\n"
