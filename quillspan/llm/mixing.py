@@ -32,13 +32,15 @@ BUCKET = 4096
 _LOADED: dict = {}
 
 
-def token_counter(spark: SparkSession, tokenizer: str = TOKENIZER):
+def token_counter(spark: SparkSession, tokenizer: str | None = TOKENIZER):
     """A function from a text column to its tokens in the public tokenizer at ``tokenizer``; 0 for null.
 
-    The file is read by the driver and handed to the tasks by Spark, so that every task counts in the same unit. Where the
-    driver has no such file, all tasks take a quarter of the bytes, rounded up.
+    The file is read by the driver and handed to the tasks by Spark, so that every task counts in the same unit. A missing
+    file is an error. A quarter of the bytes, rounded up, is the unit only where that is asked for, by None.
     """
-    if not os.path.exists(tokenizer):
+    if tokenizer is not None and not os.path.isfile(tokenizer):
+        raise FileNotFoundError(f"no tokenizer at {tokenizer}; None asks for an estimate by bytes")
+    if tokenizer is None:
         return lambda text: F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
     spark.sparkContext.addFile(tokenizer)
     name = os.path.basename(tokenizer)
@@ -57,7 +59,7 @@ def token_counter(spark: SparkSession, tokenizer: str = TOKENIZER):
     return count
 
 
-def memberships(docs: DataFrame, listed: list[str], labelled_rows: int = 20_000, features: int = 4096, tokenizer: str = TOKENIZER) -> DataFrame:
+def memberships(docs: DataFrame, listed: list[str], labelled_rows: int = 20_000, features: int = 4096, tokenizer: str | None = TOKENIZER) -> DataFrame:
     """``doc_id, tokens, source, domain, posterior`` of every document with text, once per doc_id.
 
     ``domain`` is the given source's number in ``listed`` (its length for an unlisted source, null without source);
@@ -162,13 +164,13 @@ def _rate_column(caps: np.ndarray, steps: list[np.ndarray]):
     return rate("shares")
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str | None = TOKENIZER) -> DataFrame:
     """One row per drawn document: ``doc_id, source, tokens, rate, copies, domains``; copies is at least 1 and within the cap.
 
     ``domains`` is a map of the document's share in each listed source, without zeros. ``total_tokens`` is the size wanted,
     by default that of all documents of wanted sources; less is drawn where caps would else push other sources off their
     share (see ``attainable``). A source that is not listed, or has a null share, is not drawn; a document without source
-    stays within the least cap of the domains it may belong to. ``targets`` is a fixed small table, one row per source.
+    stays within the least cap of the domains it may belong to. ``targets`` is a fixed small table, one row per source. ``tokenizer``: see ``token_counter``.
     """
     wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.where("source is not null").collect()}
     names = sorted(wanted)

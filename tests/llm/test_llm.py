@@ -341,6 +341,18 @@ def test_mix_counts_documents_without_source(spark):
     assert drawn.where("source is null and element_at(domains, 'a') > 0.5").agg(F.max("copies")).first()[0] == 1
 
 
+def test_missing_tokenizer_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "apple pear plum", "a"), (2, None, "a"), (3, "é", "b")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for missing in (str(tmp_path / "tokens.json"), str(tmp_path)):
+        with pytest.raises(FileNotFoundError):
+            mixing.token_counter(spark, missing)
+        with pytest.raises(FileNotFoundError):
+            mixing.mix(docs, targets, tokenizer=missing)
+    assert [r[0] for r in docs.orderBy("doc_id").select(mixing.token_counter(spark, None)(F.col("text"))).collect()] == [4, 0, 1]
+    assert mixing.mix(docs, targets, total_tokens=5, tokenizer=None).where("tokens <> 4 and tokens <> 1").count() == 0
+
+
 # 9 personal information
 LEXICON = (("halmira", "given"), ("stellera", "family"))
 
